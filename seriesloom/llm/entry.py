@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding
+from . import decontamination, packing, sharding, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op3_sharding": sharding.op3_sharding,
+        "op5_simhash": simhash.op5_simhash,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_warc": warc.op8_warc,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op7_decontamination": decontamination.OP7_SQL,
+        "op8_warc": warc.OP8_SQL,
     }
