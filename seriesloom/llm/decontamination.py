@@ -126,7 +126,6 @@ _SCHEMA = "n_words long, starts array<int>, ends array<int>, items array<string>
 
 def scan(docs: DataFrame, keep: list[str], index_var, text_col: str = "text") -> DataFrame:
     """``keep`` columns, number of words, hit spans (word positions) and items of each document."""
-    schema = docs.select(*keep).schema.simpleString()[7:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + _SCHEMA
 
     def run(batches):
@@ -144,7 +143,7 @@ def scan(docs: DataFrame, keep: list[str], index_var, text_col: str = "text") ->
             cols += [pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "n_words", "starts", "ends", "items"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -159,7 +158,6 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
     if len(parts) == 1:
         return scan(docs, keep, parts[0], text_col)
     # Several blocks: a row number keeps repeated documents apart; hits of all blocks meet by row.
-    spark = docs.sparkSession
     rows = common.materialize(common.row_key(docs.select(*keep, F.col(text_col).alias("__text"))), "decontaminate")
     out = None
     for p in parts:
@@ -176,10 +174,20 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('starts', acc[size(acc) - 1].starts, 'ends', greatest(s.ends, acc[size(acc) - 1].ends)))),
            concat(acc, array(s))))"""
     out = out.withColumn("__m", F.expr(merge)).select("__row", "n_words", F.col("__m.starts").alias("starts"), F.col("__m.ends").alias("ends"), "items")
-    del spark
     return rows.select("__row", *keep).join(out, "__row").drop("__row")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, min_words: int = 5) -> DataFrame:
+    """The documents without a hit span of ``min_words`` or more words, with their own columns.
+
+    A shared window of ``SPAN`` words always counts; whole items of fewer than ``min_words`` words are
+    too common to tell. Null and empty texts are clean.
+    """
+    hits = find(docs, benchmark, docs.columns)
+    long = F.exists(F.zip_with("ends", "starts", lambda a, b: a - b), lambda n: n >= min_words)
+    return hits.where(~long).select(*(f"`{c}`" for c in docs.columns))
+
+
 def report(hits: DataFrame) -> DataFrame:
     ids = F.array_join("items", ",")
     return hits.select(

@@ -109,6 +109,23 @@ def grouped(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """One row, with its own columns, of each group of near-duplicates: the first by id and hash of the text.
+
+    Null ids come first, null and empty texts are one group, and of fully repeated rows one stays.
+    """
+    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("__id"), th.alias("__th"), F.col(f"`{text_col}`").alias("text"))
+    prints = common.materialize(fingerprints(keyed, ["__id", "__th"], "text", shingle), "fingerprints")
+    distinct = common.materialize(prints.groupBy("fp").agg(F.min(F.struct("__id", "__th")).alias("first")), "distinct-fingerprints")
+    comp = common.materialize(components(links(distinct.select("fp"), bits)), "components")
+    classes = distinct.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    stay = common.materialize(classes.groupBy("component").agg(F.min("first").alias("first")).select("first.*"), "survivors")
+    rows = docs.withColumn("__k_id", F.col(f"`{id_col}`")).withColumn("__k_th", th)
+    rows = rows.join(stay, F.col("__k_id").eqNullSafe(F.col("__id")) & (F.col("__k_th") == F.col("__th")), "left_semi")
+    return rows.dropDuplicates(["__k_id", "__k_th"]).select(*(f"`{c}`" for c in docs.columns))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
