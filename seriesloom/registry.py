@@ -1,11 +1,80 @@
-"""Names of the queries, their plans and their SQL."""
+"""Names of the queries, their plans and their SQL. Each feature runs over the series of events by user."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.kernels import FEATURES
+from .operators import relational
+from .plans.extract import Extractor, features, summarize
+from .sources import series as sources
+
+SERIES_SQL = "(select user_id as series_id, row_number() over (partition by user_id order by ts, event_id) - 1 as t, cast(value as double) as v from events where value is not null and user_id is not null)"
+NUMS_SQL = "(select unnest(range(1024)) as k)"
+
+SCALARS = frozenset("""length period frac_cp peak_frac trough_frac walker_cross_frac embed_in_shell emb_lag emb_dim_cao trend_strenght season_strenght sd_residuals sd_diff sd_sdiff skewness_residuals
+skewness_diff skewness_sdiff kurtosis_residuals kurtosis_diff kurtosis_sdiff exp_max_lyap exp_hurst dfa corr_dim opt_boxcox_coef t_mean des_level des_trend ets_level ets_trend ets_season linearity curvature
+avg_cycle_period gaussian_r_sqr ioe_std_slope ioe_std_adj_r_sqr ps_entropy low_freq_power hist_entropy hist_ent_out_diff ami_first_critpt ami_curvature approx_entropy sample_entropy control_entropy lz_complexity
+test_dw test_earch test_adf test_adf_gls test_pp test_kpss test_za test_lilliefors acf_first_nonsig acf_first_nonpos first_acf_locmin trev tc3 gen_autocorr""".split())
+
+
+def _kernel(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = features(sources.events_by_user(spark, sf_dir), [name])
+        value = F.when(~F.isnan("value"), F.col("value")).alias("value")
+        return out.select("series_id", value) if name in SCALARS else out.where("idx is not null").select("series_id", "idx", value)
+
+    return run
+
+
+def _relational(name: str):
+    return lambda spark, sf_dir: relational.run(name, sources.events_by_user(spark, sf_dir))
+
+
+def _summary(name: str):
+    """Of the differences of each series."""
+    sql = relational.summary_sql(name, "{values}")
+    return lambda spark, sf_dir: relational.plan(sql, (s := sources.events_by_user(spark, sf_dir)), values=relational.run("diff", s).select("series_id", "value"))
+
+
+def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features with the default summaries."""
+    return Extractor().fit(sources.events_by_user(spark, sf_dir)).extract().withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Extractor(["t_mean", "sd_diff", "acf_first_nonpos"], random_state=7).fit(sources.events_by_user(spark, sf_dir))
+    return x.extract_with_confidence(32)
+
+
+def _by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Extractor(["length", "t_mean", "hist_entropy", "diff"]).fit(sources.events_by_user(spark, sf_dir)).extract()
+    return Extractor.parse_by_group(x, ["global-stat"]).select("series_id", "feature", "value")
+
+
+def _summaries_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = features(sources.events_by_user(spark, sf_dir), ["diff", "bin_mean"])
+    return summarize(table, Extractor.valid_summary()).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
 
 def queries() -> dict:
-    return {}
+    out = {n: _relational(n) if n in relational.SQL else _kernel(n) for n in FEATURES}
+    out |= {f"summary_{n}": _summary(n) for n in Extractor.valid_summary()}
+    out |= {"extract": _extract, "extract_with_confidence": _confidence, "parse_by_group": _by_group, "summarize": _summaries_at_once}
+    out["metafeature_description"] = lambda spark, sf_dir: Extractor.description(spark)
+    return out
+
+
+def _text(sql: str, **tables: str) -> str:
+    for k, v in {"series": SERIES_SQL, "nums": NUMS_SQL, **tables}.items():
+        sql = sql.replace("{" + k + "}", v)
+    return sql
 
 
 def oracle_sql() -> dict:
-    return {}
+    out = {n: _text(s) for n, s in relational.SQL.items()}
+    diff = "(" + relational.SQL["diff"] + ")"
+    out |= {f"summary_{n}": _text(relational.summary_sql(n, "{values}"), values=_text(diff)) for n in Extractor.valid_summary()}
+    out["parse_by_group"] = f"select series_id, 't_mean' as feature, value from ({_text(relational.SQL['t_mean'])}) x"
+    return out
