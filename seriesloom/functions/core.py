@@ -210,11 +210,11 @@ def super_smoother(y: np.ndarray) -> np.ndarray:
     best = np.argmin(errors, axis=0)
     span = running_lines(x, np.array(spans, float)[best], spans[1])[0]
     span = np.clip(span, spans[0], spans[2])
-    out = np.empty(n)
-    for i in range(n):  # between the two fits whose spans surround the wanted one
-        j = 0 if span[i] <= spans[1] else 1
-        w = (span[i] - spans[j]) / max(spans[j + 1] - spans[j], 1)
-        out[i] = (1 - w) * fits[j][i] + w * fits[j + 1][i]
+    # Between the two fits whose spans surround the wanted one.
+    j, at, width = (span > spans[1]).astype(int), np.arange(n), np.array(spans, float)
+    w = (span - width[j]) / np.maximum(width[j + 1] - width[j], 1)
+    fits = np.array(fits)
+    out = (1 - w) * fits[j, at] + w * fits[j + 1, at]
     return running_lines(x, out, spans[0])[0]
 
 
