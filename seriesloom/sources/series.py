@@ -47,5 +47,11 @@ def csv_lines(spark: SparkSession, path: str, last: int | None = None) -> DataFr
 
 
 def arrays(series: DataFrame) -> DataFrame:
-    """series_id and values in order; one shuffle for all that follows."""
-    return series.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("values"))
+    """series_id and values in order; one shuffle for all that follows.
+
+    The number of partitions is given, so that adaptive planning doesn't join them by size: what follows
+    costs far more by series than its bytes tell.
+    """
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = series.repartition(parts, "series_id")
+    return dealt.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("values"))
