@@ -8,6 +8,8 @@ fetched for candidates alone. Of each connected group of lines the first occurre
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -49,14 +51,17 @@ def sketch(lines: list[list[bytes]], hashes: dict) -> np.ndarray:
             words += len(lines[end])
             end += 1
         counts = np.array([len(x) for x in lines[at:end]])
-        h = np.fromiter((hashes[w] for x in lines[at:end] for w in x), np.uint64, int(counts.sum()))
+        h = np.array(list(map(hashes.__getitem__, chain.from_iterable(lines[at:end]))), np.uint64)
         starts = np.r_[0, np.cumsum(counts)[:-1]]
-        over = np.zeros((end - at, 64), np.int64)
         if end - at == 1:
+            over = np.zeros((1, 64), np.int64)
             for i in range(0, len(h), _WORDS_AT_ONCE):
                 over += np.unpackbits(h[i : i + _WORDS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         else:
-            over = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            over = np.add.reduceat(bits, starts, axis=0, dtype=np.uint8).astype(np.int64)  # bytes are enough for most lines
+            for i in np.flatnonzero(counts > 255):
+                over[i] = bits[starts[i] : starts[i] + counts[i]].sum(axis=0, dtype=np.int64)
         out[at:end] = np.packbits(over * 2 > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
         at = end
     return out
