@@ -119,7 +119,10 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) ->
     verified = pairs.join(left, ["a", "ha"]).join(right, ["b", "hb"])
     longest = F.greatest(F.char_length("la"), F.char_length("lb"))
     limit = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
-    verified = verified.withColumn("__limit", limit).where("levenshtein(la, lb, __limit) >= 0").select(F.col("ha").alias("u"), F.col("hb").alias("v"))
+    # Lines of as many words are at most as far apart as their differing words are long: enough to accept, and cheap.
+    apart = """if(size(split(la, ' ')) = size(split(lb, ' ')),
+        aggregate(zip_with(split(la, ' '), split(lb, ' '), (x, y) -> if(x = y, 0, greatest(char_length(x), char_length(y)))), 0, (n, x) -> n + x), 2147483647)"""
+    verified = verified.withColumn("__limit", limit).where(f"case when abs(char_length(la) - char_length(lb)) > __limit then false when {apart} <= __limit then true else levenshtein(la, lb, __limit) >= 0 end").select(F.col("ha").alias("u"), F.col("hb").alias("v"))
     comp = common.materialize(components(verified), "line-components")
     known = kinds.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "h"))
     best = known.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1")
