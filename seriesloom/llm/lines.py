@@ -2,7 +2,7 @@
 
 One scan turns every line into two numbers: a hash of its normalized form and a SimHash of its words.
 Equal normalized lines meet by grouping; different ones are joined on pigeonhole blocks of the SimHash
-and verified, first by Hamming distance, then by edit similarity on the lines themselves, which are
+and verified, first by Hamming distance, then by the edit similarity of their sequences of words, which are
 fetched for candidates alone. Of each connected group of lines the first occurrence stays.
 """
 
@@ -42,6 +42,11 @@ def normalized(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
+def coded(words: list[bytes]) -> str:
+    """One character for each word, of a million: the edit distance of two such strings is that of the lines in words."""
+    return "".join([chr(0x10000 + xxhash.xxh3_64_intdigest(w) % 0x100000) for w in words])
+
+
 def sketch(lines: list[list[bytes]], hashes: dict) -> np.ndarray:
     """SimHash (unsigned) of each line's words."""
     out = np.zeros(len(lines), np.uint64)
@@ -92,13 +97,17 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, fp and normalized line of ``wanted`` (doc_id, th, line_no, h, fp)."""
+    """h, fp and coded line of ``wanted`` (doc_id, th, line_no, h, fp)."""
     by = wanted.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_list(F.struct("line_no", "h", "fp")).alias("want"))  # lines of one document
     found = docs.join(by, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t"))).dropDuplicates(["doc_id", "th"]).select("text", "want")
     one = F.explode(F.transform("want", lambda w: F.struct(w["h"].alias("h"), w["fp"].alias("fp"), F.get(F.split("text", "\n", -1), w["line_no"]).alias("line"))))
-    # The same normal form as above: A-Z lowered, blanks joined.
-    line = F.trim(F.regexp_replace(common.ascii_lower(F.col("x.line")), "[\\x20\\t-\\r]+", " "))
-    return found.select(one.alias("x")).select("x.h", "x.fp", line.alias("line"))
+
+    def run(batches):
+        for batch in batches:
+            codes = [coded(normalized(x)) for x in common.binary_values(batch.column("line"))]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("fp"), pa.array(codes, pa.string())], ["h", "fp", "line"])
+
+    return found.select(one.alias("x")).select("x.h", "x.fp", "x.line").mapInArrow(run, "h long, fp long, line string")
 
 
 def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -118,12 +127,8 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) ->
     text = common.materialize(fetch_lines(docs, wanted), "line-texts")
     left, right = text.select(F.col("h").alias("ha"), F.col("fp").alias("a"), F.col("line").alias("la")), text.select(F.col("h").alias("hb"), F.col("fp").alias("b"), F.col("line").alias("lb"))
     verified = pairs.join(left, ["a", "ha"]).join(right, ["b", "hb"])
-    longest = F.greatest(F.char_length("la"), F.char_length("lb"))
-    limit = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
-    # Lines of as many words are at most as far apart as their differing words are long: enough to accept, and cheap.
-    apart = """if(size(split(la, ' ')) = size(split(lb, ' ')),
-        aggregate(zip_with(split(la, ' '), split(lb, ' '), (x, y) -> if(x = y, 0, greatest(char_length(x), char_length(y)))), 0, (n, x) -> n + x), 2147483647)"""
-    verified = verified.withColumn("__limit", limit).where(f"case when abs(char_length(la) - char_length(lb)) > __limit then false when {apart} <= __limit then true else levenshtein(la, lb, __limit) >= 0 end").select(F.col("ha").alias("u"), F.col("hb").alias("v"))
+    limit = F.floor(F.greatest(F.char_length("la"), F.char_length("lb")) * (1 - similarity) + 1e-9).cast("int")
+    verified = verified.withColumn("__limit", limit).where("levenshtein(la, lb, __limit) >= 0").select(F.col("ha").alias("u"), F.col("hb").alias("v"))
     comp = common.materialize(components(verified), "line-components")
     known = kinds.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "h"))
     best = known.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1")
@@ -134,7 +139,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """All columns of ``docs`` with repeated lines cut from the text, and __n_lines, __n_dropped.
 
     Lines are equal if their words are (ASCII case and white space aside), and linked if the SimHashes of their words
-    differ in at most ``BITS`` bits and their edit similarity is ``SIMILARITY`` or more. The first line of each
+    differ in at most ``BITS`` bits and their edit similarity (1 - edits of words / words of the longer) is ``SIMILARITY`` or more. The first line of each
     connected group stays, by id, then hash of the text, then line number. Lines without words always
     stay. A null text stays null. Rows that repeat both id and text count as one occurrence and
     keep the same lines. Documents without lines left have an empty text; no document goes.
