@@ -7,6 +7,8 @@ comparison. Everything is DataFrame expressions; the templates are a fixed list.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,25 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
     return rows.select("license", F.explode(F.transform(F.array(words(F.col("body"))), bigrams)).alias("tb")).withColumn("tn", F.size("tb"))
 
 
+def anchors(texts: dict[str, str], dice: float) -> str:
+    """A pattern that every unit at ``dice`` or more with any template matches.
+
+    Such a unit has a share of dice / (2 - dice) of the template's bigrams at least. So it has one of the
+    bigrams that the anchor words touch, if these touch more than the rest. Long words first: they are rarer.
+    """
+    chosen = set()
+    for body in texts.values():
+        ws = re.findall("[a-z0-9]+|[^\x00-\x7f]+", body.translate({c: c + 32 for c in range(65, 91)}))
+        pairs = set(zip(ws, ws[1:])) or {(w, w) for w in ws}
+        own: set[str] = set()
+        for w in sorted(set(ws), key=lambda w: (w not in chosen, -len(w), w)):
+            if sum(a in own or b in own for a, b in pairs) > len(pairs) * (1 - dice / (2 - dice)):
+                break
+            own.add(w)
+        chosen |= own
+    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted(map(re.escape, chosen))) + ")"
+
+
 def scan(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, dice, n_units: for each document and licence met, the best coefficient and how many units meet it.
 
@@ -71,9 +92,10 @@ def scan(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", text_col:
     units = F.when(F.size(split) > 1, F.concat(split, F.array(text))).otherwise(split)
     # Size bounds before any bigram is made: n words, d of them different, have between d - 1 and n - 1 different bigrams.
     fits = lambda ws: (F.size(ws) >= 1) & (F.greatest(F.size(ws) - 1, F.lit(1)) >= low) & (F.size(F.array_distinct(ws)) - 1 <= high)
-    found = F.filter(F.transform(units, words), fits)
+    pattern = anchors(texts or TEMPLATES, dice)
+    found = F.filter(F.transform(F.filter(units, lambda u: u.rlike(pattern)), words), fits)
     # Exploded from one expression, so that no later filter is pushed below and has it evaluated again.
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.transform(found, bigrams)).alias("ub"))
+    rows = docs.where(text.rlike(pattern)).select(F.col(id_col).alias("doc_id"), F.explode(F.transform(found, bigrams)).alias("ub"))
     rows = rows.withColumn("un", F.size("ub"))
     close = (2 * F.least("un", "tn") >= dice * (F.col("un") + F.col("tn")))
     sizes = known.select("license", "tb", "tn", F.explode(F.sequence(F.ceil(F.col("tn") * dice / (2 - dice)).cast("int"), F.floor(F.col("tn") * (2 - dice) / dice).cast("int"))).alias("un"))
