@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 SLICE = 256
 
 
+#: Rows of an Arrow batch between the JVM and Python workers: bounds the memory of both.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Unlike ``checkpoint()`` it computes the plan a single time and keeps the columnar format.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -117,7 +117,7 @@ NEAR_BITS = 48  # of 256: a similarity of 0.8 gives 39 on average, with a deviat
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         out = xxhash.xxh64_intdigest(word, SEED)
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = out
         return out
