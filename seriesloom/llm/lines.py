@@ -22,7 +22,8 @@ from .simhash import links
 
 BITS = 2
 SIMILARITY = 0.8
-PAIRS_UPTO = 6  # groups of near-equal lines are many: larger buckets go by variants, whose number is linear
+BLOCKS = 5  # keys of 38 bits or more: lines are many, and shorter keys bring strangers together
+PAIRS_UPTO = 48
 _SEED = 42
 _WORDS_AT_ONCE = 1 << 16
 _KEPT = 400_000
@@ -116,7 +117,7 @@ def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) ->
     kinds = common.materialize(lines.groupBy("h", "fp").agg(first, F.count("*").alias("n")), "line-kinds")
     # Lines of one fingerprint that differ (the same words in another order) are verified like others.
     prints = common.materialize(kinds.groupBy("fp").agg(F.min("h").alias("head"), F.count("*").alias("k")), "line-prints")
-    near = common.materialize(links(prints.select("fp"), BITS, pairs_upto=PAIRS_UPTO), "line-links")
+    near = common.materialize(links(prints.select("fp"), BITS, BLOCKS, PAIRS_UPTO), "line-links")
     heads = prints.select("fp", "head")
     across = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
     within = kinds.join(prints.where("k > 1"), "fp").where("h <> head").select("fp", F.col("h").alias("ha"), F.col("head").alias("hb"))

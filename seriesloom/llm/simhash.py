@@ -56,11 +56,12 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def _masks(blocks: int, bits: int) -> list[int]:
-    """A mask for each choice of blocks that two close fingerprints may share."""
+def _masks(blocks: int, bits: int) -> list[tuple[int, int]]:
+    """A mask for each choice of blocks that two close fingerprints may share, and a tag in the bits that it leaves out."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    return [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - bits)]
+    masks = [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - bits)]
+    return [(m, i * (~m & (m + 1))) for i, m in enumerate(masks)]
 
 
 def _signed(x: int) -> int:
@@ -74,14 +75,14 @@ def links(prints: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS, pairs_u
     """
     if bits > 2:
         raise ValueError("single-bit variants bridge two differing bits at most")
-    masks = _masks(blocks, bits)
-    choice = F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)))
-    keyed = prints.select("fp", F.explode(choice).alias("x")).select("fp", "x.c", "x.k")
-    count = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = common.materialize(keyed.join(count, ["c", "k"]), "simhash-buckets")
+    # The tag keeps choices apart in a single key. Where keys of two choices meet nevertheless, the check below settles it.
+    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))).bitwiseOR(F.lit(_signed(tag))) for m, tag in _masks(blocks, bits)))
+    keyed = prints.select("fp", F.explode(keys).alias("k"))
+    count = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    shared = common.materialize(keyed.join(count, "k"), "simhash-buckets")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
     small = shared.where(F.col("n") <= pairs_upto)
-    pairs = small.select("c", "k", F.col("fp").alias("a")).join(small.select("c", "k", F.col("fp").alias("b")), ["c", "k"]).where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
+    pairs = small.select("k", F.col("fp").alias("a")).join(small.select("k", F.col("fp").alias("b")), "k").where((F.col("a") < F.col("b")) & near("a", "b")).select("a", "b")
     hot = shared.where(F.col("n") > pairs_upto).select("fp").distinct()
     flips = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     variants = hot.select("fp", F.explode(flips).alias("variant"))

@@ -198,8 +198,8 @@ def test_simhash(spark, docs, empty):
     assert {None, 6, 1, 8, 10, 11, 12} <= left and not {2, 7, 13} & left and stay.count() == stay.dropDuplicates(["doc_id", "text"]).count()
 
 
-@pytest.mark.parametrize("upto", [2, 24])
-def test_large_buckets_lose_no_connection(spark, upto):
+@pytest.mark.parametrize("upto, blocks", [(2, 4), (24, 4), (48, 5)])
+def test_large_buckets_lose_no_connection(spark, upto, blocks):
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 2**62))
     prints = {base}
@@ -210,7 +210,7 @@ def test_large_buckets_lose_no_connection(spark, upto):
         prints.add(x)
     want = plain_components(dict.fromkeys(prints), 2)
     table = spark.createDataFrame([(int(p),) for p in prints], "fp long")
-    found = simhash.links(table, pairs_upto=upto)
+    found = simhash.links(table, blocks=blocks, pairs_upto=upto)
     assert all((a ^ b).bit_count() <= 2 for a, b in rows(found))
     got = dict(rows(components.components(found)))
     classes = {}
