@@ -8,7 +8,7 @@ fetched for candidates alone. Of each connected group of lines the first occurre
 
 from __future__ import annotations
 
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,56 @@ BLOCKS = 5  # keys of 38 bits or more: lines are many, and shorter keys bring st
 PAIRS_UPTO = 48
 _SEED = 42
 _WORDS_AT_ONCE = 1 << 16
-_KEPT = 400_000
+_BYTES_AT_ONCE = 1 << 19
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = xxhash.xxh64_intdigest(word, _SEED)
-        if len(self) >= _KEPT:
-            self.clear()
-        self[word] = out
-        return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_VALUE = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(_SEED))
+_ODD = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2**64."""
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+def words_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts start, and their hashes (ASCII case aside). ``data``: the texts' bytes on end, ``begins``: where each begins.
+
+    A word's hash is a polynomial of its bytes, taken from prefix sums. Memory beyond the words goes with ``_BYTES_AT_ONCE``
+    or the longest single word.
+    """
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:] = _SPACE[data]
+    edge[begins[begins <= len(data)]] = True  # a word may start here
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + _BYTES_AT_ONCE, len(data))
+        if end < len(data) and not edge[end]:
+            back = np.flatnonzero(edge[at + 1 : end])
+            ahead = end + int(np.argmax(edge[end:])) if edge[end:].any() else len(data)
+            end = at + 1 + int(back[-1]) if len(back) else ahead
+        part = data[at:end]
+        word = ~_SPACE[part]
+        first = np.flatnonzero(word & edge[at:end])
+        over = np.r_[edge[at + 1 : end], True] | np.r_[_SPACE[part[1:]], True]
+        last = np.flatnonzero(word & over) + 1
+        n = _BYTES_AT_ONCE if end - at <= _BYTES_AT_ONCE else end - at
+        up, down = _powers(n) if n == _BYTES_AT_ONCE else _powers.__wrapped__(n)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
+        found.append((first + at, _mixed((sums[last] - sums[first]) * down[first])))
+        at = end
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([h for _, h in found])
 
 
 def normalized(line: bytes) -> list[bytes]:
@@ -48,51 +88,61 @@ def coded(words: list[bytes]) -> str:
     return "".join([chr(0x10000 + xxhash.xxh3_64_intdigest(w) % 0x100000) for w in words])
 
 
-def sketch(lines: list[list[bytes]], hashes: dict) -> np.ndarray:
-    """SimHash (unsigned) of each line's words."""
-    out = np.zeros(len(lines), np.uint64)
+def sketch(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SimHash (unsigned) of each line's words: their hashes on end, and where each line starts."""
+    ends = np.r_[starts[1:], len(h)]
+    counts = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    bits_of = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     at = 0
-    while at < len(lines):
-        end, words = at, 0
-        while end < len(lines) and (end == at or words + len(lines[end]) <= _WORDS_AT_ONCE):
-            words += len(lines[end])
-            end += 1
-        counts = np.array([len(x) for x in lines[at:end]])
-        h = np.array(list(map(hashes.__getitem__, chain.from_iterable(lines[at:end]))), np.uint64)
-        starts = np.r_[0, np.cumsum(counts)[:-1]]
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + _WORDS_AT_ONCE, "right")))
+        n = counts[at:end]
         if end - at == 1:
             over = np.zeros((1, 64), np.int64)
-            for i in range(0, len(h), _WORDS_AT_ONCE):
-                over += np.unpackbits(h[i : i + _WORDS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            for i in range(int(starts[at]), int(ends[at]), _WORDS_AT_ONCE):
+                over += bits_of(h[i : min(i + _WORDS_AT_ONCE, ends[at])]).sum(axis=0, dtype=np.int64)
         else:
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            over = np.add.reduceat(bits, starts, axis=0, dtype=np.uint8).astype(np.int64)  # bytes are enough for most lines
-            for i in np.flatnonzero(counts > 255):
-                over[i] = bits[starts[i] : starts[i] + counts[i]].sum(axis=0, dtype=np.int64)
-        out[at:end] = np.packbits(over * 2 > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            bits = bits_of(h[starts[at] : ends[end - 1]])
+            # Eight counters to a number: a byte is enough for most lines.
+            over = np.add.reduceat(bits.view(np.uint64), starts[at:end] - starts[at], axis=0).view(np.uint8).astype(np.int64)
+            for i in np.flatnonzero(n > 255):
+                over[i] = bits[starts[at + i] - starts[at] :][: n[i]].sum(axis=0, dtype=np.int64)
+        out[at:end] = np.packbits(over * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
         at = end
     return out
 
 
+def lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """text, line number, hash and SimHash of each line that has a word, of texts whose bytes lie on end."""
+    starts, h = words_of(data, begins)
+    text = np.searchsorted(begins, starts, "right") - 1
+    breaks = np.flatnonzero(data == 10)
+    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, begins)[text]
+    if not len(h):
+        return text, number, h, h
+    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (number[1:] != number[:-1])])
+    place = np.arange(len(h)) - np.repeat(new, np.diff(np.r_[new, len(h)]))
+    keys = np.add.reduceat(_mixed(h + place.astype(np.uint64) * np.uint64(_ODD)), new)
+    return text[new], number[new], keys, sketch(h, new)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), line_no, h, fp for each line with a word. ``docs``: doc_id, th, text."""
 
     def run(batches):
-        hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE):
-                part = batch.slice(at, common.SLICE)
-                row, number, lines, keys = [], [], [], []
-                for i, text in enumerate(common.binary_values(part.column(2))):
-                    for k, line in enumerate(text.split(b"\n") if text else ()):
-                        if words := normalized(line):
-                            row.append(i)
-                            number.append(k)
-                            lines.append(words)
-                            keys.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                ids = part.select(["doc_id", "th"]).take(pa.array(row, pa.int64()))
-                cols = [pa.array(number, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sketch(lines, hashes).view(np.int64))]
+            texts = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+            begins = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            at = 0
+            while at < len(texts):
+                end = max(at + 1, int(np.searchsorted(begins, begins[at] + _BYTES_AT_ONCE, "right")) - 1)
+                text, number, keys, prints = lines_of(data[begins[at] : begins[end]], begins[at:end] - begins[at])
+                ids = batch.select(["doc_id", "th"]).take(pa.array(text + at, pa.int64()))
+                cols = [pa.array(number.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(prints.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*ids.columns, *cols], ["doc_id", "th", "line_no", "h", "fp"])
+                at = end
 
     return docs.mapInArrow(run, "doc_id long, th long, line_no int, h long, fp long")
 

@@ -241,6 +241,32 @@ def edit_distance(a, b):
     return d[-1]
 
 
+def plain_sketch(words):
+    """SimHash of a line by whole numbers alone."""
+    over = [0] * 64
+    for w in words:
+        h = sum(int(lines._VALUE[c]) * lines._ODD**i for i, c in enumerate(w)) % 2**64
+        for _ in range(2):
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+        h ^= h >> 32
+        over = [n + (h >> i & 1) for i, n in enumerate(over)]
+    return sum(1 << i for i, n in enumerate(over) if 2 * n > len(words))
+
+
+@pytest.mark.parametrize("step", [4, 64, 1 << 19])
+def test_hashes_of_lines(monkeypatch, step):
+    monkeypatch.setattr(lines, "_BYTES_AT_ONCE", step)
+    rng = np.random.default_rng(5)
+    texts = [b"", b"One two\n\ntwo one\n", b"no break", b"", b"\n", b"one TWO", b"w" * 300, b"\x1c\xc3\xa9 x" * 300]
+    texts += [bytes(rng.choice(list(b"aB \n\t"), int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(60)]
+    begins = np.cumsum([0, *map(len, texts)])[:-1]
+    got = [x.tolist() for x in lines.lines_of(np.frombuffer(b"".join(texts), np.uint8), begins)]
+    want = [(i, k, tuple(w)) for i, t in enumerate(texts) for k, x in enumerate(t.split(b"\n")) if (w := lines.normalized(x))]
+    assert list(zip(got[0], got[1])) == [(i, k) for i, k, _ in want] and got[3] == [plain_sketch(w) for _, _, w in want]
+    assert len({w for _, _, w in want}) == len(set(got[2])) == len({(h, w) for h, (_, _, w) in zip(got[2], want)})
+    assert all(len(x) == 0 for x in lines.lines_of(np.zeros(0, np.uint8), np.zeros(2, np.int64)))
+
+
 def test_lines(spark, docs, empty):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 3
     near = base.replace("kappa", "kappas", 1)
@@ -248,7 +274,7 @@ def test_lines(spark, docs, empty):
     t = t.withColumn("line_no", F.lit("clash")).withColumn("first", F.lit(0))
     got = {(r["doc_id"], r["text"]) for r in lines.dedup(t).collect()}
     words = [lines.normalized(x.encode()) for x in (base, near)]
-    a, b = (int(x) for x in lines.sketch(words, lines._Hashes()))
+    a, b = map(plain_sketch, words)
     linked = (a ^ b).bit_count() <= lines.BITS and edit_distance(*words) <= 0.2 * len(words[0])
     first = f"{base}\nkeep me please\n" if linked else f"{base}\nkeep me please\n\n{near}"
     assert got == {(1, first), (2, "mine alone"), (3, ""), (4, None), (5, ""), (6, "x"), (2, "other of two")} or not linked
@@ -268,7 +294,7 @@ def test_lines_against_brute_force(spark):
                 place.setdefault(w, []).append((i, k))
                 kinds[w] = None
     ks = list(kinds)
-    fp = [int(x) for x in lines.sketch([list(w) for w in ks], lines._Hashes())]
+    fp = [plain_sketch(w) for w in ks]
     root = list(range(len(ks)))
 
     def find(x):
