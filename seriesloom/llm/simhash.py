@@ -175,17 +175,15 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     prints = keyed.mapInArrow(run, "id long, th long, a array<long>, w array<long>")
     # Equal texts have equal sketches: the first row of a text stands for it.
     nodes = common.materialize(prints.groupBy("th").agg(F.min(F.struct("id", "a", "w")).alias("x")).select("th", "x.id", "x.a", "x.w"), "near-texts")
-    found = None
-    for i in range(len(SEEDS)):
-        own = nodes.select("th", F.col("a")[i].alias("fp"))
-        heads = common.materialize(own.groupBy("fp").agg(F.min("th").alias("head"), F.count("*").alias("n")), "near-prints")
-        close = links(heads.select("fp"))
-        ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(h)) for c, h in (("a", "u"), ("b", "v"))]
-        across = close.join(ends[0], "a").join(ends[1], "b").select("u", "v")
-        within = own.join(heads.where("n > 1"), "fp").where("th <> head").select(F.col("th").alias("u"), F.col("head").alias("v"))
-        both = across.unionByName(within)
-        found = both if found is None else found.unionByName(both)
-    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # The four kinds go through one join: where two of different kinds meet by chance, the wide check below parts them.
+    own = nodes.select("th", F.explode("a").alias("fp")).distinct()
+    heads = common.materialize(own.groupBy("fp").agg(F.min("th").alias("head"), F.count("*").alias("n")), "near-prints")
+    close = common.materialize(links(heads.select("fp")), "near-links")
+    ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(h)) for c, h in (("a", "u"), ("b", "v"))]
+    across = close.join(ends[0], "a").join(ends[1], "b").select("u", "v")
+    within = own.join(heads.where("n > 1"), "fp").where("th <> head").select(F.col("th").alias("u"), F.col("head").alias("v"))
+    found = across.unionByName(within).where("u <> v")
+    found = common.materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-candidates")
     apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(4)), F.lit(0))
     near = found.join(nodes.select(F.col("th").alias("u"), F.col("w").alias("x")), "u").join(nodes.select(F.col("th").alias("v"), F.col("w").alias("y")), "v").where(apart <= near_bits).select("u", "v")
     comp = common.materialize(components(near), "near-components")
