@@ -1,9 +1,9 @@
 """Fuzzy line deduplication over the whole corpus.
 
-One scan turns every line into two numbers: a hash of its normalized form and a SimHash of its words.
-Equal normalized lines meet by grouping; different ones are joined on pigeonhole blocks of the SimHash
-and verified, first by Hamming distance, then by the edit similarity of their sequences of words, which are
-fetched for candidates alone. Of each connected group of lines the first occurrence stays.
+One scan turns every line into a hash of its normalized form and some keys from least hashes of its pairs of
+neighbouring words. Equal normalized lines meet by grouping; different ones that share a key are candidates,
+verified by the edit similarity of their sequences of words alone, which are fetched for candidates only. Of each
+connected group of lines the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .simhash import links
 
-BITS = 2
+BITS = 2  # of the SimHashes that ``lines_of`` gives; ``dedup`` doesn't ask for them
 SIMILARITY = 0.8
-BLOCKS = 5  # keys of 38 bits or more: lines are many, and shorter keys bring strangers together
-PAIRS_UPTO = 48
+BANDS = 16  # keys of a line, each of ROWS least hashes: of one word in n replaced, (n - 1) / (n + 3) of the pairs are shared
+ROWS = 3
 _SEED = 42
 _WORDS_AT_ONCE = 1 << 16
 _BYTES_AT_ONCE = 1 << 19
@@ -113,22 +112,46 @@ def sketch(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text, line number, hash and SimHash of each line that has a word, of texts whose bytes lie on end."""
+def _hashed(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """text, line number and hash of each line that has a word, of texts whose bytes lie on end; the words' hashes and where each line's begin."""
     starts, h = words_of(data, begins)
     text = np.searchsorted(begins, starts, "right") - 1
     breaks = np.flatnonzero(data == 10)
     number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, begins)[text]
     if not len(h):
-        return text, number, h, h
+        return text, number, h, h, np.zeros(0, np.int64)
     new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (number[1:] != number[:-1])])
     place = np.arange(len(h)) - np.repeat(new, np.diff(np.r_[new, len(h)]))
     keys = np.add.reduceat(_mixed(h + place.astype(np.uint64) * np.uint64(_ODD)), new)
-    return text[new], number[new], keys, sketch(h, new)
+    return text[new], number[new], keys, h, new
+
+
+def lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """text, line number, hash and SimHash of each line that has a word, of texts whose bytes lie on end."""
+    text, number, keys, h, new = _hashed(data, begins)
+    return text, number, keys, sketch(h, new)
+
+
+def bands(h: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys (unsigned, 32 bits) of each line from least hashes of its pairs of neighbouring words, its ends included."""
+    out = np.zeros((len(new), BANDS), np.uint32)
+    if not len(new):
+        return out
+    pair = _mixed(np.insert(h, new, np.uint64(1)) * np.uint64(_ODD) + np.insert(h, np.r_[new[1:], len(h)], np.uint64(2)))
+    at = new + np.arange(len(new))
+    draw = np.random.default_rng(_SEED)
+    for band in range(BANDS):
+        key = np.zeros(len(new), np.uint64)
+        for salt, odd in draw.integers(0, 1 << 63, (ROWS, 2)).astype(np.uint64):
+            x = (pair ^ salt) * (odd | np.uint64(1))
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(_ODD)
+            key = _mixed(key * np.uint64(_ODD) + np.minimum.reduceat(x, at))
+        out[:, band] = key >> np.uint64(32)
+    return out
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line_no, h, fp for each line with a word. ``docs``: doc_id, th, text."""
+    """doc_id, th (hash of the text), line_no, h, size (words) and keys for each line with a word. ``docs``: doc_id, th, text."""
 
     def run(batches):
         for batch in batches:
@@ -138,59 +161,73 @@ def line_table(docs: DataFrame) -> DataFrame:
             at = 0
             while at < len(texts):
                 end = max(at + 1, int(np.searchsorted(begins, begins[at] + _BYTES_AT_ONCE, "right")) - 1)
-                text, number, keys, prints = lines_of(data[begins[at] : begins[end]], begins[at:end] - begins[at])
+                text, number, keys, h, new = _hashed(data[begins[at] : begins[end]], begins[at:end] - begins[at])
                 ids = batch.select(["doc_id", "th"]).take(pa.array(text + at, pa.int64()))
-                cols = [pa.array(number.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(prints.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*ids.columns, *cols], ["doc_id", "th", "line_no", "h", "fp"])
+                found = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS), pa.array(bands(h, new).view(np.int32).ravel()))
+                cols = [pa.array(number.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(np.diff(np.r_[new, len(h)]).astype(np.int32)), found]
+                yield pa.RecordBatch.from_arrays([*ids.columns, *cols], ["doc_id", "th", "line_no", "h", "size", "keys"])
                 at = end
 
-    return docs.mapInArrow(run, "doc_id long, th long, line_no int, h long, fp long")
+    return docs.mapInArrow(run, "doc_id long, th long, line_no int, h long, size int, keys array<int>")
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, fp and coded line of ``wanted`` (doc_id, th, line_no, h, fp)."""
-    by = wanted.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_list(F.struct("line_no", "h", "fp")).alias("want"))  # lines of one document
+    """h and coded line of ``wanted`` (doc_id, th, line_no, h)."""
+    by = wanted.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_list(F.struct("line_no", "h")).alias("want"))  # lines of one document
     found = docs.join(by, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t"))).dropDuplicates(["doc_id", "th"]).select("text", "want")
-    one = F.explode(F.transform("want", lambda w: F.struct(w["h"].alias("h"), w["fp"].alias("fp"), F.get(F.split("text", "\n", -1), w["line_no"]).alias("line"))))
+    one = F.explode(F.transform("want", lambda w: F.struct(w["h"].alias("h"), F.get(F.split("text", "\n", -1), w["line_no"]).alias("line"))))
 
     def run(batches):
         for batch in batches:
             codes = [coded(normalized(x)) for x in common.binary_values(batch.column("line"))]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("fp"), pa.array(codes, pa.string())], ["h", "fp", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(codes, pa.string())], ["h", "line"])
 
-    return found.select(one.alias("x")).select("x.h", "x.fp", "x.line").mapInArrow(run, "h long, fp long, line string")
+    return found.select(one.alias("x")).select("x.h", "x.line").mapInArrow(run, "h long, line string")
 
 
-def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """h, fp and the first occurrence (doc_id, th, line_no) of the group of each line that is not alone."""
-    first = F.min(F.struct("doc_id", "th", "line_no")).alias("first")
-    kinds = common.materialize(lines.groupBy("h", "fp").agg(first, F.count("*").alias("n")), "line-kinds")
-    # Lines of one fingerprint that differ (the same words in another order) are verified like others.
-    prints = common.materialize(kinds.groupBy("fp").agg(F.min("h").alias("head"), F.count("*").alias("k")), "line-prints")
-    near = common.materialize(links(prints.select("fp"), BITS, BLOCKS, PAIRS_UPTO), "line-links")
-    heads = prints.select("fp", "head")
-    across = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
-    within = kinds.join(prints.where("k > 1"), "fp").where("h <> head").select("fp", F.col("h").alias("ha"), F.col("head").alias("hb"))
-    pairs = across.select("a", "ha", "b", "hb").unionByName(within.select(F.col("fp").alias("a"), "ha", F.col("fp").alias("b"), "hb"))
-    pairs = common.materialize(pairs, "line-pairs")
-    ends = pairs.select(F.col("a").alias("fp"), F.col("ha").alias("h")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("hb").alias("h"))).distinct()
-    wanted = common.materialize(kinds.join(ends, ["h", "fp"]).select("first.*", "h", "fp"), "line-wanted")
+def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose lines are similar."""
+    ends = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
+    wanted = common.materialize(kinds.join(ends, "h").select("first.*", "h"), "line-wanted")
     text = common.materialize(fetch_lines(docs, wanted), "line-texts")
-    left, right = text.select(F.col("h").alias("ha"), F.col("fp").alias("a"), F.col("line").alias("la")), text.select(F.col("h").alias("hb"), F.col("fp").alias("b"), F.col("line").alias("lb"))
-    verified = pairs.join(left, ["a", "ha"]).join(right, ["b", "hb"])
+    both = pairs.join(text.toDF("u", "la"), "u").join(text.toDF("v", "lb"), "v")
     limit = F.floor(F.greatest(F.char_length("la"), F.char_length("lb")) * (1 - similarity) + 1e-9).cast("int")
-    verified = verified.withColumn("__limit", limit).where("levenshtein(la, lb, __limit) >= 0").select(F.col("ha").alias("u"), F.col("hb").alias("v"))
-    comp = common.materialize(components(verified), "line-components")
-    known = kinds.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "h"))
+    return common.materialize(both.withColumn("__limit", limit).where("levenshtein(la, lb, __limit) >= 0").select("u", "v"), "line-verified")
+
+
+def _classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    comp = common.materialize(components(links), "line-components")
+    return members.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+
+
+def linked(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between similar lines with a common key: each line is compared with the least of each of its keys.
+    """
+    tagged = F.transform("keys", lambda x, i: F.call_function("shiftleft", i.cast("long"), F.lit(32)).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
+    keyed = lines.select("h", "size", F.explode(tagged).alias("k"))
+    shared = keyed.groupBy("k").agg(F.min("h").alias("hub"), F.max("h").alias("__top")).where("hub <> __top").drop("__top")
+    members = common.materialize(keyed.join(shared, "k").distinct(), "line-keys")
+    fits = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)
+    hubs = members.where("h = hub").select("k", F.col("size").alias("hub_size"))
+    star = members.where("h <> hub").join(hubs, "k").where(fits("size", "hub_size")).select(F.col("h").alias("u"), F.col("hub").alias("v")).distinct()
+    one = _verified(docs, kinds, common.materialize(star, "line-pairs"), similarity)
+    return one
+
+
+def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """h and the first occurrence (doc_id, th, line_no) of the group of each line that is not alone."""
+    first = F.min(F.struct("doc_id", "th", "line_no")).alias("first")
+    kinds = common.materialize(lines.groupBy("h").agg(first, F.count("*").alias("n")), "line-kinds")
+    known = _classes(kinds, linked(docs, lines, kinds, similarity))
     best = known.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1")
-    return known.select("h", "fp", "component").join(best, "component").select("h", "fp", "first")
+    return known.select("h", "component").join(best, "component").select("h", "first")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with repeated lines cut from the text, and __n_lines, __n_dropped.
 
-    Lines are equal if their words are (ASCII case and white space aside), and linked if the SimHashes of their words
-    differ in at most ``BITS`` bits and their edit similarity (1 - edits of words / words of the longer) is ``SIMILARITY`` or more. The first line of each
+    Lines are equal if their words are (ASCII case and white space aside), and linked if they share one of
+    ``BANDS`` keys and their edit similarity (1 - edits of words / words of the longer) is ``SIMILARITY`` or more. The first line of each
     connected group stays, by id, then hash of the text, then line number. Lines without words always
     stay. A null text stays null. Rows that repeat both id and text count as one occurrence and
     keep the same lines. Documents without lines left have an empty text; no document goes.
@@ -198,7 +235,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("th"), F.col(f"`{text_col}`").alias("text"))
     lines = common.materialize(line_table(keyed), "lines")
     group = common.materialize(groups(keyed, lines), "line-groups")
-    gone = lines.join(group, ["h", "fp"]).where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("first")))
+    gone = lines.drop("keys", "size").join(group, "h").where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))  # lines of one document
     gone = common.materialize(gone, "lines-gone")
     cols = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]

@@ -316,6 +316,27 @@ def test_lines_against_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in lines.dedup(d).collect()} == want
 
 
+def replaced_share(spark, n, cuts, pairs=60):
+    """Share of pairs of lines of ``n`` words, ``cuts`` of them replaced, of which the second line goes."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(pairs):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        other = list(words)
+        for k in rng.choice(n, cuts, replace=False):
+            other[k] = f"v{i}x{k}"
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(other))]
+    out = dict(spark.createDataFrame(rows, "doc_id long, text string").transform(lines.dedup).select("doc_id", "text").collect())
+    assert all(out[i] for i in range(pairs))
+    return sum(not out[1000 + i] for i in range(pairs)) / pairs
+
+
+@pytest.mark.parametrize("n", [10, 20, 100])
+def test_lines_with_replaced_words_go(spark, n):
+    assert replaced_share(spark, n, 1) >= 0.95
+    assert replaced_share(spark, n, n // 5) >= 0.5
+
+
 # ---- 7
 
 
