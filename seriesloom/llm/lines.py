@@ -201,7 +201,10 @@ def _classes(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between similar lines with a common key: each line is compared with the least of each of its keys.
+    """Links (u, v) between similar lines that connect all similar pairs with a common key, however many lines share it.
+
+    First each line is compared with the least of each of its keys. Then every pair of a key that this has not
+    connected is compared: pairs within the group of the key's least line are connected already, and all others are looked at.
     """
     tagged = F.transform("keys", lambda x, i: F.call_function("shiftleft", i.cast("long"), F.lit(32)).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     keyed = lines.select("h", "size", F.explode(tagged).alias("k"))
@@ -211,7 +214,15 @@ def linked(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarity: floa
     hubs = members.where("h = hub").select("k", F.col("size").alias("hub_size"))
     star = members.where("h <> hub").join(hubs, "k").where(fits("size", "hub_size")).select(F.col("h").alias("u"), F.col("hub").alias("v")).distinct()
     one = _verified(docs, kinds, common.materialize(star, "line-pairs"), similarity)
-    return one
+    known = common.materialize(_classes(members, one), "line-members")
+    of_hub = known.where("h = hub").select("k", F.col("component").alias("hub_component"))
+    rest = known.join(of_hub, "k").where("component <> hub_component").select("k", F.col("h").alias("u"), F.col("size").alias("su"), F.col("component").alias("cu"))
+    rest = common.materialize(rest, "line-rest")
+    others = known.where("h <> hub").join(rest.select("k").distinct(), "k", "left_semi").select("k", F.col("h").alias("v"), F.col("size").alias("sv"), F.col("component").alias("cv"))
+    pairs = rest.join(others, "k").where((F.col("cu") != F.col("cv")) & fits("su", "sv"))
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    two = _verified(docs, kinds, common.materialize(pairs, "line-pairs"), similarity)
+    return one.unionByName(two)
 
 
 def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

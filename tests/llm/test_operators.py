@@ -337,6 +337,23 @@ def test_lines_with_replaced_words_go(spark, n):
     assert replaced_share(spark, n, n // 5) >= 0.5
 
 
+@pytest.mark.parametrize("groups", [2])
+def test_lines_of_one_key_are_all_compared(spark, groups):
+    """The least line of the key is like no other; the others are similar in small groups."""
+    rng = np.random.default_rng(8)
+    texts = ["alone " * 10]
+    for g in range(groups):
+        words = [f"g{g}w{k}" for k in range(10)]
+        texts += [" ".join(words), " ".join([*words[:9], "x"]), " ".join(["y", *words[1:9], "x"])]
+    order = rng.permutation(len(texts) - 1)
+    h = [0, *(int(x) + 1 for x in order)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, th long, text string")
+    table = spark.createDataFrame([(i, i, 0, h[i], 10, [7]) for i in range(len(texts))], "doc_id long, th long, line_no int, h long, size int, keys array<int>")
+    of = {h[i]: (i - 1) // 3 for i in range(1, len(texts))}
+    got = dict(rows(lines.groups(docs, table).selectExpr("h", "first.doc_id")))
+    assert got == {k: 3 * g + 1 for k, g in of.items()}
+
+
 # ---- 7
 
 
