@@ -337,7 +337,7 @@ def test_lines_with_replaced_words_go(spark, n):
     assert replaced_share(spark, n, n // 5) >= 0.5
 
 
-@pytest.mark.parametrize("groups", [2])
+@pytest.mark.parametrize("groups", [2, 30])
 def test_lines_of_one_key_are_all_compared(spark, groups):
     """The least line of the key is like no other; the others are similar in small groups."""
     rng = np.random.default_rng(8)
