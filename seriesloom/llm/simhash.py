@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -68,6 +68,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _keys(bits: int, blocks: int) -> Column:
+    """The blocks of ``fp`` that another fingerprint at ``bits`` may share."""
+    # The tag keeps choices apart in a single key. Where keys of two choices meet nevertheless, the check of the bits settles it.
+    return F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))).bitwiseOR(F.lit(_signed(tag))) for m, tag in _masks(blocks, bits)))
+
+
 def links(prints: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS, pairs_upto: int = PAIRS_UPTO) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect all pairs at ``bits`` or fewer differing bits.
 
@@ -75,9 +81,7 @@ def links(prints: DataFrame, bits: int = MAX_BITS, blocks: int = BLOCKS, pairs_u
     """
     if bits > 2:
         raise ValueError("single-bit variants bridge two differing bits at most")
-    # The tag keeps choices apart in a single key. Where keys of two choices meet nevertheless, the check below settles it.
-    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))).bitwiseOR(F.lit(_signed(tag))) for m, tag in _masks(blocks, bits)))
-    keyed = prints.select("fp", F.explode(keys).alias("k"))
+    keyed = prints.select("fp", F.explode(_keys(bits, blocks)).alias("k"))
     count = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.materialize(keyed.join(count, "k"), "simhash-buckets")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
@@ -155,11 +159,25 @@ def wide(text: bytes | None, words: dict, shingle: int = NEAR_SHINGLE) -> tuple[
     return pack(one, len(ws)), pack(many, len(ws) - k + 1)
 
 
+def _unconnected(own: DataFrame, comp: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """All pairs of texts (u, v) with close fingerprints that are in different components. ``own``: th, fp; ``comp``: node, component.
+
+    Pairs within the greatest component of a key are passed over unseen: of a key that holds copies alone nothing is left.
+    """
+    known = own.join(comp.withColumnRenamed("node", "th"), "th", "left").select("th", "fp", F.coalesce("component", "th").alias("c"), F.explode(_keys(bits, BLOCKS)).alias("k"))
+    sizes = known.groupBy("k", "c").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("k").agg(F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("kinds")).where("kinds > 1").select("k", F.col("x.c").alias("main"))
+    shared = common.materialize(known.join(main, "k"), "near-shared")
+    rest, others = (shared.select("k", F.col("th").alias(t), F.col("fp").alias(f), F.col("c").alias(c), "main") for t, f, c in (("u", "a", "cu"), ("v", "b", "cv")))
+    pairs = rest.where("cu <> main").join(others.drop("main"), "k").where((F.col("cu") != F.col("cv")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_bits: int = NEAR_BITS) -> DataFrame:
     """One row, with its own columns, of each group of near-duplicates: the first by id and hash of the text.
 
     Candidates are texts one of whose four SimHashes of words is within ``MAX_BITS`` bits (pigeonhole blocks, as
-    above); a candidate is a near-duplicate if 256 bits over five-word shingles differ in at most ``near_bits``.
+    above), of any number of texts; a candidate is a near-duplicate if 256 bits over five-word shingles differ in at most ``near_bits``.
     Null ids come first, null and empty texts are one group, and of fully repeated rows one stays.
     """
     th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
@@ -185,7 +203,11 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     found = across.unionByName(within).where("u <> v")
     found = common.materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-candidates")
     apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(4)), F.lit(0))
-    near = found.join(nodes.select(F.col("th").alias("u"), F.col("w").alias("x")), "u").join(nodes.select(F.col("th").alias("v"), F.col("w").alias("y")), "v").where(apart <= near_bits).select("u", "v")
+    sketch = nodes.select("th", "w")
+    verified = lambda pairs: pairs.join(sketch.toDF("u", "x"), "u").join(sketch.toDF("v", "y"), "v").where(apart <= near_bits).select("u", "v")
+    near = common.materialize(verified(found), "near-verified")
+    comp = common.materialize(components(near), "near-components")
+    near = near.unionByName(verified(common.materialize(_unconnected(own, comp), "near-rest")))
     comp = common.materialize(components(near), "near-components")
     classes = nodes.select("th", "id").join(comp.select(F.col("node").alias("th"), "component"), "th", "left").withColumn("component", F.coalesce("component", "th"))
     stay = common.materialize(classes.groupBy("component").agg(F.min(F.struct("id", "th")).alias("first")).select("first.*"), "survivors")

@@ -222,6 +222,15 @@ def test_large_buckets_lose_no_connection(spark, upto, blocks):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, other.values()))
 
 
+def test_near_copies_with_the_words_of_another_text_meet(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(200)]
+    shuffled = [" ".join(rng.permutation(words)) for _ in range(30)]
+    texts = [x for t in shuffled for x in (t, t.upper())]  # one bag of words: one fingerprint of words for all
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.survivors(docs).collect()) == list(range(0, 60, 2))
+
+
 def test_components_of_a_long_path_and_no_edges(spark):
     e = spark.range(200).selectExpr("id as a", "id + 1 as b")
     assert {c for _, c in rows(components.components(e))} == {0}
