@@ -115,6 +115,12 @@ def test_shards(spark, docs, empty):
 # ---- 4
 
 
+@pytest.mark.parametrize("n", [200, 20_000])
+def test_top_word_is_of_the_whole_text(n):
+    words = [f"w{i}" for i in range(n // 2)] + ["junk"] * (n // 2)
+    assert quality.features(" ".join(words).encode())[quality.FEATURES.index("top word")] == 0.5
+
+
 def test_quality(spark, docs, empty):
     d, known = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
     got = quality.judged(d, known, carry=["doc_id"]).join(known, "doc_id").collect()
