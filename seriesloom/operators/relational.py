@@ -1,4 +1,4 @@
-"""Feature operators as SQL plans over ``series`` (series_id, t, v) and ``nums`` (k = 0 ... 1023).
+"""Feature operators as SQL plans over ``series`` (series_id, t, v) and ``nums`` (k = 0 ... 1023, or as far as half the longest series for the lags of ``acf`` and ``acf_diff``).
 
 The text keeps to ANSI functions, so Catalyst plans it here and any SQL engine can run it for comparison.
 Nothing is collected per series: windows, joins on (series_id, t + lag) and grouped sums only.
@@ -164,9 +164,16 @@ select h.series_id, cast(q.k as bigint) as idx, avg(case when h.bin = q.k then 1
 
 
 def run(name: str, series: DataFrame) -> DataFrame:
+    if name in ("acf", "acf_diff"):
+        return plan(SQL[name], series, nums=lags(series))
     return plan(SQL[name], series)
 
 
+def lags(series: DataFrame) -> DataFrame:
+    """k from 0 to half the length of the longest series; none without series."""
+    return series.sparkSession.sql("select explode(sequence(0L, max(n) div 2)) as k from (select count(*) as n from {series} group by series_id) x", series=series)
+
+
 def plan(sql: str, series: DataFrame, **tables: DataFrame) -> DataFrame:
     spark = series.sparkSession
     used = {k: v for k, v in {"series": series, "nums": spark.range(1024).withColumnRenamed("id", "k"), **tables}.items() if "{" + k + "}" in sql}

@@ -46,6 +46,15 @@ def test_relational_equals_kernel(series, name):
         assert np.allclose([v for _, v in have], [v for _, v in want], rtol=1e-6, atol=1e-8), (name, k)
 
 
+@pytest.mark.parametrize("name", ["acf", "acf_diff"])
+def test_lags_go_to_half_of_a_long_series(spark, name):
+    x = RNG.normal(size=2300)
+    table = spark.createDataFrame([(0, t, float(v)) for t, v in enumerate(x)], "series_id long, t long, v double")
+    got = [r["value"] for r in relational.run(name, table).orderBy("idx").collect()]
+    want = core.acf(x if name == "acf" else np.diff(x))
+    assert len(got) == len(want) > 1023 and np.allclose(got, want)
+
+
 def test_every_name_of_the_survey_is_there():
     assert len(FEATURES) == 149
     assert set(FEATURES) <= set(registry.queries())
