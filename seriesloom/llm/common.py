@@ -13,7 +13,7 @@ SLICE = 256
 
 
 #: Rows of an Arrow batch between the JVM and Python workers: bounds the memory of both.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -30,11 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a local session may go without; it gets a temporary folder, once.
+    Only a session whose driver is its one executor may go without; it gets a temporary folder, once.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -54,13 +54,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` has written, once nothing that is still to be computed reads it."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Stands for a null id in keys: it comes first, as nulls do. ``text_key`` tells the two apart.
+NO_ID = -(1 << 63)
+
+
+def id_key(c: Column) -> Column:
+    return F.coalesce(c.cast("long"), F.lit(NO_ID))
+
+
+def text_key(id_col: Column, text: Column) -> Column:
+    """64 bits that, beside the id, stand for a row: rows that repeat id and text have the same."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), id_col.isNull())
 
 
 def ascii_lower(c: Column) -> Column:

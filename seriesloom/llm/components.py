@@ -1,7 +1,7 @@
 """Connected components of a graph that is never held in one place.
 
 Alternating large-star and small-star steps: each is a minimum by node (combined map-side) and one
-join. The edges of every round are written to the shared folder, so lineage stays short and a lost
+join. The edges of every round are written to the shared folder (and deleted a round later), so lineage stays short and a lost
 executor costs one round at most. The number of rounds grows with the logarithm of the size.
 """
 
@@ -37,10 +37,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, "v > u").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         large = common.materialize(large, "edges")
+        common.drop(e)
         # Small star: a node and its lesser neighbours go to the least of these; edges point down already.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = common.materialize(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        common.drop(large)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -48,4 +50,6 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = common.materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    common.drop(e)
+    return out

@@ -1,15 +1,17 @@
 """Fuzzy line deduplication over the whole corpus.
 
 One scan turns every line into a hash of its normalized form and some keys from least hashes of its pairs of
-neighbouring words. Equal normalized lines meet by grouping; different ones that share a key are candidates,
-verified by the edit similarity of their sequences of words alone, which are fetched for candidates only. Of each
+neighbouring words. Equal normalized lines meet by grouping; different ones that share a key are candidates, sifted by the
+Hamming distance of their SimHashes and verified by edit similarity on the lines themselves, which are fetched for candidates only. Of each
 connected group of lines the first occurrence stays.
+
+Blocks of SimHashes, the obvious way to candidates, can't give right results here. A line has few words: where one in five differs (a
+similarity of 0.8) about 13 of 64 bits do, and blocks that 13 bits leave one of have 4 bits, which a sixteenth of all lines share. Within 2
+bits, as blocks of 16 bits allow, hardly any similar line is found. Least hashes of word pairs find similar lines at an affordable number of keys.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,64 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .blocking import linked
 from .components import components
+from .words import ODD, SEED, mixed, sim_hashes, slices, words_of
 
-BITS = 2  # of the SimHashes that ``lines_of`` gives; ``dedup`` doesn't ask for them
 SIMILARITY = 0.8
-BANDS = 16  # keys of a line, each of ROWS least hashes: of one word in n replaced, (n - 1) / (n + 3) of the pairs are shared
-ROWS = 3
-_SEED = 42
-_WORDS_AT_ONCE = 1 << 16
-_BYTES_AT_ONCE = 1 << 19
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
-_VALUE = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(_SEED))
-_ODD = 0x9E3779B97F4A7C15
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number, and of its inverse, modulo 2**64."""
-    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
-
-
-def words_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of texts start, and their hashes (ASCII case aside). ``data``: the texts' bytes on end, ``begins``: where each begins.
-
-    A word's hash is a polynomial of its bytes, taken from prefix sums. Memory beyond the words goes with ``_BYTES_AT_ONCE``
-    or the longest single word.
-    """
-    edge = np.ones(len(data) + 1, bool)
-    edge[1:] = _SPACE[data]
-    edge[begins[begins <= len(data)]] = True  # a word may start here
-    found, at = [], 0
-    while at < len(data):
-        end = min(at + _BYTES_AT_ONCE, len(data))
-        if end < len(data) and not edge[end]:
-            back = np.flatnonzero(edge[at + 1 : end])
-            ahead = end + int(np.argmax(edge[end:])) if edge[end:].any() else len(data)
-            end = at + 1 + int(back[-1]) if len(back) else ahead
-        part = data[at:end]
-        word = ~_SPACE[part]
-        first = np.flatnonzero(word & edge[at:end])
-        over = np.r_[edge[at + 1 : end], True] | np.r_[_SPACE[part[1:]], True]
-        last = np.flatnonzero(word & over) + 1
-        n = _BYTES_AT_ONCE if end - at <= _BYTES_AT_ONCE else end - at
-        up, down = _powers(n) if n == _BYTES_AT_ONCE else _powers.__wrapped__(n)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
-        found.append((first + at, _mixed((sums[last] - sums[first]) * down[first])))
-        at = end
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([h for _, h in found])
+#: Keys of a line, each of the two least hashes of its word pairs. Of one word in five replaced a key is left with 0.21, so one of ten with 0.9.
+BANDS = 10
+#: Lines of up to so many characters are also compared by characters: there a word is too coarse a unit for a mistyped letter.
+CHARS = 512
+#: Words of so many bytes are passed over in keys, but where a line has fewer than FEW others.
+SHORT = 3
+FEW = 6
+#: Bits of 256 that SimHashes of similar lines may differ in: 52 on average at a similarity of 0.8, with a deviation of 6.5. Lines of up to
+#: FEW_WORDS words, which may be similar by characters with more words touched, have more. Unlike lines differ in 128.
+MARK_BITS, FEW_WORDS, FEW_WORDS_BITS = 72, 10, 100
+_SEEN = 200_000  # hashes of lines that a task remembers, so that it gives the keys of a repeated line once
 
 
 def normalized(line: bytes) -> list[bytes]:
@@ -87,174 +47,172 @@ def coded(words: list[bytes]) -> str:
     return "".join([chr(0x10000 + xxhash.xxh3_64_intdigest(w) % 0x100000) for w in words])
 
 
-def sketch(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash (unsigned) of each line's words: their hashes on end, and where each line starts."""
-    ends = np.r_[starts[1:], len(h)]
-    counts = ends - starts
-    out = np.zeros(len(starts), np.uint64)
-    bits_of = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at = 0
-    while at < len(starts):
-        end = max(at + 1, int(np.searchsorted(ends, starts[at] + _WORDS_AT_ONCE, "right")))
-        n = counts[at:end]
-        if end - at == 1:
-            over = np.zeros((1, 64), np.int64)
-            for i in range(int(starts[at]), int(ends[at]), _WORDS_AT_ONCE):
-                over += bits_of(h[i : min(i + _WORDS_AT_ONCE, ends[at])]).sum(axis=0, dtype=np.int64)
-        else:
-            bits = bits_of(h[starts[at] : ends[end - 1]])
-            # Eight counters to a number: a byte is enough for most lines.
-            over = np.add.reduceat(bits.view(np.uint64), starts[at:end] - starts[at], axis=0).view(np.uint8).astype(np.int64)
-            for i in np.flatnonzero(n > 255):
-                over[i] = bits[starts[at + i] - starts[at] :][: n[i]].sum(axis=0, dtype=np.int64)
-        out[at:end] = np.packbits(over * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        at = end
-    return out
-
-
-def _hashed(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text, line number and hash of each line that has a word, of texts whose bytes lie on end; the words' hashes and where each line's begin."""
-    starts, h = words_of(data, begins)
+def hashed(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """text, line number and hash of each line that has a word, of texts whose bytes lie on end; the words' hashes and bytes, and where each line's begin."""
+    starts, h, size = words_of(data, begins)
     text = np.searchsorted(begins, starts, "right") - 1
     breaks = np.flatnonzero(data == 10)
     number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, begins)[text]
     if not len(h):
-        return text, number, h, h, np.zeros(0, np.int64)
+        return text, number, h, h, size, np.zeros(0, np.int64)
     new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (number[1:] != number[:-1])])
     place = np.arange(len(h)) - np.repeat(new, np.diff(np.r_[new, len(h)]))
-    keys = np.add.reduceat(_mixed(h + place.astype(np.uint64) * np.uint64(_ODD)), new)
-    return text[new], number[new], keys, h, new
+    keys = np.add.reduceat(mixed(h + place.astype(np.uint64) * np.uint64(ODD)), new)
+    return text[new], number[new], keys, h, size, new
 
 
-def lines_of(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text, line number, hash and SimHash of each line that has a word, of texts whose bytes lie on end."""
-    text, number, keys, h, new = _hashed(data, begins)
-    return text, number, keys, sketch(h, new)
+def _pairs(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words in order (``line``: the line of each word), the lines' ends included, and their lines."""
+    new = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+    pair = mixed(np.insert(h, new, np.uint64(1)) * np.uint64(ODD) + np.insert(h, np.r_[new[1:], len(h)], np.uint64(2))) if len(h) else h
+    return pair, np.repeat(line[new], np.diff(np.r_[new, len(h)]) + 1)
 
 
-def bands(h: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys (unsigned, 32 bits) of each line from least hashes of its pairs of neighbouring words, its ends included."""
-    out = np.zeros((len(new), BANDS), np.uint32)
-    if not len(new):
+def bands(h: np.ndarray, size: np.ndarray, new: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
+    """``BANDS`` keys (unsigned) of each line (or of the ``chosen``) from the two least hashes of its pairs of neighbouring words, its ends included.
+
+    Words of up to ``SHORT`` bytes are passed over: they are the frequent ones, whose pairs would bring unlike lines together. A line of fewer than ``FEW`` others also has the pairs of all its words.
+    """
+    sizes = np.diff(np.r_[new, len(h)])
+    if chosen is not None:
+        on = np.repeat(chosen, sizes)
+        h, size, sizes = h[on], size[on], sizes[chosen]
+    out = np.empty((len(sizes), BANDS), np.uint64)
+    if not len(sizes):
         return out
-    pair = _mixed(np.insert(h, new, np.uint64(1)) * np.uint64(_ODD) + np.insert(h, np.r_[new[1:], len(h)], np.uint64(2)))
-    at = new + np.arange(len(new))
-    draw = np.random.default_rng(_SEED)
-    for band in range(BANDS):
-        key = np.zeros(len(new), np.uint64)
-        for salt, odd in draw.integers(0, 1 << 63, (ROWS, 2)).astype(np.uint64):
-            x = (pair ^ salt) * (odd | np.uint64(1))
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(_ODD)
-            key = _mixed(key * np.uint64(_ODD) + np.minimum.reduceat(x, at))
-        out[:, band] = key >> np.uint64(32)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    rare = size > SHORT
+    few = (np.bincount(line[rare], minlength=len(sizes)) < FEW)[line]
+    pair, line = map(np.concatenate, zip(_pairs(h[rare], line[rare]), _pairs(h[few], line[few])))
+    by = np.argsort(line, kind="stable")
+    pair, line = pair[by], line[by]
+    at = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    for band, (salt, odd) in enumerate(np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, 2)).astype(np.uint64)):
+        x = (pair ^ salt) * (odd | np.uint64(1))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(ODD)
+        least = np.minimum.reduceat(x, at)
+        x[x == least[line]] = ~np.uint64(0)  # a pair that is there twice is one
+        out[:, band] = mixed(mixed(least + np.uint64(band)) * np.uint64(ODD) + np.minimum.reduceat(x, at))
     return out
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line_no, h, size (words) and keys for each line with a word. ``docs``: doc_id, th, text."""
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary()).fill_null(b"")
-            begins = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-            at = 0
-            while at < len(texts):
-                end = max(at + 1, int(np.searchsorted(begins, begins[at] + _BYTES_AT_ONCE, "right")) - 1)
-                text, number, keys, h, new = _hashed(data[begins[at] : begins[end]], begins[at:end] - begins[at])
-                ids = batch.select(["doc_id", "th"]).take(pa.array(text + at, pa.int64()))
-                found = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS), pa.array(bands(h, new).view(np.int32).ravel()))
-                cols = [pa.array(number.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(np.diff(np.r_[new, len(h)]).astype(np.int32)), found]
-                yield pa.RecordBatch.from_arrays([*ids.columns, *cols], ["doc_id", "th", "line_no", "h", "size", "keys"])
-                at = end
-
-    return docs.mapInArrow(run, "doc_id long, th long, line_no int, h long, size int, keys array<int>")
+def keyed_docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """did, th (they stand for a row: repeated rows have the same) and text."""
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return docs.select(common.id_key(i).alias("did"), common.text_key(i, t).alias("th"), t.alias("text"))
 
 
-def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h and coded line of ``wanted`` (doc_id, th, line_no, h)."""
-    by = wanted.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_list(F.struct("line_no", "h")).alias("want"))  # lines of one document
-    found = docs.join(by, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t"))).dropDuplicates(["doc_id", "th"]).select("text", "want")
-    one = F.explode(F.transform("want", lambda w: F.struct(w["h"].alias("h"), F.get(F.split("text", "\n", -1), w["line_no"]).alias("line"))))
+def line_table(docs: DataFrame) -> DataFrame:
+    """did, th, line_no, h and keys for each line with a word. ``docs``: did, th, text. A task gives the keys of a repeated line once, else none."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            codes = [coded(normalized(x)) for x in common.binary_values(batch.column("line"))]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(codes, pa.string())], ["h", "line"])
-
-    return found.select(one.alias("x")).select("x.h", "x.line").mapInArrow(run, "h long, line string")
+            for at, _, data, begins in slices(batch.column("text")):
+                text, number, h, words, size, new = hashed(data, begins)
+                fresh = np.zeros(len(new), bool)
+                fresh[np.unique(h, return_index=True)[1]] = True
+                fresh[[i for i, x in zip(np.flatnonzero(fresh).tolist(), h[fresh].tolist()) if x in seen]] = False
+                if len(seen) > _SEEN:
+                    seen.clear()
+                seen.update(h[fresh].tolist())
+                ids = batch.select(["did", "th"]).take(pa.array(text + at, pa.int64()))
+                ends = np.r_[0, np.cumsum(fresh)].astype(np.int32) * BANDS
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(words, size, new, fresh).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(number.astype(np.int32)), pa.array(h.view(np.int64)), found], ["did", "th", "line_no", "h", "keys"])
 
+    return docs.mapInArrow(run, "did long, th long, line_no int, h long, keys array<long>")
 
-def _verified(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose lines are similar."""
-    ends = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
-    wanted = common.materialize(kinds.join(ends, "h").select("first.*", "h"), "line-wanted")
-    text = common.materialize(fetch_lines(docs, wanted), "line-texts")
-    both = pairs.join(text.toDF("u", "la"), "u").join(text.toDF("v", "lb"), "v")
-    limit = F.floor(F.greatest(F.char_length("la"), F.char_length("lb")) * (1 - similarity) + 1e-9).cast("int")
-    return common.materialize(both.withColumn("__limit", limit).where("levenshtein(la, lb, __limit) >= 0").select("u", "v"), "line-verified")
 
+_LINE = "h long, code string, line string, n int, c int, w array<long>"
 
-def _classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    comp = common.materialize(components(links), "line-components")
-    return members.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
 
+def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of ``wanted`` (did, th, line_no, h): h, code, (of short lines) the normalized line, numbers of words and characters, 256 bits of SimHash."""
+    by = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("line_no", "h")).alias("want"))  # lines of one document
+    found = docs.join(by.hint("shuffle_hash"), ["did", "th"])  # the lesser side, in parts
+    one = F.explode(F.transform("want", lambda w: F.struct(w["h"].alias("h"), F.get(F.split("text", "\n", -1), w["line_no"]).alias("line"))))
+    each = found.select(one.alias("x")).groupBy("x.h").agg(F.min("x.line").alias("line"))  # of repeated rows
 
-def linked(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between similar lines that connect all similar pairs with a common key, however many lines share it.
-
-    First each line is compared with the least of each of its keys. Then every pair of a key that this has not
-    connected is compared: pairs within the group of the key's least line are connected already, and all others are looked at.
-    """
-    tagged = F.transform("keys", lambda x, i: F.call_function("shiftleft", i.cast("long"), F.lit(32)).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    keyed = lines.select("h", "size", F.explode(tagged).alias("k"))
-    shared = keyed.groupBy("k").agg(F.min("h").alias("hub"), F.max("h").alias("__top")).where("hub <> __top").drop("__top")
-    members = common.materialize(keyed.join(shared, "k").distinct(), "line-keys")
-    fits = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9)
-    hubs = members.where("h = hub").select("k", F.col("size").alias("hub_size"))
-    star = members.where("h <> hub").join(hubs, "k").where(fits("size", "hub_size")).select(F.col("h").alias("u"), F.col("hub").alias("v")).distinct()
-    one = _verified(docs, kinds, common.materialize(star, "line-pairs"), similarity)
-    known = common.materialize(_classes(members, one), "line-members")
-    of_hub = known.where("h = hub").select("k", F.col("component").alias("hub_component"))
-    rest = known.join(of_hub, "k").where("component <> hub_component").select("k", F.col("h").alias("u"), F.col("size").alias("su"), F.col("component").alias("cu"))
-    rest = common.materialize(rest, "line-rest")
-    others = known.where("h <> hub").join(rest.select("k").distinct(), "k", "left_semi").select("k", F.col("h").alias("v"), F.col("size").alias("sv"), F.col("component").alias("cv"))
-    pairs = rest.join(others, "k").where((F.col("cu") != F.col("cv")) & fits("su", "sv"))
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    two = _verified(docs, kinds, common.materialize(pairs, "line-pairs"), similarity)
-    return one.unionByName(two)
+    def run(batches):
+        for batch in batches:
+            for a, b, data, begins in slices(batch.column("line")):
+                starts, words, _ = words_of(data, begins)  # each line has one at least
+                first = np.searchsorted(starts, begins)
+                code, line, chars = [], [], []
+                for x in common.binary_values(batch.column("line").slice(a, b - a)):
+                    parts = normalized(x)
+                    plain = b" ".join(parts).decode()
+                    code.append(coded(parts))
+                    chars.append(len(plain))
+                    line.append(plain if len(plain) <= CHARS else None)
+                marks = pa.array(list(sim_hashes(words, first, 4).view(np.int64)), pa.list_(pa.int64()))
+                cols = [pa.array(code, pa.string()), pa.array(line, pa.string()), pa.array(np.diff(np.r_[first, len(words)]).astype(np.int32)), pa.array(chars, pa.int32()), marks]
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, b - a), *cols], ["h", "code", "line", "n", "c", "w"])
+
+    return each.mapInArrow(run, _LINE)
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between similar lines that connect all similar pairs with a common key, however many lines share it."""
+    fetched = []
+    limit = lambda a, b: F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9).cast("int")
+
+    def prepare(nodes: DataFrame):
+        wanted = common.materialize(kinds.join(nodes.withColumnRenamed("u", "h"), "h").select("first.*", "h"), "line-wanted")
+        text = common.materialize(fetch_lines(docs, wanted), "line-texts")
+        common.drop(wanted)
+        fetched.append(text)
+        return text.select(F.col("h").alias("u"), F.struct("n", "c", "w", "code", "line").alias("mark"))
+
+    def alike(a, b):
+        """Sizes and sketches rule out most pairs before their words, then (of short lines) their characters are compared."""
+        apart = sum((F.bit_count(a["w"][i].bitwiseXOR(b["w"][i])) for i in range(4)), F.lit(0))
+        few = F.when(F.greatest(a["n"], b["n"]) <= FEW_WORDS, FEW_WORDS_BITS).otherwise(MARK_BITS)
+        by = [(F.abs(a[x] - b[x]) <= limit(a[x], b[x])) & (F.call_function("levenshtein", a[y], b[y], limit(a[x], b[x])) >= 0) for x, y in (("n", "code"), ("c", "line"))]
+        return (apart <= few) & (by[0] | (a["line"].isNotNull() & b["line"].isNotNull() & by[1]))
+
+    out = linked(lines.select(F.explode("keys").alias("k"), F.col("h").alias("u")), prepare, alike)
+    common.drop(*fetched)
+    return out
 
 
 def groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """h and the first occurrence (doc_id, th, line_no) of the group of each line that is not alone."""
-    first = F.min(F.struct("doc_id", "th", "line_no")).alias("first")
+    """h and the first occurrence (did, th, line_no) of the group of each line that is not alone."""
+    first = F.min(F.struct("did", "th", "line_no")).alias("first")
     kinds = common.materialize(lines.groupBy("h").agg(first, F.count("*").alias("n")), "line-kinds")
-    known = _classes(kinds, linked(docs, lines, kinds, similarity))
-    best = known.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("total")).where("total > 1")
-    return known.select("h", "component").join(best, "component").select("h", "first")
+    links = similar_lines(docs, lines, kinds, similarity)
+    comp = components(links)
+    known = kinds.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "h"))
+    best = known.groupBy("component").agg(F.min("first").alias("first"))
+    out = common.materialize(known.select("h", "component").join(best, "component").select("h", "first"), "line-groups")
+    common.drop(kinds, links, comp)
+    return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """All columns of ``docs`` with repeated lines cut from the text, and __n_lines, __n_dropped.
 
-    Lines are equal if their words are (ASCII case and white space aside), and linked if they share one of
-    ``BANDS`` keys and their edit similarity (1 - edits of words / words of the longer) is ``SIMILARITY`` or more. The first line of each
-    connected group stays, by id, then hash of the text, then line number. Lines without words always
-    stay. A null text stays null. Rows that repeat both id and text count as one occurrence and
-    keep the same lines. Documents without lines left have an empty text; no document goes.
+    Lines are equal if their words are (ASCII case and white space aside). They are linked if they share one of
+    ``BANDS`` keys and their edit similarity (1 - edits / the longer one's length) is ``similarity`` or more, in words or, for lines
+    of up to ``CHARS`` characters, in characters. The first line of each connected group stays, by id, then hash of the text, then
+    line number. Lines without words always stay. A null text stays null, null ids come first. Rows that repeat both id and text count as one
+    occurrence and keep the same lines. Documents without lines left have an empty text; no document goes. Very long lines are compared in
+    words, whole. An empty table gives an empty result; other columns, whatever their names, pass through.
     """
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("th"), F.col(f"`{text_col}`").alias("text"))
+    keyed = keyed_docs(docs, id_col, text_col)
     lines = common.materialize(line_table(keyed), "lines")
-    group = common.materialize(groups(keyed, lines), "line-groups")
-    gone = lines.drop("keys", "size").join(group, "h").where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))  # lines of one document
+    group = groups(keyed, lines, similarity)
+    gone = lines.select("did", "th", "line_no", "h").join(group, "h").where(F.struct("did", "th", "line_no") != F.col("first"))
+    gone = gone.groupBy(F.col("did").alias("__d"), F.col("th").alias("__t")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))  # lines of one document
     gone = common.materialize(gone, "lines-gone")
-    cols = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*cols, F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__th"))
-    rows = rows.join(gone, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
+    common.drop(lines, group)
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    cols = [F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select(*cols, common.id_key(i).alias("__d"), common.text_key(i, t).alias("__t")).join(gone.hint("shuffle_hash"), ["__d", "__t"], "left")
     at = docs.columns.index(text_col)
     lines_of = F.when(F.col(f"__c{at}").isNull(), 0).otherwise(F.size(F.split(f"__c{at}", "\n", -1)))
-    rows = rows.select(*(f"__c{i}" for i in range(len(cols))), "__gone", lines_of.alias("__n_lines"))
+    rows = rows.select(*(f"__c{k}" for k in range(len(cols))), "__gone", lines_of.alias("__n_lines"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__gone") + ", __n_dropped int"
 
     def run(batches):
@@ -267,11 +225,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     data = b"\n".join([x for k, x in enumerate(data.split(b"\n")) if k not in drop])
                 text.append(data)
                 dropped.append(len(out or ()))
-            arrays = [pa.array(text, pa.binary()).cast(batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "__gone"]
+            arrays = [pa.array(text, pa.binary()).cast(batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "__gone"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(dropped, pa.int32())], [*(n for n in batch.schema.names if n != "__gone"), "__n_dropped"])
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)), "__n_lines", "__n_dropped")
+    return out.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)), "__n_lines", "__n_dropped")
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .blocking import linked
 from .components import components
+from .words import mixed, sim_hashes, slices, words_of
 
 SEED = 42
 SHINGLE = 3
@@ -107,113 +109,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def grouped(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     distinct = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    comp = common.materialize(components(links(distinct.select("fp"), bits)), "components")
+    comp = components(links(distinct.select("fp"), bits))
     classes = distinct.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     best = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_print = classes.join(best, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 NEAR_SHINGLE = 5
 NEAR_BITS = 48  # of 256: a similarity of 0.8 gives 39 on average, with a deviation of 6
+LANES = 12  # 64-bit SimHashes of a text's different words, cut to blocks of 32 bits. At a similarity of 0.8 a block is left with 0.11
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = xxhash.xxh64_intdigest(word, SEED)
-        if len(self) >= 150_000:
-            self.clear()
-        self[word] = out
-        return out
-
-
-def _spread(h: np.ndarray) -> np.ndarray:
-    """Counts of set bits of each hash under each seed: 64 for each."""
-    out = []
-    for seed in SEEDS:
-        x = (h ^ (h >> np.uint64(29))) * np.uint64(seed)
-        x ^= x >> np.uint64(32)
-        out.append(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64))
-    return np.concatenate(out)
-
-
-def wide(text: bytes | None, words: dict, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Four 64-bit SimHashes of a text's words, and 256 bits of one of its word shingles; zeros without words."""
-    ws = text.lower().split() if text else []
-    if not ws:
-        return np.zeros(4, np.int64), np.zeros(4, np.int64)
-    k = min(shingle, len(ws))
-    one, many = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    odd = np.uint64(0x2127599BF4325C37)
-    for at in range(0, len(ws), _CHUNK):
-        h = np.array(list(map(words.__getitem__, ws[at : at + _CHUNK + k - 1])), np.uint64)
-        one += _spread(h[:_CHUNK])
-        if len(h) >= k:
-            g = np.zeros(len(h) - k + 1, np.uint64)
-            for j in range(k):
-                g = g * odd + h[j : len(h) - k + 1 + j]
-            g ^= g >> np.uint64(31)
-            many += _spread(g * odd)
-    pack = lambda over, n: np.packbits(over * 2 > n, bitorder="little").view("<i8")
-    return pack(one, len(ws)), pack(many, len(ws) - k + 1)
-
-
-def _unconnected(own: DataFrame, comp: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """All pairs of texts (u, v) with close fingerprints that are in different components. ``own``: th, fp; ``comp``: node, component.
-
-    Pairs within the greatest component of a key are passed over unseen: of a key that holds copies alone nothing is left.
+def wide(data: np.ndarray, begins: np.ndarray, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts whose bytes lie on end: ``LANES`` SimHashes of each one's set of words, and 256 bits of one of its word shingles (repeats included); zeros without words.
+
+    Sets, as the few words that make up half of any text would otherwise bring all texts of a language together.
     """
-    known = own.join(comp.withColumnRenamed("node", "th"), "th", "left").select("th", "fp", F.coalesce("component", "th").alias("c"), F.explode(_keys(bits, BLOCKS)).alias("k"))
-    sizes = known.groupBy("k", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("k").agg(F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("kinds")).where("kinds > 1").select("k", F.col("x.c").alias("main"))
-    shared = common.materialize(known.join(main, "k"), "near-shared")
-    rest, others = (shared.select("k", F.col("th").alias(t), F.col("fp").alias(f), F.col("c").alias(c), "main") for t, f, c in (("u", "a", "cu"), ("v", "b", "cv")))
-    pairs = rest.where("cu <> main").join(others.drop("main"), "k").where((F.col("cu") != F.col("cv")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    starts, h, _ = words_of(data, begins)
+    text = np.searchsorted(begins, starts, "right") - 1
+    sets, many = np.zeros((len(begins), LANES), np.uint64), np.zeros((len(begins), 4), np.uint64)
+    if not len(h):
+        return sets, many
+    by = np.lexsort([h, text])
+    u, t = h[by], text[by]
+    keep = np.r_[True, (u[1:] != u[:-1]) | (t[1:] != t[:-1])]
+    u, t = u[keep], t[keep]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    held = t[first]
+    sets[held] = sim_hashes(u, first, LANES)
+    # A shingle begins at each word that has enough words of its text after it; of a shorter text all words are the one shingle.
+    new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    size = np.diff(np.r_[new, len(h)])
+    left = np.repeat(new + size, size) - np.arange(len(h))
+    g = np.zeros(len(h), np.uint64)
+    for j in range(shingle):
+        on = np.flatnonzero(left > j)
+        g[on] = g[on] * np.uint64(0x2127599BF4325C37) + h[on + j]
+    own = (left >= shingle) | ((np.repeat(size, size) < shingle) & (left == np.repeat(size, size)))
+    g, t = g[own], text[own]
+    many[held] = sim_hashes(mixed(g), np.flatnonzero(np.r_[True, t[1:] != t[:-1]]), 4)
+    return sets, many
+
+
+def text_table(docs: DataFrame) -> DataFrame:
+    """did, th, keys (blocks of 32 bits, told apart by their place) and w (256 bits) of each row of ``docs`` (did, th, text)."""
+    place = np.arange(2 * LANES, dtype=np.uint64) << np.uint64(32)
+
+    def run(batches):
+        for batch in batches:
+            for at, end, data, begins in slices(batch.column("text")):
+                sets, many = wide(data, begins)
+                keys = sets.view(np.uint32).astype(np.uint64) | place
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, many)]
+                ids = batch.select(["did", "th"]).slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*ids.columns, *lists], ["did", "th", "keys", "w"])
+
+    return docs.mapInArrow(run, "did long, th long, keys array<long>, w array<long>")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_bits: int = NEAR_BITS) -> DataFrame:
     """One row, with its own columns, of each group of near-duplicates: the first by id and hash of the text.
 
-    Candidates are texts one of whose four SimHashes of words is within ``MAX_BITS`` bits (pigeonhole blocks, as
-    above), of any number of texts; a candidate is a near-duplicate if 256 bits over five-word shingles differ in at most ``near_bits``.
-    Null ids come first, null and empty texts are one group, and of fully repeated rows one stays.
+    Candidates are texts that share a block of 32 bits of the SimHashes of their words, however many texts share it; a
+    candidate is a near-duplicate if 256 bits of SimHash over five-word shingles differ in at most ``near_bits``, and groups are closed under such links. Null
+    ids come first, null and empty texts are one group, and of rows that repeat id and text one stays. Whole texts count, whatever their length.
+    An empty table gives an empty result; other columns, whatever their names, pass through.
     """
-    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), th.alias("th"), F.col(f"`{text_col}`").alias("text"))
-
-    def run(batches):
-        words = _Words()
-        for batch in batches:
-            found = [wide(t, words) for t in common.binary_values(batch.column("text"))]
-            cols = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *cols], ["id", "th", "a", "w"])
-
-    prints = keyed.mapInArrow(run, "id long, th long, a array<long>, w array<long>")
-    # Equal texts have equal sketches: the first row of a text stands for it.
-    nodes = common.materialize(prints.groupBy("th").agg(F.min(F.struct("id", "a", "w")).alias("x")).select("th", "x.id", "x.a", "x.w"), "near-texts")
-    # The four kinds go through one join: where two of different kinds meet by chance, the wide check below parts them.
-    own = nodes.select("th", F.explode("a").alias("fp")).distinct()
-    heads = common.materialize(own.groupBy("fp").agg(F.min("th").alias("head"), F.count("*").alias("n")), "near-prints")
-    close = common.materialize(links(heads.select("fp")), "near-links")
-    ends = [heads.select(F.col("fp").alias(c), F.col("head").alias(h)) for c, h in (("a", "u"), ("b", "v"))]
-    across = close.join(ends[0], "a").join(ends[1], "b").select("u", "v")
-    within = own.join(heads.where("n > 1"), "fp").where("th <> head").select(F.col("th").alias("u"), F.col("head").alias("v"))
-    found = across.unionByName(within).where("u <> v")
-    found = common.materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-candidates")
-    apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(4)), F.lit(0))
-    sketch = nodes.select("th", "w")
-    verified = lambda pairs: pairs.join(sketch.toDF("u", "x"), "u").join(sketch.toDF("v", "y"), "v").where(apart <= near_bits).select("u", "v")
-    near = common.materialize(verified(found), "near-verified")
-    comp = common.materialize(components(near), "near-components")
-    near = near.unionByName(verified(common.materialize(_unconnected(own, comp), "near-rest")))
-    comp = common.materialize(components(near), "near-components")
-    classes = nodes.select("th", "id").join(comp.select(F.col("node").alias("th"), "component"), "th", "left").withColumn("component", F.coalesce("component", "th"))
-    stay = common.materialize(classes.groupBy("component").agg(F.min(F.struct("id", "th")).alias("first")).select("first.*"), "survivors")
-    rows = docs.withColumn("__k_id", F.col(f"`{id_col}`").cast("long")).withColumn("__k_th", th)
-    rows = rows.join(stay.toDF("__s_id", "__s_th"), F.col("__k_id").eqNullSafe(F.col("__s_id")) & (F.col("__k_th") == F.col("__s_th")), "left_semi")
-    return rows.dropDuplicates(["__k_id", "__k_th"]).select(*(f"`{c}`" for c in docs.columns))
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keyed = docs.select(common.id_key(i).alias("did"), common.text_key(i, t).alias("th"), t.alias("text"))
+    rows = common.materialize(text_table(keyed), "near-rows")
+    # Equal texts have equal sketches: the first row of a text stands for it. 256 bits and all keys alike is as good as the same text.
+    same = F.xxhash64("keys", "w")
+    nodes = rows.groupBy(same.alias("node")).agg(F.min(F.struct("did", "th", "keys", "w")).alias("x")).select("node", "x.*")
+    nodes = common.materialize(nodes, "near-texts")
+    common.drop(rows)
+    near = lambda x, y: sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(4)), F.lit(0)) <= near_bits
+    sketch = nodes.select(F.col("node").alias("u"), F.col("w").alias("mark"))
+    links = linked(nodes.select(F.explode("keys").alias("k"), F.col("node").alias("u")), lambda _: sketch, near)
+    comp = components(links)
+    classes = nodes.select("node", "did", "th").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    stay = classes.groupBy("component").agg(F.min(F.struct("did", "th")).alias("first")).select(F.col("first.did").alias("__d"), F.col("first.th").alias("__t"))
+    stay = common.materialize(stay, "survivors")
+    common.drop(nodes, links, comp)
+    cols = [F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(docs.columns)]
+    kept = docs.select(*cols, common.id_key(i).alias("__d"), common.text_key(i, t).alias("__t")).join(stay, ["__d", "__t"], "left_semi")
+    # Repeated rows lie side by side after the join: this neither shuffles nor sorts again.
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__d", "__t").orderBy("__t"))).where("__n = 1")
+    return kept.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

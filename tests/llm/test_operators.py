@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seriesloom.llm import common, components, decontamination, entry, licenses, lines, packing, quality, sharding, simhash, toxicity, vptree, warc
+from seriesloom.llm import common, components, decontamination, entry, licenses, lines, packing, quality, sharding, simhash, toxicity, vptree, warc, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, size long, fp long, h long, vec_id long"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -69,6 +69,31 @@ def test_nearest_is_exact_at_factor_one_and_good_beyond(spark):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e9])
+def test_nearest_of_different_vectors_with_equal_scores(spark, scale):
+    """Small whole numbers: most scores are shared by many different vectors, and the least ids win at any size of the shards."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (800, 4)).astype(float)
+    x = x[(x != 0).any(axis=1)][:750] * scale
+    ids = rng.permutation(len(x))
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for q, r, v, s in rows(vptree.nearest(table, table.where("vec_id % 5 = 0"), relax=1.0, shard_rows=200, query_rows=64)):
+        got.setdefault(q, []).append((r, v, s))
+    assert len(got) == (ids % 5 == 0).sum()
+    for i, v in zip(ids, x):
+        if i % 5 == 0:
+            s = vptree.products(np.broadcast_to(v, x.shape), x)
+            order = [k for k in np.lexsort([ids, -s]) if ids[k] != i][:20]
+            assert [(a, b) for _, a, b in sorted(got[int(i)])] == [(int(ids[k]), float(s[k])) for k in order]
+
+
+def test_nearest_of_a_repeated_query_id_is_of_its_least_vector(spark):
+    t = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (9, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted(rows(vptree.nearest(t, q, k=1))) == [(9, 1, 2, 1.0)]
+
+
 def test_nearest_leaves_out_unusable_vectors(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, []), (None, [1.0, 1.0])]
     good = [(20, [1.0, 0.0]), (21, [2.0, 0.0]), (22, [2.0, 0.0]), (40, [0.0, 1.0]), (60, [1.0, 1.0, 1.0])]
@@ -99,8 +124,11 @@ def check_shards(table, n):
     for k in range(n):
         assert abs(sum(r["size"] for r in got if r["shard"] == k) - total / n) <= most
     order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
-    ids = [r["doc_id"] for r in order]
-    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))  # contiguous in the order of ids
+    shards = {}
+    for r in order:
+        shards.setdefault((r["text_crc32"], r["size"]), []).append(r["shard"])
+    # Equal texts lie together, but where a shard ends among them.
+    assert sum(len(set(v)) > 1 for v in shards.values()) <= n - 1 and all(v == sorted(v) and max(v) - min(v) + 1 == len(set(v)) for v in shards.values())
     return got
 
 
@@ -228,6 +256,45 @@ def test_large_buckets_lose_no_connection(spark, upto, blocks):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, other.values()))
 
 
+def shingles(text):
+    ws = text.lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_survivors_against_all_pairs(spark):
+    """Near copies of five-word similarity 0.8 and more go, unlike texts stay, whatever is in between."""
+    rng = np.random.default_rng(12)
+    made, near, far = [], 0, 0
+    for g in range(150):
+        n = int(rng.integers(60, 900))
+        ws = [f"w{x}" for x in rng.zipf(1.3, n) % 30_000]
+        other = list(ws)
+        for at in rng.integers(0, n, int(rng.integers(1, 2 + n // 45))):
+            other[at] = f"new{at}"
+        made += [(2 * g, " ".join(ws)), (2 * g + 1, " ".join(other))]
+    left = {r["doc_id"] for r in simhash.survivors(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    text = dict(made)
+    assert all(2 * g in left for g in range(150))
+    for g in range(150):
+        a, b = shingles(text[2 * g]), shingles(text[2 * g + 1])
+        if len(a & b) / len(a | b) >= 0.8:
+            near += 1
+            far += 2 * g + 1 in left
+    assert near > 60 and far <= 0.1 * near
+
+
+def test_wide_sketches_by_text_alone():
+    texts = [b"", b"one", b"one two three four", b"a b c d e f g A B", b" ", b"word " * 400 + b"x", " ".join(f"w{i % 700}" for i in range(3000)).encode()]
+    data, begins = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])[:-1]
+    sets, many = simhash.wide(data, begins)
+    for i, t in enumerate(texts):
+        one = simhash.wide(np.frombuffer(t, np.uint8), np.zeros(1, np.int64))
+        assert one[0].tolist() == sets[i : i + 1].tolist() and one[1].tolist() == many[i : i + 1].tolist()
+    assert not sets[0].any() and not many[4].any() and len({tuple(x) for x in many.tolist()}) == len(texts) - 1
+    h = words.words_of(data, begins)[1][:9]
+    assert words.set_bits(np.tile(h, 100), np.array([0, 7, 300])).tolist() == [[sum(int(x) >> b & 1 for x in part) for b in range(64)] for part in np.split(np.tile(h, 100), [7, 300])]
+
+
 def test_near_copies_with_the_words_of_another_text_meet(spark):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(200)]
@@ -256,79 +323,133 @@ def edit_distance(a, b):
     return d[-1]
 
 
-def plain_sketch(words):
-    """SimHash of a line by whole numbers alone."""
-    over = [0] * 64
-    for w in words:
-        h = sum(int(lines._VALUE[c]) * lines._ODD**i for i, c in enumerate(w)) % 2**64
-        for _ in range(2):
-            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
-        h ^= h >> 32
-        over = [n + (h >> i & 1) for i, n in enumerate(over)]
-    return sum(1 << i for i, n in enumerate(over) if 2 * n > len(words))
+def plain_hash(word):
+    h = sum(int(words.VALUE[c]) * words.ODD**i for i, c in enumerate(word)) % 2**64
+    return plain_mix(h)
+
+
+def plain_mix(h):
+    for _ in range(2):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return h ^ h >> 32
+
+
+def plain_keys(line):
+    """Keys of a line by whole numbers alone."""
+    every = [plain_hash(w) for w in line]
+    rare = [h for h, w in zip(every, line) if len(w) > lines.SHORT]
+    pairs = set()
+    for h in ([rare] if len(rare) >= lines.FEW else [rare, every]):
+        pairs |= {plain_mix((a * words.ODD + b) % 2**64) for a, b in zip([1, *h], [*h, 2])} if h else set()
+    out = []
+    for band, (salt, odd) in enumerate(np.random.default_rng(words.SEED).integers(0, 1 << 63, (lines.BANDS, 2)).tolist()):
+        x = sorted(((p ^ salt) * (odd | 1) % 2**64) for p in pairs)
+        x = sorted((v ^ v >> 32) * words.ODD % 2**64 for v in x)
+        out.append(plain_mix((plain_mix(x[0] + band) * words.ODD + x[1]) % 2**64))
+    return out
 
 
 @pytest.mark.parametrize("step", [4, 64, 1 << 19])
 def test_hashes_of_lines(monkeypatch, step):
-    monkeypatch.setattr(lines, "_BYTES_AT_ONCE", step)
+    monkeypatch.setattr(words, "BYTES_AT_ONCE", step)
     rng = np.random.default_rng(5)
     texts = [b"", b"One two\n\ntwo one\n", b"no break", b"", b"\n", b"one TWO", b"w" * 300, b"\x1c\xc3\xa9 x" * 300]
     texts += [bytes(rng.choice(list(b"aB \n\t"), int(rng.integers(0, 400))).astype(np.uint8)) for _ in range(60)]
     begins = np.cumsum([0, *map(len, texts)])[:-1]
-    got = [x.tolist() for x in lines.lines_of(np.frombuffer(b"".join(texts), np.uint8), begins)]
+    text, number, h, *each, new = lines.hashed(np.frombuffer(b"".join(texts), np.uint8), begins)
     want = [(i, k, tuple(w)) for i, t in enumerate(texts) for k, x in enumerate(t.split(b"\n")) if (w := lines.normalized(x))]
-    assert list(zip(got[0], got[1])) == [(i, k) for i, k, _ in want] and got[3] == [plain_sketch(w) for _, _, w in want]
-    assert len({w for _, _, w in want}) == len(set(got[2])) == len({(h, w) for h, (_, _, w) in zip(got[2], want)})
-    assert all(len(x) == 0 for x in lines.lines_of(np.zeros(0, np.uint8), np.zeros(2, np.int64)))
+    assert list(zip(text.tolist(), number.tolist())) == [(i, k) for i, k, _ in want]
+    assert len({w for _, _, w in want}) == len(set(h.tolist())) == len({(a, w) for a, (_, _, w) in zip(h.tolist(), want)})
+    assert lines.bands(*each, new).tolist() == [plain_keys(w) for _, _, w in want]
+    odd = np.arange(len(new)) % 2 == 1
+    assert lines.bands(*each, new, odd).tolist() == [plain_keys(w) for _, _, w in want][1::2]
+    assert all(len(x) == 0 for x in lines.hashed(np.zeros(0, np.uint8), np.zeros(2, np.int64))) and lines.bands(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (0, lines.BANDS)
 
 
 def test_lines(spark, docs, empty):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 3
     near = base.replace("kappa", "kappas", 1)
     t = spark.createDataFrame([(1, f"{base}\nkeep me please\n\n{near}"), (2, f"{near.upper()}\nmine alone"), (3, "keep  ME please"), (4, None), (5, ""), (6, "keep me please\n" * 3 + "x"), (2, "other of two")], "doc_id long, text string")
-    t = t.withColumn("line_no", F.lit("clash")).withColumn("first", F.lit(0))
+    t = t.withColumn("line_no", F.lit("clash")).withColumn("first", F.lit(0)).withColumn("th", F.lit(1)).withColumn("did", F.lit(2))
     got = {(r["doc_id"], r["text"]) for r in lines.dedup(t).collect()}
-    words = [lines.normalized(x.encode()) for x in (base, near)]
-    a, b = map(plain_sketch, words)
-    linked = (a ^ b).bit_count() <= lines.BITS and edit_distance(*words) <= 0.2 * len(words[0])
-    first = f"{base}\nkeep me please\n" if linked else f"{base}\nkeep me please\n\n{near}"
-    assert got == {(1, first), (2, "mine alone"), (3, ""), (4, None), (5, ""), (6, "x"), (2, "other of two")} or not linked
+    assert got == {(1, f"{base}\nkeep me please\n"), (2, "mine alone"), (3, ""), (4, None), (5, ""), (6, "x"), (2, "other of two")}
+    assert lines.dedup(t).columns[: len(t.columns)] == t.columns
     assert lines.dedup(docs).count() == len(TEXTS) and rows(lines.dedup(empty)) == []
     out = {(r["doc_id"], r["text"]) for r in lines.dedup(docs).collect()}
     assert (11, "Line a is here\nLine b is there") in out and (12, "another line altogether") in out and (9, "one two") in out
 
 
+def alike(a, b):
+    """Edit similarity of two lines (tuples of words): the better of words and, for short lines, characters."""
+    x, y = b" ".join(a).decode(), b" ".join(b).decode()
+    by_words = 1 - edit_distance(a, b) / max(len(a), len(b))
+    return by_words if max(len(x), len(y)) > lines.CHARS else max(by_words, 1 - edit_distance(x, y) / max(len(x), len(y)))
+
+
 def test_lines_against_brute_force(spark):
-    d = small(spark, "documents").select("doc_id", "text").limit(120)
-    d = common.materialize(d, "test-docs")
+    """Links are those of all similar pairs that share a key, and what goes is all but the first of each group."""
+    d = common.materialize(small(spark, "documents").select("doc_id", "text").where("length(text) < 2500"), "test-docs")
     texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    rng = np.random.default_rng(3)
+    made = []
+    for i in sorted(texts)[:40]:  # copies of lines with a few words touched
+        ws = texts[i].split("\n")[0].split()
+        for k in range(3):
+            other = list(ws)
+            for at in rng.integers(0, len(ws), int(rng.integers(1, 2 + len(ws) // 6))):
+                other[at] = other[at][::-1] + "x" * k
+            made.append((100_000 + 3 * i + k, " ".join(other)))
+    d = d.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    texts |= dict(made)
     place, kinds = {}, {}
-    for i in sorted(texts, key=lambda i: i):
+    for i in sorted(texts):
         for k, line in enumerate(texts[i].split("\n")):
             if w := tuple(lines.normalized(line.encode())):
                 place.setdefault(w, []).append((i, k))
                 kinds[w] = None
-    ks = list(kinds)
-    fp = [plain_sketch(w) for w in ks]
-    root = list(range(len(ks)))
+    by_key, root, met, similar = {}, {w: w for w in kinds}, Counter(), Counter()
+    for w in kinds:
+        for k in plain_keys(w):
+            by_key.setdefault(k, []).append(w)
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(ks)):
-        for j in range(i):
-            if (fp[i] ^ fp[j]).bit_count() <= lines.BITS:
-                a, b = ks[i], ks[j]
-                if edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - lines.SIMILARITY) + 1e-9):
-                    root[max(find(i), find(j))] = min(find(i), find(j))
+    pairs = {(a, b) for ws in by_key.values() for n, a in enumerate(ws) for b in ws[:n]}
+    for a, b in pairs:
+        if alike(a, b) >= lines.SIMILARITY - 1e-9:
+            root[find(a)] = find(b)
     groups = {}
-    for i, w in enumerate(ks):
-        groups.setdefault(find(i), []).extend(place[w])
+    for w in kinds:
+        groups.setdefault(find(w), []).extend(place[w])
     gone = {x for g in groups.values() for x in sorted(g)[1:]}
     want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
     assert {r["doc_id"]: r["text"] for r in lines.dedup(d).collect()} == want
+    for i in sorted(texts)[:40]:  # recall, by similarity alone
+        own = [w for j in range(3) for w in [tuple(lines.normalized(texts[100_000 + 3 * i + j].encode()))]] + [tuple(lines.normalized(texts[i].split("\n")[0].encode()))]
+        for n, a in enumerate(own):
+            for b in own[:n]:
+                if a != b and alike(a, b) >= 0.8:
+                    kind = 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.8
+                    similar[kind] += 1
+                    met[kind] += find(a) == find(b)
+    # By words, as the keys are; what is alike by characters alone has more words touched.
+    assert similar[True] > 50 and met[True] / similar[True] >= 0.9 and met[False] / similar[False] >= 0.5, (met, similar)
+
+
+def test_lines_of_one_bag_of_words_are_all_compared(spark):
+    """A, its words reversed, and those with two neighbours swapped: the last two are alike, whichever comes first by hash."""
+    rng = np.random.default_rng(9)
+    made = []
+    for g in range(60):
+        ws = [f"g{g}w{x}" for x in rng.permutation(20)]
+        back = ws[::-1]
+        swapped = [*back[:9], back[10], back[9], *back[11:]]
+        made += [(3 * g, " ".join(ws)), (3 * g + 1, " ".join(back)), (3 * g + 2, " ".join(swapped))]
+    out = dict(spark.createDataFrame(made, "doc_id long, text string").transform(lines.dedup).select("doc_id", "text").collect())
+    assert all(out[3 * g] and out[3 * g + 1] and not out[3 * g + 2] for g in range(60))
 
 
 def replaced_share(spark, n, cuts, pairs=60):
@@ -349,7 +470,7 @@ def replaced_share(spark, n, cuts, pairs=60):
 @pytest.mark.parametrize("n", [10, 20, 100])
 def test_lines_with_replaced_words_go(spark, n):
     assert replaced_share(spark, n, 1) >= 0.95
-    assert replaced_share(spark, n, n // 5) >= 0.5
+    assert replaced_share(spark, n, n // 5) >= 0.85
 
 
 @pytest.mark.parametrize("groups", [2, 30])
@@ -358,14 +479,14 @@ def test_lines_of_one_key_are_all_compared(spark, groups):
     rng = np.random.default_rng(8)
     texts = ["alone " * 10]
     for g in range(groups):
-        words = [f"g{g}w{k}" for k in range(10)]
-        texts += [" ".join(words), " ".join([*words[:9], "x"]), " ".join(["y", *words[1:9], "x"])]
+        ws = [hashlib.md5(f"{g} {k}".encode()).hexdigest()[:8] for k in range(10)]
+        texts += [" ".join(ws), " ".join([*ws[:9], "x"]), " ".join(["y", *ws[1:9], "x"])]
     order = rng.permutation(len(texts) - 1)
     h = [0, *(int(x) + 1 for x in order)]
-    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, th long, text string")
-    table = spark.createDataFrame([(i, i, 0, h[i], 10, [7]) for i in range(len(texts))], "doc_id long, th long, line_no int, h long, size int, keys array<int>")
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "did long, th long, text string")
+    table = spark.createDataFrame([(i, i, 0, h[i], [7]) for i in range(len(texts))], "did long, th long, line_no int, h long, keys array<long>")
     of = {h[i]: (i - 1) // 3 for i in range(1, len(texts))}
-    got = dict(rows(lines.groups(docs, table).selectExpr("h", "first.doc_id")))
+    got = dict(rows(lines.groups(docs, table).selectExpr("h", "first.did")))
     assert got == {k: 3 * g + 1 for k, g in of.items()}
 
 
@@ -386,17 +507,19 @@ def plain_hits(text, items):
     return len(words), len(hit), len(found), decontamination.item_digest(list(found)), len(found) >= 2
 
 
-@pytest.mark.parametrize("block", [1 << 24, 200])
-def test_decontamination(spark, docs, empty, block):
+@pytest.mark.parametrize("bits", [25, 6])
+def test_decontamination(spark, docs, empty, bits):
     items = [(1, "brown fox jumps over the lazy dog and runs"), (2, "one TWO"), (3, "one"), (4, None), (5, ""), (2, "one two"), (6, " ".join(f"word{i}" for i in range(900, 930))), (7, "fox jumps over the lazy dog and runs away x y z")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(9))
     extra = [(50, "a brown, FOX jumps-over the lazy dog and stops"), (51, "brown fox jumps over the lazy dog and"), (52, "x " + " ".join(f"word{i}" for i in range(905, 913)) + " y")]
     d = docs.select("doc_id", "text", F.lit("c").alias("items"), F.lit("d").alias("n_words")).unionByName(spark.createDataFrame([(i, t, "c", "d") for i, t in extra], "doc_id long, text string, items string, n_words string"))
-    got = decontamination.report(decontamination.find(d, bench, ["doc_id"], block_bytes=block))
+    got = decontamination.report(decontamination.find(d, bench, ["doc_id"], filter_bits=bits))
     assert Counter(rows(got)) == Counter((i, *plain_hits(t, items)) for i, t in TEXTS + extra)
     assert rows(decontamination.find(empty, bench, ["doc_id"])) == []
     assert decontamination.clean(docs, bench.where("false")).count() == len(TEXTS)
     left = {r["doc_id"] for r in decontamination.clean(docs, bench).collect()}
+    three = spark.createDataFrame([(1, "brown fox jumps"), (2, "over the lazy")], "item_id long, text string")
+    assert decontamination.clean(docs, three).count() == len(TEXTS)  # two short items side by side are no long one
     assert 1 not in left and 2 not in left and {3, 4, 8, 11} <= left and decontamination.clean(docs, bench).columns == docs.columns
 
 
@@ -437,15 +560,20 @@ def test_warc_round_trip(spark, gzip, monkeypatch):
 
 
 def test_toxicity(spark, docs, empty):
-    d, known = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
+    d, known = common.table(spark, "/root/testdata/sf0.1", "documents"), common.table(spark, "/root/testdata/sf0.1", "labels")
     machine = toxicity.fit(d, known)
     got = toxicity.score(d, machine, ["doc_id"]).join(known, "doc_id").collect()
     held = [(r["score"], r["toxic"]) for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     s, y = np.array([a for a, _ in held]), np.array([b for _, b in held])
-    assert (s[y == 1][:, None] > s[y == 0][None]).mean() > 0.8
+    assert (s[y == 1][:, None] > s[y == 0][None]).mean() > 0.95
     scores = [r["score"] for r in toxicity.score(docs.withColumn("y", F.lit(1)), machine, ["doc_id"]).collect()]
     assert len(scores) == len(TEXTS) and all(0 <= x <= 1 for x in scores)
     assert rows(toxicity.score(empty, machine, ["doc_id"])) == []
+    turned = known.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(d, turned)  # labels held out have no say
+    assert (again.bias, again.w.tolist(), again.v.tolist()) == (machine.bias, machine.w.tolist(), machine.v.tolist())
+    many = d.unionByName(d).unionByName(d)
+    assert toxicity.labelled_sample(many, known, "toxic", 50).count() == 50
     flat = toxicity.fit(d, known.where("toxic = 1"))
     assert len({r["score"] for r in toxicity.score(docs, flat, ["doc_id"]).collect()}) == 1
 
