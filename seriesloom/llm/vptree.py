@@ -5,7 +5,7 @@ largest inner product is the least Euclidean distance, and the triangle inequali
 dealt to shards by a hash of their id, so a vector that fills a third of the table is spread
 evenly; within a shard equal vectors are one point that keeps its k + 1 least ids, which is all that
 any query can need of it. Every shard gets every query of its dimension (the stated query set, in
-blocks) and returns its k best; a window keeps the k best of all shards.
+blocks that are tasks of their own) and returns its k best; a window keeps the k best of all shards.
 
 A branch is left out if its least possible distance times ``relax`` exceeds the k-th distance so
 far. ``relax`` = 1 is exact search; more prunes more and may lose neighbours.
@@ -24,7 +24,9 @@ K = 20
 RELAX = 1.1
 SHARD_ROWS = 16384
 LEAF = 128
+QUERY_ROWS = 65536  # queries that one task searches its shard for
 BLOCK = 512  # queries searched together
+SLACK = 1e-6  # of rounding: distances come from a difference of squares
 
 
 class Tree:
@@ -62,18 +64,24 @@ class Tree:
         return root
 
     def search(self, queries: np.ndarray, k: int, relax: float) -> list[np.ndarray]:
-        """Rows of ``points`` that may be among the k nearest of each query (all of them if ``relax`` is 1), nearest k and ties kept."""
+        """Rows of ``points`` no farther than the k-th nearest of each query, all that tie with it included (if ``relax`` is 1; else of those met).
+
+        Points and queries of length 1 at most are expected: ``SLACK`` is for their rounding.
+        """
         best_d = np.full((len(queries), k), np.inf)
-        best_i = np.full((len(queries), k), -1)
+        limit = np.full(len(queries), np.inf)
         if self.root < 0:
             return [np.empty(0, np.int64)] * len(queries)
+        met: list[list[np.ndarray]] = [[], [], []]
 
-        def offer(who: np.ndarray, rows: np.ndarray, dist: np.ndarray) -> None:
+        def offer(who: np.ndarray, rows: np.ndarray, dist: np.ndarray, keep: bool) -> None:
             d = np.concatenate([best_d[who], dist], axis=1)
-            i = np.concatenate([best_i[who], np.broadcast_to(rows, dist.shape)], axis=1)
-            keep = np.argpartition(d, k - 1, axis=1)[:, :k]
-            best_d[who] = np.take_along_axis(d, keep, 1)
-            best_i[who] = np.take_along_axis(i, keep, 1)
+            best_d[who] = np.partition(d, k - 1, axis=1)[:, :k]
+            limit[who] = np.minimum(limit[who], best_d[who].max(axis=1))
+            if keep:
+                i, j = np.nonzero(dist <= limit[who][:, None] + SLACK)
+                for x, y in zip(met, (who[i], rows[j], dist[i, j])):
+                    x.append(y)
 
         everyone = np.arange(len(queries))
         # First each query alone goes to its own leaf, for a k-th distance to prune by.
@@ -83,35 +91,35 @@ class Tree:
             node = self.nodes[at]
             if len(node) == 2:
                 rows = self.order[node[0] : node[1]]
-                offer(who, rows, distances(queries[who], self.points[rows]))
+                offer(who, rows, distances(queries[who], self.points[rows]), False)
                 continue
             d = distances(queries[who], self.points[node[0]][None])[:, 0]
             near = d < (node[2] + node[3]) / 2
             todo += [(child, who[side]) for child, side in ((node[5], near), (node[6], ~near)) if side.any()]
-        limit = best_d.max(axis=1)
-        best_d[:], best_i[:] = np.inf, -1
-        slack = 1e-6  # of rounding: distances come from a difference of squares
+        best_d[:] = np.inf  # each point is met once from here on
         todo = [(self.root, everyone)]
         while todo:
             at, who = todo.pop()
             node = self.nodes[at]
             if len(node) == 2:
                 rows = self.order[node[0] : node[1]]
-                offer(who, rows, distances(queries[who], self.points[rows]))
-                limit[who] = np.minimum(limit[who], best_d[who].max(axis=1))
+                offer(who, rows, distances(queries[who], self.points[rows]), True)
                 continue
             d = distances(queries[who], self.points[node[0]][None])[:, 0]
-            offer(who, np.array([node[0]]), d[:, None])
-            limit[who] = np.minimum(limit[who], best_d[who].max(axis=1))
+            offer(who, np.array([node[0]]), d[:, None], True)
             near = d < (node[2] + node[3]) / 2
             turns = []
             for child, low, high in ((node[5], node[1], node[2]), (node[6], node[3], node[4])):
                 least = np.maximum(0, np.maximum(d - high, low - d))
-                into = least * relax <= limit[who] + slack
+                into = least * relax <= limit[who] + SLACK
                 turns.append((child, who[into], (near[into] if child == node[5] else ~near[into]).mean() if into.any() else 0))
             # The side where more queries lie is searched first: it lowers their limits.
             todo += [(child, w) for child, w, _ in sorted(turns, key=lambda x: x[2]) if len(w)]
-        return [row[row >= 0] for row in best_i]
+        who, rows, dist = (np.concatenate(x) for x in met) if met[0] else (np.empty(0, np.int64),) * 3
+        ok = dist <= limit[who] + SLACK
+        who, rows = who[ok], rows[ok]
+        by = np.argsort(who, kind="stable")
+        return np.split(rows[by], np.searchsorted(who[by], np.arange(1, len(queries))))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,41 +135,45 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float):
-    """(query id, vector id, score) of the k best of each query in one shard, its own row left out."""
-    by = np.lexsort([ids, *vectors.T[::-1]])
-    ids, vectors = ids[by], vectors[by]
-    new = np.r_[True, (vectors[1:] != vectors[:-1]).any(axis=1)] if len(ids) else np.empty(0, bool)
-    start = np.flatnonzero(new)
-    count = np.diff(np.r_[start, len(ids)])
-    points = vectors[start]
-    length = (points * points).sum(1)
-    lifted = np.c_[points, np.sqrt(np.maximum(length.max(initial=0) - length, 0))]
-    tree = Tree(lifted)
-    out: list[list[np.ndarray]] = [[], [], []]
-    # One query for each different vector; its answer serves all that hold it.
-    uq, which = np.unique(queries, axis=0, return_inverse=True)
-    members = np.argsort(which, kind="stable")
-    bounds = np.r_[0, np.cumsum(np.bincount(which, minlength=len(uq)))]
-    for at in range(0, len(uq), BLOCK):
-        q = uq[at : at + BLOCK]
-        found = tree.search(np.c_[q, np.zeros(len(q))], k + 1, relax)
-        for j, rows in enumerate(found):
-            if not len(rows):
-                continue
-            score = products(np.broadcast_to(q[j], (len(rows), q.shape[1])), points[rows])
-            many = np.minimum(count[rows], k + 1)  # a point stands for its rows of least id
-            first = np.repeat(start[rows] - np.r_[0, np.cumsum(many)[:-1]], many)
-            rows_at = first + np.arange(many.sum())
-            vid, sc = ids[rows_at], np.repeat(score, many)
-            order = np.lexsort([vid, -sc])[: k + 1]
-            vid, sc = vid[order], sc[order]
-            for m in members[bounds[at + j] : bounds[at + j + 1]]:
-                keep = np.flatnonzero(vid != query_ids[m])[:k]
-                out[0].append(np.full(len(keep), query_ids[m]))
-                out[1].append(vid[keep])
-                out[2].append(sc[keep])
-    return [np.concatenate(x) if x else np.empty(0) for x in out]
+class Shard:
+    """The vectors of one shard and the tree over its different ones, scaled to a length of 1 at most."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        by = np.lexsort([ids, *vectors.T[::-1]])
+        self.ids, vectors = ids[by], vectors[by]
+        new = np.r_[True, (vectors[1:] != vectors[:-1]).any(axis=1)]
+        self.start = np.flatnonzero(new)
+        self.count = np.diff(np.r_[self.start, len(ids)])
+        self.points = vectors[self.start]
+        unit = self.points / np.abs(self.points).max()
+        length = (unit * unit).sum(1)
+        self.tree = Tree(np.c_[unit, np.sqrt(np.maximum(length.max() - length, 0))] / np.sqrt(length.max()))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float) -> list[np.ndarray]:
+        """(query id, vector id, score) of the k best of each query, its own row left out."""
+        out: list[list[np.ndarray]] = [[], [], []]
+        # One query for each different vector; its answer serves all that hold it.
+        uq, which = np.unique(queries, axis=0, return_inverse=True)
+        members = np.argsort(which, kind="stable")
+        bounds = np.r_[0, np.cumsum(np.bincount(which, minlength=len(uq)))]
+        for at in range(0, len(uq), BLOCK):
+            q = uq[at : at + BLOCK]
+            unit = q / np.abs(q).max(1, keepdims=True)  # the order of a query's neighbours doesn't depend on its length
+            unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+            found = self.tree.search(np.c_[unit, np.zeros(len(q))], k + 1, relax)
+            for j, rows in enumerate(found):
+                score = products(np.broadcast_to(q[j], (len(rows), q.shape[1])), self.points[rows])
+                many = np.minimum(self.count[rows], k + 1)  # a point stands for its rows of least id
+                first = np.repeat(self.start[rows] - np.r_[0, np.cumsum(many)[:-1]], many)
+                vid, sc = self.ids[first + np.arange(many.sum())], np.repeat(score, many)
+                order = np.lexsort([vid, -sc])[: k + 1]
+                vid, sc = vid[order], sc[order]
+                for m in members[bounds[at + j] : bounds[at + j + 1]]:
+                    keep = np.flatnonzero(vid != query_ids[m])[:k]
+                    out[0].append(np.full(len(keep), query_ids[m]))
+                    out[1].append(vid[keep])
+                    out[2].append(sc[keep])
+        return [np.concatenate(x) if x else np.empty(0) for x in out]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -174,31 +186,50 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, relax: float = RELAX, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, relax: float = RELAX, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` rows of largest inner product, ties to the smaller id.
 
     A query takes no part as its own candidate (by id). Only vectors of one dimension compare. Unusable
     vectors (null, zero, null or non-finite components, null id) take no part on either side. A
-    repeated id counts once for each of its different vectors as a candidate, and as a query keeps its results
-    of the least vector only in ranking ties; empty tables give an empty result. Other columns are ignored.
+    repeated id counts once for each of its different vectors as a candidate; as a query it stands for its
+    least vector. Empty tables give an empty result. Other columns are ignored. A task holds one shard of about ``shard_rows``
+    vectors and gets its queries, at most about ``query_rows`` of them, as a stream.
     """
     cand = usable(vectors, id_col, vector_col).distinct()
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["vec_id"])
+    asked = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     shards = max(1, -(-cand.count() // shard_rows))
-    cand = cand.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def matrix(t: pa.Table) -> np.ndarray:
+    blocks = max(1, -(-asked.count() // query_rows))
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    cand = cand.withColumn("shard", dealt(shards)).withColumn("block", everywhere(blocks)).withColumn("asks", F.lit(False))
+    asked = asked.withColumn("block", dealt(blocks)).withColumn("shard", everywhere(shards)).withColumn("asks", F.lit(True))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = cand.unionByName(asked).repartition(parts, "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "asks", "vec_id")
+
+    def matrix(t) -> np.ndarray:
         return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
-    def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        if not c.num_rows or not q.num_rows:
-            return schema.empty_table()
-        got = search_shard(c.column("vec_id").to_numpy(), matrix(c), q.column("vec_id").to_numpy(), matrix(q), k, relax)
-        return pa.table([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2].astype(np.float64))], schema=schema)
-
-    found = cand.groupBy("shard", "dim").cogroup(asked.groupBy("shard", "dim")).applyInArrow(run, "query_id long, vec_id long, score double")
+    def run(batches):
+        held, key, shard = [], None, None
+        for batch in batches:
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            keys = np.c_[tuple(batch.column(c).to_numpy() for c in ("dim", "shard", "block"))] if batch.num_rows else np.empty((0, 3))
+            turn = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (asks[1:] != asks[:-1])]) if batch.num_rows else []
+            for a, b in zip(turn, [*turn[1:], batch.num_rows]):
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                if tuple(keys[a]) != key:
+                    held, key, shard = [], tuple(keys[a]), None
+                if not asks[a]:
+                    held.append(part)
+                    continue
+                if held:  # all candidates of the shard come before its queries
+                    whole = pa.concat_tables(held)
+                    shard, held = Shard(whole.column("vec_id").to_numpy(), matrix(whole)), []
+                if shard is not None:
+                    got = shard.search(part.column("vec_id").to_numpy(), matrix(part), k, relax)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2].astype(np.float64))], ["query_id", "vec_id", "score"])
+
+    found = both.select("dim", "shard", "block", "asks", "vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
