@@ -44,9 +44,14 @@ def decisions(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame
     least unless all are null, and then each is a response.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = rows.join(first.drop("n"), "sha1", "left")
-    return out.select("page_id", "url", "payload", "sha1", F.when((F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # Digests meet without their payloads; then these go by page, so a payload that a third of the pages have is spread.
+    small = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "sha1")
+    first = small.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    told = small.where("page_id is not null").distinct().join(first.drop("n"), "sha1").where("page_id <> first")
+    told = told.unionByName(first.where("first is not null").select("sha1", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), "first"))
+    told = told.select(F.col("sha1").alias("__s"), F.col("page_id").alias("__p"), F.col("first").alias("refers_to"))
+    out = rows.join(told, (F.col("sha1") == F.col("__s")) & F.col("page_id").eqNullSafe(F.col("__p")), "left")
+    return out.select("page_id", "url", "payload", "sha1", "refers_to")
 
 
 def _header(page_id, url, refers_to, digest: str, size: int, block: int) -> bytes:
@@ -210,8 +215,8 @@ def read(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFra
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    # The files are few against their contents: a task each.
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, CHUNKS)
+    # The files are few against their contents: a task each, by ranges, as hashes of a few paths would meet.
+    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(run, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
@@ -222,6 +227,12 @@ def records(chunks: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, gzip: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each row of ``pages``, read back from archives.
+
+    A null html is an empty payload, a null url has no target, a null page_id is carried along. Repeated rows are a record each. Payloads of any
+    length pass in chunks; digests are of the bytes read, and a difference from those declared fails. An empty table gives an empty result. Other columns, whatever
+    their names, are ignored.
+    """
     folder = common.new_path(pages.sparkSession, "warc")
     manifest = common.materialize(write(decisions(pages), folder, gzip), "warc-manifest")
     return records(read(manifest, folder, with_payload=False))
