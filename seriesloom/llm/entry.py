@@ -24,6 +24,7 @@ def oracle_sql() -> dict:
     return {
         "op1_vptree": vptree.OP1_SQL,
         "op2_licenses": licenses.OP2_SQL,
+        "op3_sharding": sharding.OP3_SQL,
         "op7_decontamination": decontamination.OP7_SQL,
         "op8_warc": warc.OP8_SQL,
     }
