@@ -167,13 +167,18 @@ def judged(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_co
     an empty table gives an empty result; without labels every document has even odds and is kept.
     """
     model = fit(docs, labels)
+    carry = carry or docs.columns
+    i, t = [F.col(host_col).cast("string"), F.col(path_col).cast("string")], F.col(text_col)
+    narrow = text_col not in carry
+    if narrow:  # each text is read once: its evidence is written, and rates and posteriors come from that
+        keep = [*(F.col(f"`{c}`") for c in carry), i[0].alias("__host"), i[1].alias("__path")]
+        out = common.materialize(with_evidence(docs, model, text_col, keep=keep), "quality-evidence")
+    else:
+        out = with_evidence(docs, model, text_col, keep=[*(F.col(f"`{c}`") for c in carry), i[0].alias("__host"), i[1].alias("__path")])
     p = (1 / (1 + F.exp(-F.col("__odds")))).alias("p")
-    keys = [F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path")]
-    sites = common.materialize(site_rates(with_evidence(docs, model, text_col, keep=keys).select("host", "path", p)), "quality-sites")
+    rated = out if narrow else with_evidence(docs, model, text_col, keep=[i[0].alias("__host"), i[1].alias("__path")])
+    sites = common.materialize(site_rates(rated.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p)), "quality-sites")
     site = F.struct(*(F.col(c) for c in sites.columns)).alias("__s")
-    carry = carry or docs.columns
-    keep = [*(F.col(f"`{c}`") for c in carry), F.col(host_col).cast("string").alias("__host"), F.col(path_col).cast("string").alias("__path")]
-    out = with_evidence(docs, model, text_col, keep=keep)
     out = out.join(sites.select(site), F.col("__host").eqNullSafe(F.col("__s.host")) & F.col("__path").eqNullSafe(F.col("__s.path")))
     shifted = {"p": 1 / (1 + F.exp(-F.col("__odds")))} | {c: F.col(f"__s.{c}") for c in ("n", "s", "host_n", "host_s", "host_k", "path_k", "mean")}
     rows = out.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)), "__odds", *(v.alias(k) for k, v in shifted.items()))
@@ -182,9 +187,21 @@ def judged(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_co
     return rows.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)), F.col("p").alias("__p"), site_rate.alias("__site"), (1 / (1 + F.exp(-F.col("__post")))).alias("__quality"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, **options) -> DataFrame:
-    """The documents whose posterior is ``keep_from`` or more, with their own columns."""
-    return judged(docs, labels, **options).where(F.col("__quality") >= keep_from).select(*(f"`{c}`" for c in docs.columns))
+def accepted(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents whose posterior is ``keep_from`` or more, with their own columns; rows that repeat id, text and site are judged alike.
+
+    Nulls, empty and very long texts, repeats and empty tables as in ``judged``. Only keys of what is rejected meet the documents again.
+    """
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    site = [F.col(options.get(k, d)).cast("string").alias(f"__{d}") for k, d in (("host_col", "source"), ("path_col", "lang"))]
+    key = F.xxhash64(*(F.coalesce(c, F.lit("")) for c in (F.col("__source"), F.col("__lang"))), F.col("__source").isNull(), F.col("__lang").isNull())
+    keyed = docs.select(common.id_key(i).alias("__d"), common.text_key(i, t).alias("__t"), i.alias("doc_id"), t.alias("text"), *site)
+    verdicts = judged(keyed, labels, "__source", "__lang", carry=["__d", "__t", "__source", "__lang"])
+    out = common.materialize(verdicts.where(F.col("__quality") < keep_from).select("__d", "__t", key.alias("__k")).distinct(), "rejected")
+    cols = [F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select(*cols, common.id_key(i).alias("__d"), common.text_key(i, t).alias("__t"), *site).withColumn("__k", key)
+    left = rows.join(out.hint("shuffle_hash"), ["__d", "__t", "__k"], "left_anti")
+    return left.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
