@@ -26,7 +26,7 @@ from . import common
 CAPACITY = 2048
 GRAIN = 8
 END_ID = 1
-WORDS_KEPT = 400_000  # words whose ids a worker remembers; the memory starts anew beyond
+WORDS_KEPT = 200_000  # words whose ids a worker remembers; the memory starts anew beyond
 
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -221,7 +221,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int =
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: every piece in one place of one sequence.
 
     Null and empty texts give one piece with the end id. Repeated rows are packed each; a null id is
-    carried along. An empty table gives an empty result. Other columns are ignored.
+    carried along. An empty table gives an empty result. Other columns are ignored. Very long texts are cut like any other; pieces of
+    one length are interchangeable, so any of them may take any place of their class.
     """
     spark = docs.sparkSession
     cut = pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], tokenizer, capacity)

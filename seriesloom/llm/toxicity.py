@@ -138,7 +138,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     if training_only:
         known = known.where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # ``limit`` rows of two numbers
+    met = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # ``limit`` rows of two numbers
+    return met.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)  # repeated ids of documents count against it
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, **options) -> Machine:
@@ -157,7 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, **options) -> M
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns and the score of each whole text; a null or empty text has the score of no terms."""
+    """``keep`` columns and the score of each whole text, however long; a null or empty text has the score of no terms.
+
+    Repeated rows are scored each, equal texts alike; an empty table gives an empty result; other columns are ignored.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
