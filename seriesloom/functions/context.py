@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import cached_property
 
@@ -9,6 +10,8 @@ import numpy as np
 
 from . import core as c
 
+NAN = c.NAN
+
 
 class Series:
     """One series and its derived arrays. ``seed`` makes random operators repeatable by series."""
@@ -108,31 +111,32 @@ class Series:
         return int(at[0]) + 1 if len(at) else 1
 
     @cached_property
-    def ioe(self) -> list[np.ndarray]:
-        """Indices that stay as the threshold on absolute values grows by 5 % of their deviation; to 2 % of the points."""
+    def ioe(self) -> tuple[float, list[np.ndarray]]:
+        """Step and indices that stay at each threshold on absolute values. Thresholds lie one step (5 % of the deviation) apart, the first a step above
+        the least value, and reach as many steps as the greatest value has; from where less than 2 % of the points or two stay, none do."""
         a = np.abs(self.z)
         step, out = 0.05 * a.std(), []
         if not step > 0:
-            return out
-        for k in range(1024):
-            idx = np.flatnonzero(a >= k * step)
-            if len(idx) < 0.02 * self.n or len(idx) < 2:
-                break
-            out.append(idx)
-        return out
+            return NAN, out
+        at, on = a.min(), True
+        for _ in range(min(1024, math.ceil(a.max() / step))):
+            at += step
+            idx = np.flatnonzero(a >= at)
+            on = on and len(idx) >= max(2, 0.02 * self.n)
+            out.append(idx if on else idx[:0])
+        return float(step), out
 
     @cached_property
     def ioe_line(self) -> tuple[float, float]:
-        """Slope and adjusted R squared of the gaps' standard error on the threshold."""
-        y = np.array([np.diff(i).std() / np.sqrt(len(i)) for i in self.ioe])
-        step = 0.05 * np.abs(self.z).std()
+        """Slope and adjusted R squared of the standard error of the places that stay on the threshold in deviations; 0 where none stay."""
+        y = np.array([i.std(ddof=1) / np.sqrt(len(i)) if len(i) else 0.0 for i in self.ioe[1]])
         if len(y) < 3:
-            return np.nan, np.nan
-        x = np.arange(len(y)) * step
+            return NAN, NAN
+        x = np.arange(len(y)) * 0.05
         slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
         rest = y - y.mean() - slope * (x - x.mean())
         total = ((y - y.mean()) ** 2).sum()
-        r2 = 1 - (rest @ rest) / total if total > 0 else np.nan
+        r2 = 1 - (rest @ rest) / total if total > 0 else NAN
         return float(slope), float(1 - (1 - r2) * (len(y) - 1) / (len(y) - 2))
 
     @cached_property
@@ -173,8 +177,9 @@ def periodogram(x: np.ndarray, window) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mutual_information(x: np.ndarray, y: np.ndarray, bins: int = 64) -> float:
+    """In bits."""
     if len(x) < 1:
         return np.nan
     a, b = c.bins_equal_width(x, bins), c.bins_equal_width(y, bins)
     both = np.unique(a * bins + b, return_counts=True)[1]
-    return c.entropy(np.bincount(a).astype(float)) + c.entropy(np.bincount(b).astype(float)) - c.entropy(both.astype(float))
+    return c.entropy(np.bincount(a).astype(float), 2) + c.entropy(np.bincount(b).astype(float), 2) - c.entropy(both.astype(float), 2)

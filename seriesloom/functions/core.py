@@ -58,7 +58,12 @@ def acf(x: np.ndarray, nlags: int | None = None, adjusted: bool = True) -> np.nd
     c0 = (d @ d) / n if n else 0.0
     if not c0 > 0:
         return np.full(max(nlags, 0), NAN)
-    return np.array([(d[:-k] @ d[k:]) / ((n - k) if adjusted else n) / c0 for k in range(1, nlags + 1)])
+    if nlags < 64:
+        sums = np.array([d[:-k] @ d[k:] for k in range(1, nlags + 1)])
+    else:  # by a transform long enough that ends don't meet
+        f = np.fft.rfft(d, 1 << (2 * n - 1).bit_length())
+        sums = np.fft.irfft(f * np.conj(f))[1 : nlags + 1]
+    return sums / ((n - np.arange(1, nlags + 1)) if adjusted else n) / c0
 
 
 def pacf(x: np.ndarray, nlags: int | None = None) -> np.ndarray:
@@ -127,11 +132,12 @@ def pairwise(a: np.ndarray, kind: str = "chebyshev") -> np.ndarray:
     return d if kind == "chebyshev" else np.sqrt(d)
 
 
-def bins_equal_width(x: np.ndarray, num: int) -> np.ndarray:
+def bins_equal_width(x: np.ndarray, num: int, slack: float = 0.0) -> np.ndarray:
+    """Bins open above, the last one closed; ``slack`` (of a bin) puts values on an edge into the upper one whatever their rounding."""
     lo, hi = x.min(), x.max()
     if not hi > lo:
         return np.zeros(len(x), int)
-    return np.minimum(np.floor((x - lo) / (hi - lo) * num), num - 1).astype(int)
+    return np.minimum(np.floor((x - lo) / (hi - lo) * num + slack), num - 1).astype(int)
 
 
 def bins_equal_count(x: np.ndarray, num: int) -> np.ndarray:
@@ -274,12 +280,13 @@ def estimate_period(x: np.ndarray) -> int:
 
 
 def decompose(x: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trend, season and rest: a super smoother without a period, else loess in both parts."""
+    """Trend, season and rest: a super smoother without a period, else loess in both parts. A rest that is rounding alone is zero."""
     if period <= 1 or len(x) < 2 * period:
-        trend = super_smoother(x)
-        return trend, np.zeros(len(x)), x - trend
-    trend, season = stl(x, period)
-    return trend, season, x - trend - season
+        trend, season = super_smoother(x), np.zeros(len(x))
+    else:
+        trend, season = stl(x, period)
+    rest = x - trend - season
+    return trend, season, rest if len(rest) and np.abs(rest).max() > 1e-9 * x.std() else np.zeros(len(x))
 
 
 def nelder_mead(f, start: np.ndarray, step: float = 0.5, rounds: int = 200, tol: float = 1e-8) -> np.ndarray:

@@ -41,7 +41,13 @@ def turning(x: np.ndarray) -> np.ndarray:
 
 
 def step_changes(x: np.ndarray, ddof: int = 1) -> np.ndarray:
-    return np.array([abs(x[i] - x[:i].mean()) > 2 * x[:i].std(ddof=ddof) for i in range(ddof + 1, len(x))], float)
+    """Whether each value is more than two deviations off the mean of those before it; what is just as far but for rounding (on a line) is not."""
+    n = np.arange(1, len(x) + 1)
+    d = x - x[:1]  # sums of the squares of large values would lose digits
+    mean = np.cumsum(d) / n
+    square = np.cumsum((d - np.r_[0.0, mean[:-1]]) * (d - mean))  # Welford's update
+    at = np.arange(ddof + 1, len(x))
+    return (np.abs(d[at] - mean[at - 1]) > 2.000000002 * np.sqrt(square[at - 1] / (at - ddof))).astype(float)
 
 
 def season_place(s: Series, arg) -> float:
@@ -90,7 +96,7 @@ def pred(s: Series) -> np.ndarray:
     flat = d[np.triu_indices(len(e), 1)]
     out = []
     for i in range(4):
-        near = (d <= max(0.0, flat.mean() + 3 * flat.std() * (2 * i / 3 - 1))) & ~np.eye(len(e), dtype=bool)
+        near = (d <= max(0.0, flat.mean() + 3 * flat.std(ddof=1) * (2 * i / 3 - 1))) & ~np.eye(len(e), dtype=bool)
         out.append(sum(e[row].var(ddof=1) for row in near if row.sum() > 1) / 4)
     return np.array(out, float)
 
@@ -134,20 +140,18 @@ def stick_angles(s: Series) -> np.ndarray:
 
 @feature("general")
 def fnn_prop(s: Series) -> np.ndarray:
-    out, size = [], s.z.std()
+    out = []
     for dim in range(1, 17):
         b = c.embed(s.z, dim + 1, s.lag)
         if len(b) < 2:
             out.append(NAN)
             continue
-        d = c.pairwise(b[:, 1:], "euclidean")
-        d[d < 1e-8] = np.inf
+        d = c.pairwise(b[:, 1:])
+        d[np.isclose(d, 0)] = np.inf
         near = d.argmin(1)
         dist = d[np.arange(len(b)), near]
         step = np.abs(b[:, 0] - b[near, 0])
-        ok = np.isfinite(dist)
-        false = (step > 10 * dist) | (np.sqrt(dist**2 + step**2) > 2 * size)
-        out.append(float(false[ok].mean()) if ok.any() else NAN)
+        out.append(float(((step > 10 * dist) | (np.maximum(dist, step) > 2)).mean()))
     return np.array(out)
 
 
@@ -179,7 +183,7 @@ def trimmed_mean(s: Series) -> float:
 
 put(
     "global-stat",
-    ioe_tdelta_mean=lambda s: np.array([2 * i.mean() / s.n - 1 for i in s.ioe]),
+    ioe_tdelta_mean=lambda s: np.array([2 * (i.mean() if len(i) else 0) / s.n - 1 for i in s.ioe[1]]),
     trend_strenght=lambda s: strength(s.resid, s.deseasonalized),
     season_strenght=lambda s: strength(s.resid, s.detrended),
     sd_residuals=lambda s: c.sd(s.resid),
@@ -311,7 +315,7 @@ def kl_windows(s: Series) -> np.ndarray:
     """Divergence of each window's histogram from the one before it by a window; ends with a zero."""
     w = c.window_size(s.n)
     part = c.windows(s.z, w)
-    h = [np.histogram(x, 10, density=True)[0] for x in part]
+    h = [np.bincount(c.bins_equal_width(x, 10, 1e-9) if x.max() > x.min() else np.full(w, 5), minlength=10) for x in part]
     out = []
     for i in range(s.n - 2 * w + 1):
         a, b = h[i + w], h[i]
@@ -450,8 +454,11 @@ def first_ami(s: Series) -> float:
 def ami_noise(s: Series) -> float:
     if s.n < s.lag + 3:
         return NAN
-    noise, levels = s.rng("ami_curvature").normal(size=s.n), np.linspace(0, 3, 10)
-    y = [mutual_information((x := s.z + level * noise)[: -s.lag], x[s.lag :]) for level in levels]
+    noise, levels, y = s.rng("ami_curvature").normal(size=s.n), np.linspace(0, 3, 10), []
+    for level in levels:
+        x = s.z + level * noise
+        x = x - c.decompose(x, c.estimate_period(x))[0]
+        y.append(mutual_information(x[: -s.lag], x[s.lag :], 32))
     return float(np.polyfit(levels, y, 1)[0])
 
 
@@ -618,15 +625,16 @@ put(
 
 
 def progressive(s: Series, stat, name: str) -> np.ndarray:
-    """The statistic while entries are overwritten by entries drawn from the series as it is by then."""
+    """The statistic while entries are overwritten by entries drawn from the series as it is by then; a last 0 where the steps go up evenly."""
     rng, x = s.rng(name), s.z.copy()
     times, every = math.ceil(2 * s.n), max(1, math.ceil(0.1 * s.n))
-    out = []
-    for k in range(times):
-        x[rng.integers(s.n)] = x[rng.integers(s.n)]
+    times += times % every
+    out = np.zeros(1 + times // every)
+    for k, (a, b) in enumerate(rng.integers(s.n, size=(times, 2))):
+        x[a] = x[b]
         if k % every == 0:
-            out.append(stat(x))
-    return np.array(out, float)
+            out[k // every] = stat(x)
+    return out
 
 
 def subsamples(s: Series, x: np.ndarray, num: int, share: float, name: str) -> list[np.ndarray]:
@@ -638,18 +646,17 @@ def surrogates(s: Series, stat, name: str, num: int = 32, rounds: int = 128) ->
     """Statistic of surrogates with the series' values and nearly its spectrum, relative to that of the series."""
     rng, own = s.rng(name), stat(s.ts, s.lag)
     ordered, size = np.sort(s.ts), np.abs(np.fft.rfft(s.ts))
-    out = []
-    for _ in range(num):
-        x, before = rng.permutation(s.ts), None
-        for _ in range(rounds):
-            f = np.fft.rfft(x)
-            y = np.fft.irfft(size * np.exp(1j * np.angle(f)), s.n)
-            rank = np.argsort(np.argsort(y, kind="stable"), kind="stable")
-            if before is not None and (rank == before).all():
-                break
-            before, x = rank, ordered[rank]
-        out.append(stat(x, s.lag) / own if own else NAN)
-    return np.array(out, float)
+    x = np.array([rng.permutation(s.ts) for _ in range(num)])
+    before, going = np.full((num, s.n), -1), np.arange(num)
+    for _ in range(rounds):
+        y = np.fft.irfft(size * np.exp(1j * np.angle(np.fft.rfft(x[going]))), s.n)
+        rank = np.argsort(np.argsort(y, axis=1, kind="stable"), axis=1, kind="stable")
+        moved = (rank != before[going]).any(axis=1)
+        going, rank = going[moved], rank[moved]
+        if not len(going):
+            break
+        before[going], x[going] = rank, ordered[rank]
+    return np.array([stat(row, s.lag) / own if own else NAN for row in x], float)
 
 
 def detrended_acf(x: np.ndarray) -> np.ndarray:

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions.kernels import FEATURES
 from .operators import relational
 from .plans.extract import Extractor, features, summarize
 from .sources import series as sources
 
-SERIES_SQL = "(select user_id as series_id, row_number() over (partition by user_id order by ts, event_id) - 1 as t, cast(value as double) as v from events where value is not null and user_id is not null)"
-NUMS_SQL = "(select unnest(range(1024)) as k)"
-
 SCALARS = frozenset("""length period frac_cp peak_frac trough_frac walker_cross_frac embed_in_shell emb_lag emb_dim_cao trend_strenght season_strenght sd_residuals sd_diff sd_sdiff skewness_residuals
 skewness_diff skewness_sdiff kurtosis_residuals kurtosis_diff kurtosis_sdiff exp_max_lyap exp_hurst dfa corr_dim opt_boxcox_coef t_mean des_level des_trend ets_level ets_trend ets_season linearity curvature
 avg_cycle_period gaussian_r_sqr ioe_std_slope ioe_std_adj_r_sqr ps_entropy low_freq_power hist_entropy hist_ent_out_diff ami_first_critpt ami_curvature approx_entropy sample_entropy control_entropy lz_complexity
@@ -66,15 +64,5 @@ def queries() -> dict:
     return out
 
 
-def _text(sql: str, **tables: str) -> str:
-    for k, v in {"series": SERIES_SQL, "nums": NUMS_SQL, **tables}.items():
-        sql = sql.replace("{" + k + "}", v)
-    return sql
-
-
 def oracle_sql() -> dict:
-    out = {n: _text(s) for n, s in relational.SQL.items()}
-    diff = "(" + relational.SQL["diff"] + ")"
-    out |= {f"summary_{n}": _text(relational.summary_sql(n, "{values}"), values=_text(diff)) for n in Extractor.valid_summary()}
-    out["parse_by_group"] = f"select series_id, 't_mean' as feature, value from ({_text(relational.SQL['t_mean'])}) x"
-    return out
+    return dict(oracles.SQL)
