@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from functools import cached_property
@@ -27,6 +28,12 @@ class Series:
     def rng(self, name: str) -> np.random.Generator:
         return np.random.default_rng([self.seed, zlib.crc32(name.encode())])
 
+    def tail(self, n: int) -> Series:
+        """The last ``n`` values as a series of their own, with this one's period and seed."""
+        out = Series(self.ts[-n:], self.period)
+        out.seed = self.seed
+        return out
+
     @cached_property
     def z(self) -> np.ndarray:
         return c.standardize(self.ts)
@@ -63,18 +70,42 @@ class Series:
     def acf_detrended(self) -> np.ndarray:
         return c.acf(self.detrended)
 
+    def acf_of(self, nlags: int | None = None, adjusted: bool = True) -> np.ndarray:
+        """Autocorrelation of the detrended series."""
+        return self.acf_detrended if nlags is None and adjusted else c.acf(self.detrended, nlags, adjusted)
+
+    def with_lag(self, lag: int | str | None = None, max_nlags: int | None = None) -> Series:
+        """The same series with another embedding lag: a number, or the first lag by 'ami' (least mutual information), 'acf' (not positive) or 'acf-nonsig'."""
+        out = copy.copy(self)
+        for k in ("lag", "cao", "emb_dim"):
+            out.__dict__.pop(k, None)
+        lag = "acf-nonsig" if lag is None else lag
+        if isinstance(lag, str):
+            r = self.acf_of(max_nlags)
+            if lag == "ami":
+                at = c.local_minima(self.ami(self.detrended, max_nlags or max(0, min(64, self.n // 2))))
+                first = float(at[0] + 1) if len(at) else NAN
+            elif lag in ("acf", "acf-nonsig"):
+                first = c.first_where(r <= 0 if lag == "acf" else np.abs(r) <= 1.96 / np.sqrt(self.n))
+            else:
+                raise ValueError(f"no such lag: {lag}")
+            lag = 1 if np.isnan(first) else int(first)
+        if lag <= 0:
+            raise ValueError("a lag is positive")
+        out.__dict__["lag"] = int(lag)
+        return out
+
     @cached_property
     def lag(self) -> int:
         """Embedding lag: the first insignificant autocorrelation of the detrended series, else 1."""
-        first = c.first_where(np.abs(self.acf_detrended) <= 1.96 / np.sqrt(self.n))
-        return 1 if np.isnan(first) else int(first)
+        return self.with_lag().lag
 
-    @cached_property
-    def walker(self) -> np.ndarray:
+    def walk(self, step_size: float = 0.1, start_point: float | None = None) -> np.ndarray:
+        """Path of a walker that makes up a share of its distance from the series at each step."""
         z, w = self.z, np.empty(self.n)
-        w[0] = 0.0
+        w[0] = 0.0 if start_point is None else start_point
         for i in range(1, self.n):
-            w[i] = w[i - 1] + 0.1 * (z[i - 1] - w[i - 1])
+            w[i] = w[i - 1] + step_size * (z[i - 1] - w[i - 1])
         return w
 
     @cached_property
@@ -151,18 +182,15 @@ class Series:
     def spectrum(self) -> tuple[np.ndarray, np.ndarray]:
         return periodogram(self.resid, np.hamming)
 
-    def ami(self, x: np.ndarray, lags: int) -> np.ndarray:
-        return np.array([mutual_information(x[:-k], x[k:]) for k in range(1, lags + 1)])
+    def ami(self, x: np.ndarray, lags, bins: int = 64, dist: bool = False) -> np.ndarray:
+        """Mutual information (or its distance) of the series and itself at lags 1 to ``lags``, or at each of several."""
+        return np.array([mutual_information(x[:-k], x[k:], bins, dist) for k in (range(1, lags + 1) if np.ndim(lags) == 0 else lags)])
 
     @cached_property
     def ami_lags(self) -> int:
         first = c.first_where(self.acf_detrended <= 0)
         return max(1, int(first) if not np.isnan(first) else self.n // 2)
 
-    @cached_property
-    def ami_detrended(self) -> np.ndarray:
-        return self.ami(self.detrended, min(self.ami_lags, self.n - 2))
-
 
 def periodogram(x: np.ndarray, window) -> tuple[np.ndarray, np.ndarray]:
     """Frequencies and one-sided power ('spectrum' scaling, no detrending, periodic window)."""
@@ -176,10 +204,11 @@ def periodogram(x: np.ndarray, window) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.rfftfreq(n), p
 
 
-def mutual_information(x: np.ndarray, y: np.ndarray, bins: int = 64) -> float:
-    """In bits."""
+def mutual_information(x: np.ndarray, y: np.ndarray, bins: int = 64, dist: bool = False) -> float:
+    """In bits; as a distance, 1 less its share of the joint entropy."""
     if len(x) < 1:
         return np.nan
     a, b = c.bins_equal_width(x, bins), c.bins_equal_width(y, bins)
-    both = np.unique(a * bins + b, return_counts=True)[1]
-    return c.entropy(np.bincount(a).astype(float), 2) + c.entropy(np.bincount(b).astype(float), 2) - c.entropy(both.astype(float), 2)
+    joint = c.entropy(np.unique(a * bins + b, return_counts=True)[1].astype(float), 2)
+    ami = c.entropy(np.bincount(a).astype(float), 2) + c.entropy(np.bincount(b).astype(float), 2) - joint
+    return 1 - ami / joint if dist else ami

@@ -167,14 +167,22 @@ def tiles(x: np.ndarray, num: int = 16) -> list[np.ndarray]:
     return [] if num > len(x) / 2 else np.array_split(x, num)
 
 
-def skew3(x: np.ndarray) -> float:
+def skew3(x: np.ndarray, method: int = 3) -> float:
+    """Skewness by method 1 (population moments), 2 (unbiased under normality) or 3 (moments with the sample deviation)."""
     n, s = len(x), x.std() if len(x) else 0.0
-    return float(((x - x.mean()) ** 3).mean() / s**3 * ((n - 1) / n) ** 1.5) if s > 0 else NAN
+    if not s > 0:
+        return NAN
+    g = float(((x - x.mean()) ** 3).mean() / s**3)
+    return g if method == 1 else (math.sqrt(n * (n - 1)) / (n - 2) * g if n > 2 else NAN) if method == 2 else g * ((n - 1) / n) ** 1.5
 
 
-def kurt3(x: np.ndarray) -> float:
+def kurt3(x: np.ndarray, method: int = 3) -> float:
+    """Excess kurtosis by the methods of ``skew3``."""
     n, s = len(x), x.std() if len(x) else 0.0
-    return float(((x - x.mean()) ** 4).mean() / s**4 * (1 - 1 / n) ** 2 - 3) if s > 0 else NAN
+    if not s > 0:
+        return NAN
+    g = float(((x - x.mean()) ** 4).mean() / s**4) - 3
+    return g if method == 1 else ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6) if n > 3 else NAN) if method == 2 else (g + 3) * (1 - 1 / n) ** 2 - 3
 
 
 def sd(x: np.ndarray, ddof: int = 1) -> float:

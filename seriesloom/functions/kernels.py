@@ -50,13 +50,23 @@ def step_changes(x: np.ndarray, ddof: int = 1) -> np.ndarray:
     return (np.abs(d[at] - mean[at - 1]) > 2.000000002 * np.sqrt(square[at - 1] / (at - ddof))).astype(float)
 
 
-def season_place(s: Series, arg) -> float:
+def season_place(s: Series, arg, normalize: bool) -> float:
     p = s.period
     if p <= 1 or s.n < p:
         return NAN
     at = arg(s.season[: s.n // p * p].reshape(-1, p), axis=1) + 1
     kinds, many = np.unique(at, return_counts=True)
-    return float(kinds[many.argmax()] / p)
+    return float(kinds[many.argmax()] / (p if normalize else 1))
+
+
+def share_of(flags: np.ndarray, n: int, normalize: bool) -> float:
+    return float(flags.sum() / (n if normalize else 1))
+
+
+def discretized(x: np.ndarray, num_bins: int, strategy: str) -> np.ndarray:
+    if strategy not in ("equal-width", "equiprobable"):
+        raise ValueError(f"no such strategy: {strategy}")
+    return (c.bins_equal_width if strategy == "equal-width" else c.bins_equal_count)(x, num_bins)
 
 
 def run_lengths(symbols: np.ndarray) -> np.ndarray:
@@ -67,19 +77,19 @@ def run_lengths(symbols: np.ndarray) -> np.ndarray:
 put(
     "general",
     length=lambda s: float(s.n),
-    diff=lambda s: np.diff(s.ts),
+    diff=lambda s, order=1: np.diff(s.ts, order),
     period=lambda s: float(s.period),
     turning_points=lambda s: turning(s.ts),
     turning_points_trend=lambda s: turning(s.trend),
-    step_changes=lambda s: step_changes(s.ts),
-    step_changes_trend=lambda s: step_changes(s.trend),
-    frac_cp=lambda s: float((np.diff(s.z <= np.median(s.z)) != 0).sum() / (s.n - 1)) if s.n > 1 else NAN,
+    step_changes=lambda s, ddof=1: step_changes(s.ts, ddof),
+    step_changes_trend=lambda s, ddof=1: step_changes(s.trend, ddof),
+    frac_cp=lambda s, threshold=None, normalize=True: share_of(np.diff(s.z <= (np.median(s.z) if threshold is None else threshold)), s.n - 1, normalize) if s.n > 1 else NAN,
     bin_mean=lambda s: (s.ts >= s.ts.mean()).astype(float),
-    fs_len=lambda s: run_lengths(c.bins_equal_width(s.ts, 10)),
-    peak_frac=lambda s: season_place(s, np.argmax),
-    trough_frac=lambda s: season_place(s, np.argmin),
-    walker_path=lambda s: np.abs(s.walker - s.z),
-    walker_cross_frac=lambda s: float(((s.walker - s.z)[1:] * (s.walker - s.z)[:-1] < 0).sum() / (s.n - 1)) if s.n > 1 else NAN,
+    fs_len=lambda s, num_bins=10, strategy="equal-width": run_lengths(discretized(s.ts, num_bins, strategy)),
+    peak_frac=lambda s, normalize=True: season_place(s, np.argmax, normalize),
+    trough_frac=lambda s, normalize=True: season_place(s, np.argmin, normalize),
+    walker_path=lambda s, step_size=0.1, start_point=None, relative_dist=True: np.abs(w - s.z) if (w := s.walk(step_size, start_point)) is not None and relative_dist else w,
+    walker_cross_frac=lambda s, step_size=0.1, start_point=None, normalize=True: share_of((d := s.walk(step_size, start_point) - s.z)[1:] * d[:-1] < 0, s.n - 1, normalize) if s.n > 1 else NAN,
     emb_lag=lambda s: float(s.lag),
     emb_dim_cao=lambda s: float(s.emb_dim),
     cao_e1=lambda s: s.cao[0],
@@ -88,40 +98,48 @@ put(
 
 
 @feature("general")
-def pred(s: Series) -> np.ndarray:
-    e = c.embed(s.z, 2, s.lag)
+def pred(s: Series, embed_dim: int = 2, std_range: float = 3, num_spacing: int = 4, ddof: int = 1) -> np.ndarray:
+    """Variance among the neighbours of each delay vector, within distances from few to many deviations off the mean distance."""
+    e = c.embed(s.z, embed_dim, s.lag)
     if len(e) < 3:
-        return np.full(4, NAN)
+        return np.full(num_spacing, NAN)
     d = c.pairwise(e, "euclidean")
     flat = d[np.triu_indices(len(e), 1)]
     out = []
-    for i in range(4):
-        near = (d <= max(0.0, flat.mean() + 3 * flat.std(ddof=1) * (2 * i / 3 - 1))) & ~np.eye(len(e), dtype=bool)
-        out.append(sum(e[row].var(ddof=1) for row in near if row.sum() > 1) / 4)
+    for i in range(num_spacing):
+        near = (d <= max(0.0, flat.mean() + std_range * flat.std(ddof=ddof) * (2 * i / (num_spacing - 1) - 1))) & ~np.eye(len(e), dtype=bool)
+        out.append(sum(e[row].var(ddof=ddof) for row in near if row.sum() > 1) / num_spacing)
     return np.array(out, float)
 
 
 @feature("general")
-def moving_threshold(s: Series) -> np.ndarray:
+def moving_threshold(s: Series, rate_absorption: float = 0.1, rate_decay: float = 0.1, relative: bool = False) -> np.ndarray:
+    """A threshold that absolute values above it raise and others let decay."""
     out = [1.0]
     for a in np.abs(s.z):
-        out.append(1.1 * a if a > out[-1] else 0.9 * out[-1])
-    return np.array(out)
+        out.append((1 + rate_absorption) * a if a > out[-1] else (1 - rate_decay) * out[-1])
+    return np.abs(np.array(out[1:]) - s.z) if relative else np.array(out)
 
 
 @feature("general")
-def embed_in_shell(s: Series) -> float:
-    e = c.embed(s.z, 2, s.lag)
+def embed_in_shell(s: Series, radii: tuple[float, float] = (0.0, 1.0), embed_dim: int = 2, normalize: bool = True) -> float:
+    """Share of delay vectors whose length lies between two radii."""
+    e = c.embed(s.z, embed_dim, s.lag)
     r = np.sqrt((e * e).sum(1))
-    return float(((r >= 0) & (r <= 1)).mean()) if len(e) else NAN
+    return share_of((r >= radii[0]) & (r <= radii[1]), len(e), normalize) if len(e) else NAN
 
 
 @feature("general")
-def force_potential(s: Series) -> np.ndarray:
-    alpha, friction, dt = 1.0, 1.0, 0.1  # of the sine potential
-    x, v, out = 0.0, 0.0, [0.0]
+def force_potential(s: Series, potential: str = "sine", params: tuple[float, float, float] | None = None, start_point: float = 0.0) -> np.ndarray:
+    """Path of a damped particle in a sine or double-well potential that the series drives. ``params``: width, friction, time step."""
+    forces = {"sine": ((1.0, 1.0, 0.1), lambda x: math.sin(x / alpha) / alpha), "dblwell": ((2.0, 0.1, 0.1), lambda x: alpha**2 * x - x**3)}
+    if potential not in forces:
+        raise ValueError(f"no such potential: {potential}")
+    defaults, force = forces[potential]
+    alpha, friction, dt = params or defaults
+    x, v, out = start_point, 0.0, [start_point]
     for f in s.z[:-1]:
-        a = math.sin(x / alpha) / alpha + f - friction * v
+        a = force(x) + f - friction * v
         x, v = x + v * dt + a * dt * dt, v + a * dt
         if not math.isfinite(x):
             return np.full(s.n, NAN)
@@ -158,9 +176,9 @@ def fnn_prop(s: Series) -> np.ndarray:
 # ---- global statistics
 
 
-def strength(rest: np.ndarray, whole: np.ndarray) -> float:
-    v = whole.var(ddof=1) if len(whole) > 1 else 0.0
-    return float(np.clip(1 - rest.var(ddof=1) / v, 0, 1)) if v > 0 else NAN
+def strength(rest: np.ndarray, whole: np.ndarray, ddof: int = 1) -> float:
+    v = whole.var(ddof=ddof) if len(whole) > 1 else 0.0
+    return float(np.clip(1 - rest.var(ddof=ddof) / v, 0, 1)) if v > 0 else NAN
 
 
 def seasonal_diff(s: Series) -> np.ndarray:
@@ -176,25 +194,26 @@ def leave_one_out_var(x: np.ndarray) -> np.ndarray:
     return (s2 - d * d - d * d / (n - 1)) / (n - 2)
 
 
-def trimmed_mean(s: Series) -> float:
-    k = int(0.02 * s.n)
+def trimmed_mean(s: Series, pcut: float = 0.02) -> float:
+    """Mean without a share of the values at either end."""
+    k = int(pcut * s.n)
     return float(np.sort(s.ts)[k : s.n - k].mean())
 
 
 put(
     "global-stat",
     ioe_tdelta_mean=lambda s: np.array([2 * (i.mean() if len(i) else 0) / s.n - 1 for i in s.ioe[1]]),
-    trend_strenght=lambda s: strength(s.resid, s.deseasonalized),
-    season_strenght=lambda s: strength(s.resid, s.detrended),
-    sd_residuals=lambda s: c.sd(s.resid),
-    sd_diff=lambda s: c.sd(np.diff(s.ts)),
-    sd_sdiff=lambda s: c.sd(seasonal_diff(s)),
-    skewness_residuals=lambda s: c.skew3(s.resid),
-    skewness_diff=lambda s: c.skew3(np.diff(s.ts)),
-    skewness_sdiff=lambda s: c.skew3(seasonal_diff(s)),
-    kurtosis_residuals=lambda s: c.kurt3(s.resid),
-    kurtosis_diff=lambda s: c.kurt3(np.diff(s.ts)),
-    kurtosis_sdiff=lambda s: c.kurt3(seasonal_diff(s)),
+    trend_strenght=lambda s, ddof=1: strength(s.resid, s.deseasonalized, ddof),
+    season_strenght=lambda s, ddof=1: strength(s.resid, s.detrended, ddof),
+    sd_residuals=lambda s, ddof=1: c.sd(s.resid, ddof),
+    sd_diff=lambda s, num_diff=1, ddof=1: c.sd(np.diff(s.ts, num_diff), ddof),
+    sd_sdiff=lambda s, ddof=1: c.sd(seasonal_diff(s), ddof),
+    skewness_residuals=lambda s, method=3: c.skew3(s.resid, method),
+    skewness_diff=lambda s, num_diff=1, method=3: c.skew3(np.diff(s.ts, num_diff), method),
+    skewness_sdiff=lambda s, method=3: c.skew3(seasonal_diff(s), method),
+    kurtosis_residuals=lambda s, method=3: c.kurt3(s.resid, method),
+    kurtosis_diff=lambda s, num_diff=1, method=3: c.kurt3(np.diff(s.ts, num_diff), method),
+    kurtosis_sdiff=lambda s, method=3: c.kurt3(seasonal_diff(s), method),
     t_mean=trimmed_mean,
     spikiness=lambda s: leave_one_out_var(s.resid),
 )
@@ -299,10 +318,24 @@ def opt_boxcox_coef(s: Series) -> float:
 # ---- local statistics
 
 
-def rolled(s: Series, f) -> np.ndarray:
-    w = c.windows(s.z, c.window_size(s.n))
-    out = np.array([f(x) for x in w], float)
-    return out[~np.isnan(out)]
+def rolled(s: Series, f, window_size: float = 0.1, remove_nan: bool = True, **options) -> np.ndarray:
+    """A statistic of centred windows; ``options`` go to the statistic."""
+    out = np.array([f(x, **options) for x in c.windows(s.z, c.window_size(s.n, window_size))], float)
+    return out[~np.isnan(out)] if remove_nan else out
+
+
+def changes(x: np.ndarray, diff_order: int = 1, diff_lag: int = 1, abs_value: bool = True) -> np.ndarray:
+    """Differences of a statistic's values ``diff_lag`` apart, ``diff_order`` times over."""
+    for _ in range(diff_order):
+        x = x[diff_lag:] - x[:-diff_lag]
+    return np.abs(x) if abs_value else x
+
+
+_SHIFT = ("diff_order", "diff_lag", "abs_value")
+
+
+def shift(s: Series, f, **options) -> np.ndarray:
+    return changes(f(s, **{k: v for k, v in options.items() if k not in _SHIFT}), **{k: v for k, v in options.items() if k in _SHIFT})
 
 
 def geometric_mean(x: np.ndarray) -> float:
@@ -311,9 +344,9 @@ def geometric_mean(x: np.ndarray) -> float:
     return 0.0 if (x == 0).any() else float(np.exp(np.log(x).mean()))
 
 
-def kl_windows(s: Series) -> np.ndarray:
+def kl_windows(s: Series, window_size: float = 0.1, remove_inf: bool = True) -> np.ndarray:
     """Divergence of each window's histogram from the one before it by a window; ends with a zero."""
-    w = c.window_size(s.n)
+    w = c.window_size(s.n, window_size)
     part = c.windows(s.z, w)
     h = [np.bincount(c.bins_equal_width(x, 10, 1e-9) if x.max() > x.min() else np.full(w, 5), minlength=10) for x in part]
     out = []
@@ -322,7 +355,7 @@ def kl_windows(s: Series) -> np.ndarray:
         a, b = a / a.sum(), b / b.sum()
         out.append(np.inf if ((a > 0) & (b == 0)).any() else float((a[a > 0] * np.log(a[a > 0] / b[a > 0])).sum()))
     out = np.array([*out, 0.0])
-    return out[np.isfinite(out)]
+    return out[np.isfinite(out)] if remove_inf else out
 
 
 def lilliefors(x: np.ndarray) -> float:
@@ -334,33 +367,33 @@ def lilliefors(x: np.ndarray) -> float:
     return float(max((np.arange(1, n + 1) / n - p).max(), (p - np.arange(n) / n).max()))
 
 
-def approximate_entropy(x: np.ndarray, dim: int = 2, lag: int = 1, r: float = 0.2) -> float:
+def approximate_entropy(x: np.ndarray, embed_dim: int = 2, embed_lag: int = 1, threshold: float = 0.2) -> float:
     phi = []
-    for m in (dim, dim + 1):
-        e = c.embed(x, m, lag)
+    for m in (embed_dim, embed_dim + 1):
+        e = c.embed(x, m, embed_lag)
         if not len(e):
             return NAN
-        phi.append(np.log((c.pairwise(e) < r).mean(1)).mean())
+        phi.append(np.log((c.pairwise(e) < threshold).mean(1)).mean())
     return float(phi[0] - phi[1])
 
 
 _ROLLED = {
-    "moving_avg": np.mean, "moving_var": lambda x: x.var(ddof=1) if len(x) > 1 else NAN, "moving_sd": c.sd, "moving_skewness": c.skew3, "moving_kurtosis": c.kurt3,
-    "moving_acf": lambda x: c.acf(x, 1)[0] if len(x) > 1 else NAN, "moving_gmean": geometric_mean, "moving_lilliefors": lilliefors,
-    "moving_approx_ent": lambda x: approximate_entropy(c.standardize(x)),
+    "moving_avg": np.mean, "moving_var": lambda x, ddof=1: x.var(ddof=ddof) if len(x) > ddof else NAN, "moving_sd": c.sd, "moving_skewness": c.skew3, "moving_kurtosis": c.kurt3,
+    "moving_acf": lambda x, adjusted=True: c.acf(x, 1, adjusted)[0] if len(x) > 1 else NAN, "moving_gmean": geometric_mean, "moving_lilliefors": lilliefors,
+    "moving_approx_ent": lambda x, **o: approximate_entropy(c.standardize(x), **o),
 }
 for _name, _f in _ROLLED.items():
-    put("local-stat", **{_name: lambda s, f=_f: rolled(s, f)})
+    put("local-stat", **{_name: lambda s, *, _f=_f, **o: rolled(s, _f, **o)})
     if _name not in ("moving_lilliefors", "moving_approx_ent"):
-        put("local-stat", **{_name + "_shift": lambda s, f=_f: np.abs(np.diff(rolled(s, f)))})
+        put("local-stat", **{_name + "_shift": lambda s, *, _f=_f, **o: shift(s, lambda s, **p: rolled(s, _f, **p), **o)})
 put(
     "local-stat",
     moving_kldiv=kl_windows,
-    moving_kldiv_shift=lambda s: np.abs(np.diff(kl_windows(s))),
-    lumpiness=lambda s: np.array([x.var(ddof=1) if len(x) > 1 else NAN for x in c.tiles(s.z)]),
-    stability=lambda s: np.array([x.mean() for x in c.tiles(s.z)]),
-    local_extrema=lambda s: np.array([x.max() if abs(x.min()) <= x.max() else x.min() for x in c.tiles(s.z)]),
-    local_range=lambda s: np.array([np.ptp(x) for x in c.tiles(s.z)]),
+    moving_kldiv_shift=lambda s, **o: shift(s, kl_windows, **o),
+    lumpiness=lambda s, num_tiles=16, ddof=1: np.array([x.var(ddof=ddof) if len(x) > ddof else NAN for x in c.tiles(s.z, num_tiles)]),
+    stability=lambda s, num_tiles=16: np.array([x.mean() for x in c.tiles(s.z, num_tiles)]),
+    local_extrema=lambda s, num_tiles=16: np.array([x.max() if abs(x.min()) <= x.max() else x.min() for x in c.tiles(s.z, num_tiles)]),
+    local_range=lambda s, num_tiles=16: np.array([np.ptp(x) for x in c.tiles(s.z, num_tiles)]),
 )
 
 
@@ -421,40 +454,40 @@ put(
 # ---- spectrum (public group info-theory, information theory is freq-domain: the names are swapped in the public surface)
 
 
-def spectral_entropy(s: Series) -> float:
+def spectral_entropy(s: Series, normalize: bool = True, base: float = 2) -> float:
     p = s.spectrum[1]
-    return c.entropy(p, 2) / math.log2(len(p)) if len(p) > 1 and p.sum() > 0 else NAN
+    return c.entropy(p, base) / (math.log(len(p), base) if normalize else 1) if len(p) > 1 and p.sum() > 0 else NAN
 
 
-def low_power(s: Series) -> float:
+def low_power(s: Series, threshold: float = 0.04) -> float:
     f, p = periodogram(s.resid, np.hanning)
-    return float(p[2 * math.pi * f <= 0.04].sum() / p.sum()) if p.sum() > 0 else NAN
+    return float(p[2 * math.pi * f <= threshold].sum() / p.sum()) if p.sum() > 0 else NAN
 
 
 put(
     "info-theory",
     ps_residuals=lambda s: s.spectrum[1],
-    ps_freqs=lambda s: np.sort(s.spectrum[1])[-math.ceil(0.05 * s.n) :],
-    ps_peaks=lambda s: (s.spectrum[1] >= 0.6 * s.spectrum[1].max()).astype(float),
+    ps_freqs=lambda s, freq_num=0.05: np.sort(s.spectrum[1])[-(math.ceil(freq_num * s.n) if freq_num < 1 else freq_num) :],
+    ps_peaks=lambda s, factor=0.6: (s.spectrum[1] >= factor * s.spectrum[1].max()).astype(float),
     ps_entropy=spectral_entropy,
     low_freq_power=low_power,
 )
 
 
-def histogram_entropy(x: np.ndarray, num: int = 10) -> float:
-    return c.entropy(np.bincount(c.bins_equal_width(x, num)).astype(float), 2) / math.log2(num) if len(x) else NAN
+def histogram_entropy(x: np.ndarray, num_bins: int = 10, normalize: bool = True) -> float:
+    return c.entropy(np.bincount(c.bins_equal_width(x, num_bins)).astype(float), 2) / (math.log2(num_bins) if normalize else 1) if len(x) else NAN
 
 
-def first_ami(s: Series) -> float:
-    x = s.ami(s.detrended, max(0, min(64, s.n // 2)))
+def first_ami(s: Series, num_bins: int = 64, dist_ami: bool = False) -> float:
+    x = s.ami(s.detrended, max(0, min(64, s.n // 2)), num_bins, dist_ami)
     at = c.local_minima(x) if len(x) >= 3 else []
     return float(at[0] + 1) if len(at) else NAN
 
 
-def ami_noise(s: Series) -> float:
+def ami_noise(s: Series, noise_range: tuple[float, float] = (0, 3), noise_inc_num: int = 10) -> float:
     if s.n < s.lag + 3:
         return NAN
-    noise, levels, y = s.rng("ami_curvature").normal(size=s.n), np.linspace(0, 3, 10), []
+    noise, levels, y = s.rng("ami_curvature").normal(size=s.n), np.linspace(*noise_range, noise_inc_num), []
     for level in levels:
         x = s.z + level * noise
         x = x - c.decompose(x, c.estimate_period(x))[0]
@@ -462,51 +495,58 @@ def ami_noise(s: Series) -> float:
     return float(np.polyfit(levels, y, 1)[0])
 
 
-def sample_entropy(x: np.ndarray, dim: int = 2, lag: int = 1, r: float = 0.2) -> float:
+def sample_entropy(x: np.ndarray, embed_dim: int = 2, embed_lag: int = 1, threshold: float = 0.2) -> float:
     count = []
-    for m in (dim, dim + 1):
-        e = c.embed(x, m, lag)
-        count.append(int((c.pairwise(e) < r)[np.triu_indices(len(e), 1)].sum()) if len(e) else 0)
+    for m in (embed_dim, embed_dim + 1):
+        e = c.embed(x, m, embed_lag)
+        count.append(int((c.pairwise(e) < threshold)[np.triu_indices(len(e), 1)].sum()) if len(e) else 0)
     return math.log(count[0]) - math.log(count[1]) if min(count) else NAN
 
 
-def surprise(s: Series, num_it: int = 128, eps: float = 1e-8) -> np.ndarray:
-    d = np.diff(s.ts)
-    memory = math.ceil(0.1 * s.n)
+def surprise(s: Series, num_bins: int = 10, memory_size: float = 0.1, num_it: int = 128, method: str = "distribution", diff_order: int = 1, epsilon: float = 1e-8) -> np.ndarray:
+    """How unlikely the symbol at random places is, by those (or by the transitions) in the memory before it."""
+    if method not in ("distribution", "1-transition"):
+        raise ValueError(f"no such method: {method}")
+    d = np.diff(s.ts, diff_order)
+    memory = math.ceil(memory_size * s.n) if memory_size < 1 else int(memory_size)
     if len(d) <= memory:
         return np.empty(0)
-    symbols = c.bins_equal_count(d, 10)
-    at = s.rng("surprise").integers(memory, len(d), num_it)
-    p = np.array([(symbols[i - memory : i] == symbols[i]).mean() for i in at])
-    return np.where(p < eps, 0.0, -np.log(np.maximum(p, eps)))
-
-
-def lempel_ziv(s: Series, num: int = 10) -> float:
-    symbols, seen, phrase = c.bins_equal_width(s.ts, num).tolist(), set(), ()
+    symbols, p = c.bins_equal_count(d, num_bins), []
+    for i in s.rng("surprise").integers(memory, len(d), num_it):
+        past = symbols[i - memory : i]
+        if method == "1-transition":
+            past = past[1:][past[:-1] == past[-1]]
+        p.append((past == symbols[i]).mean() if len(past) else 0.0)
+    p = np.array(p)
+    return np.where(p < epsilon, 0.0, -np.log(np.maximum(p, epsilon)))
+
+
+def lempel_ziv(s: Series, num_bins: int = 10, normalize: bool = True) -> float:
+    symbols, seen, phrase = c.bins_equal_width(s.ts, num_bins).tolist(), set(), ()
     for x in symbols:
         phrase += (x,)
         if phrase not in seen:
             seen.add(phrase)
             phrase = ()
-    return float(len(seen) * math.log(s.n) / (s.n * math.log(num)))
+    return float(len(seen) * (math.log(s.n) / (s.n * math.log(num_bins)) if normalize else 1))
 
 
-def inner_entropy(s: Series) -> float:
-    lo, hi = np.quantile(s.ts, [0.05, 0.95])
-    return histogram_entropy(s.ts) - histogram_entropy(s.ts[(s.ts >= lo) & (s.ts <= hi)])
+def inner_entropy(s: Series, num_bins: int = 10, pcut: float = 0.05, normalize: bool = True) -> float:
+    lo, hi = np.quantile(s.ts, [pcut, 1 - pcut])
+    return histogram_entropy(s.ts, num_bins, normalize) - histogram_entropy(s.ts[(s.ts >= lo) & (s.ts <= hi)], num_bins, normalize)
 
 
 put(
     "freq-domain",
-    hist_entropy=lambda s: histogram_entropy(s.ts),
+    hist_entropy=lambda s, **o: histogram_entropy(s.ts, **o),
     hist_ent_out_diff=inner_entropy,
-    ami=lambda s: s.ami(s.ts, min(s.ami_lags, s.n - 2)),
-    ami_detrended=lambda s: s.ami_detrended,
+    ami=lambda s, num_bins=64, lags=None, return_dist=False: s.ami(s.ts, min(s.ami_lags, s.n - 2) if lags is None else lags, num_bins, return_dist),
+    ami_detrended=lambda s, num_bins=64, lags=None, return_dist=False: s.ami(s.detrended, min(s.ami_lags, s.n - 2) if lags is None else lags, num_bins, return_dist),
     ami_first_critpt=first_ami,
     ami_curvature=ami_noise,
-    approx_entropy=lambda s: approximate_entropy(s.z),
-    sample_entropy=lambda s: sample_entropy(s.z),
-    control_entropy=lambda s: sample_entropy(np.diff(s.z)),
+    approx_entropy=lambda s, **o: approximate_entropy(s.z, **o),
+    sample_entropy=lambda s, **o: sample_entropy(s.z, **o),
+    control_entropy=lambda s, **o: sample_entropy(np.diff(s.z), **o),
     surprise=surprise,
     lz_complexity=lempel_ziv,
 )
@@ -514,8 +554,8 @@ put(
 # ---- statistical tests
 
 
-def durbin_watson(x: np.ndarray) -> float:
-    return float((np.diff(x) ** 2).sum() / (x @ x) * 0.25) if x @ x > 0 else NAN
+def durbin_watson(x: np.ndarray, normalize: bool = True) -> float:
+    return float((np.diff(x) ** 2).sum() / (x @ x) * (0.25 if normalize else 1)) if x @ x > 0 else NAN
 
 
 def ljung_box(x: np.ndarray, lags: int = 16) -> np.ndarray:
@@ -555,9 +595,9 @@ def lilliefors_p(x: np.ndarray) -> float:
 
 put(
     "stat-tests",
-    test_dw=lambda s: durbin_watson(s.resid),
-    test_lb=lambda s: ljung_box(s.resid),
-    test_earch=lambda s: engle_arch(s.resid),
+    test_dw=lambda s, normalize=True: durbin_watson(s.resid, normalize),
+    test_lb=lambda s, max_nlags=16: ljung_box(s.resid, max_nlags),
+    test_earch=lambda s, max_nlags=16: engle_arch(s.resid, max_nlags),
     test_adf=lambda s: models.adf(s.ts),
     test_adf_gls=lambda s: models.adf_gls(s.ts),
     test_pp=lambda s: models.phillips_perron(s.ts),
@@ -569,31 +609,35 @@ put(
 # ---- autocorrelation
 
 
-def lagged_moment(x: np.ndarray, lag: int) -> float:
+def lagged_moment(x: np.ndarray, lag: int, only_numerator: bool = False) -> float:
     d = x[lag:] - x[:-lag]
+    if only_numerator:
+        return float((d**3).mean()) if len(d) else NAN
     below = (d * d).mean() ** 1.5 if len(d) else 0.0
     return float((d**3).mean() / below) if below > 0 else NAN
 
 
-def triple(x: np.ndarray, lag: int) -> float:
+def triple(x: np.ndarray, lag: int, only_numerator: bool = False) -> float:
     n = len(x) - 2 * lag
     if n < 1:
         return NAN
     a, b, d = x[:n], x[lag : lag + n], x[2 * lag :]
+    if only_numerator:
+        return float((a * b * d).mean())
     below = abs((a * b).mean()) ** 1.5
     return float((a * b * d).mean() / below) if below > 0 else NAN
 
 
-def general_autocorrelation(s: Series) -> float:
-    a, b = np.abs(s.ts[: -s.lag]), np.abs(s.ts[s.lag :])
+def general_autocorrelation(s: Series, alpha: float = 1, beta: float = 1) -> float:
+    a, b = np.abs(s.ts[: -s.lag]) ** alpha, np.abs(s.ts[s.lag :]) ** beta
     if not len(a) or not a.std() * b.std() > 0:
         return NAN
     return float((a * b).mean() - a.mean() * b.mean() / (a.std() * b.std()))
 
 
-def without_outliers(s: Series) -> np.ndarray:
+def without_outliers(s: Series, p: float = 0.8) -> np.ndarray:
     a = np.abs(s.ts)
-    inner = s.ts[a <= np.quantile(a, 0.8)]
+    inner = s.ts[a <= np.quantile(a, p)]
     if len(inner) < 3:
         return np.empty(0)
     x, y = s.acf_detrended, c.acf(inner - c.super_smoother(inner))
@@ -603,35 +647,41 @@ def without_outliers(s: Series) -> np.ndarray:
 
 put(
     "autocorr",
-    acf=lambda s: c.acf(s.ts),
-    acf_detrended=lambda s: s.acf_detrended,
-    acf_diff=lambda s: c.acf(np.diff(s.ts)),
-    pacf=lambda s: c.pacf(s.ts),
-    pacf_detrended=lambda s: c.pacf(s.detrended),
-    pacf_diff=lambda s: c.pacf(np.diff(s.ts)),
-    acf_first_nonsig=lambda s: c.first_where(np.abs(s.acf_detrended) <= 1.96 / math.sqrt(s.n)),
-    acf_first_nonpos=lambda s: c.first_where(s.acf_detrended <= 0),
-    first_acf_locmin=lambda s: float(at[0] + 1) if len(at := c.local_minima(s.acf_detrended)) else NAN,
-    trev=lambda s: lagged_moment(s.ts, s.lag),
-    tc3=lambda s: triple(s.ts, s.lag),
+    acf=lambda s, nlags=None, adjusted=True: c.acf(s.ts, nlags, adjusted),
+    acf_detrended=lambda s, nlags=None, adjusted=True: s.acf_of(nlags, adjusted),
+    acf_diff=lambda s, num_diff=1, nlags=None, adjusted=True: c.acf(np.diff(s.ts, num_diff), nlags, adjusted),
+    pacf=lambda s, nlags=None: c.pacf(s.ts, nlags),
+    pacf_detrended=lambda s, nlags=None: c.pacf(s.detrended, nlags),
+    pacf_diff=lambda s, num_diff=1, nlags=None: c.pacf(np.diff(s.ts, num_diff), nlags),
+    acf_first_nonsig=lambda s, max_nlags=None, adjusted=True, threshold=None: c.first_where(np.abs(s.acf_of(max_nlags, adjusted)) <= (1.96 / math.sqrt(s.n) if threshold is None else threshold)),
+    acf_first_nonpos=lambda s, max_nlags=None, adjusted=True: c.first_where(s.acf_of(max_nlags, adjusted) <= 0),
+    first_acf_locmin=lambda s, max_nlags=None, adjusted=True: float(at[0] + 1) if len(at := c.local_minima(s.acf_of(max_nlags, adjusted))) else NAN,
+    trev=lambda s, only_numerator=False: lagged_moment(s.ts, s.lag, only_numerator),
+    tc3=lambda s, only_numerator=False: triple(s.ts, s.lag, only_numerator),
     gen_autocorr=general_autocorrelation,
-    autocorr_crit_pt=lambda s: np.flatnonzero(c.critical_points(s.acf_detrended)).astype(float),
-    gresid_autocorr=lambda s: c.acf(s.gaussian - c.super_smoother(s.gaussian), 8),
-    gresid_lbtest=lambda s: ljung_box(s.gaussian, 8),
+    autocorr_crit_pt=lambda s, crit_point_type="non-plateau", return_lags=True, max_nlags=None, adjusted=True: np.flatnonzero(x).astype(float) if len(x := c.critical_points(s.acf_of(max_nlags, adjusted), crit_point_type)) and return_lags else x,
+    gresid_autocorr=lambda s, nlags=8, adjusted=True: c.acf(s.gaussian - c.super_smoother(s.gaussian), nlags, adjusted),
+    gresid_lbtest=lambda s, nlags=8: ljung_box(s.gaussian, nlags),
     autocorr_out_dist=without_outliers,
 )
 
 # ---- randomization
 
 
-def progressive(s: Series, stat, name: str) -> np.ndarray:
-    """The statistic while entries are overwritten by entries drawn from the series as it is by then; a last 0 where the steps go up evenly."""
+def progressive(s: Series, stat, name: str, strategy: str = "dist-dynamic", prop_rep: float = 2, prop_interval: float = 0.1) -> np.ndarray:
+    """The statistic while entries are overwritten by entries drawn from the series ('dist-static': as it was, 'dist-dynamic': as it is by then) or swapped ('permute'); a last 0 where the steps go up evenly."""
+    if strategy not in ("dist-static", "dist-dynamic", "permute"):
+        raise ValueError(f"no such strategy: {strategy}")
     rng, x = s.rng(name), s.z.copy()
-    times, every = math.ceil(2 * s.n), max(1, math.ceil(0.1 * s.n))
+    source = s.z if strategy == "dist-static" else x
+    times, every = math.ceil(prop_rep * s.n), max(1, math.ceil(prop_interval * s.n))
     times += times % every
     out = np.zeros(1 + times // every)
     for k, (a, b) in enumerate(rng.integers(s.n, size=(times, 2))):
-        x[a] = x[b]
+        if strategy == "permute":
+            x[a], x[b] = x[b], x[a]
+        else:
+            x[a] = source[b]
         if k % every == 0:
             out[k // every] = stat(x)
     return out
@@ -665,9 +715,9 @@ def detrended_acf(x: np.ndarray) -> np.ndarray:
 
 put(
     "randomize",
-    itrand_mean=lambda s: progressive(s, np.mean, "itrand_mean"),
-    itrand_sd=lambda s: progressive(s, c.sd, "itrand_sd"),
-    itrand_acf=lambda s: progressive(s, lambda x: c.acf(x, 1)[0] if len(x) > 1 else NAN, "itrand_acf"),
+    itrand_mean=lambda s, **o: progressive(s, np.mean, "itrand_mean", **o),
+    itrand_sd=lambda s, **o: progressive(s, c.sd, "itrand_sd", **o),
+    itrand_acf=lambda s, **o: progressive(s, lambda x: c.acf(x, 1)[0] if len(x) > 1 else NAN, "itrand_acf", **o),
     resample_std=lambda s: np.array([c.sd(x) for x in subsamples(s, s.z, 64, 0.1, "resample_std")]),
     resample_first_acf_nonpos=lambda s: np.array([c.first_where(detrended_acf(x) <= 0) for x in subsamples(s, s.ts, 128, 0.2, "resample_first_acf_nonpos")]),
     resample_first_acf_locmin=lambda s: np.array([float(a[0] + 1) if len(a := c.local_minima(detrended_acf(x))) else NAN for x in subsamples(s, s.ts, 128, 0.2, "resample_first_acf_locmin")]),
@@ -678,15 +728,30 @@ put(
 # ---- landmarks: forecasts in five expanding folds
 
 for _name, _model in models.LANDMARKS.items():
-    put("landmarking", **{_name: lambda s, f=_model: models.cross_validated(s, f)})
+    put("landmarking", **{_name: lambda s, *, _f=_model, **o: models.cross_validated(s, _f, **o)})
 for _name in ("model_mean", "model_linear"):
-    put("landmarking", **{_name + "_acf_first_nonpos": lambda s, f=models.LANDMARKS[_name]: models.cross_validated(s, f, lambda p, y: c.first_where(c.acf(y - p) <= 0))})
-
-
-def compute(s: Series, name: str):
-    """The operator's value; NaN (or an empty array) where it fails on this series."""
+    put("landmarking", **{_name + "_acf_first_nonpos": lambda s, *, _f=models.LANDMARKS[_name], **o: models.cross_validated(s, _f, lambda p, y: c.first_where(c.acf(y - p) <= 0), **o)})
+
+#: Features of arrays: where they fail, the array is empty and not a number.
+SCALARS = frozenset("""length period frac_cp peak_frac trough_frac walker_cross_frac embed_in_shell emb_lag emb_dim_cao trend_strenght season_strenght sd_residuals sd_diff sd_sdiff skewness_residuals
+skewness_diff skewness_sdiff kurtosis_residuals kurtosis_diff kurtosis_sdiff exp_max_lyap exp_hurst dfa corr_dim opt_boxcox_coef t_mean des_level des_trend ets_level ets_trend ets_season linearity curvature
+avg_cycle_period gaussian_r_sqr ioe_std_slope ioe_std_adj_r_sqr ps_entropy low_freq_power hist_entropy hist_ent_out_diff ami_first_critpt ami_curvature approx_entropy sample_entropy control_entropy lz_complexity
+test_dw test_earch test_adf test_adf_gls test_pp test_kpss test_za test_lilliefors acf_first_nonsig acf_first_nonpos first_acf_locmin trev tc3 gen_autocorr""".split())
+_LAG = ("lag", "max_nlags")
+_OWN_NLAGS = ("acf_first_nonsig", "acf_first_nonpos", "first_acf_locmin", "autocorr_crit_pt", "test_lb", "test_earch")
+
+
+def compute(s: Series, name: str, options: dict | None = None):
+    """The operator's value; where it fails on this series NaN, or an empty array if it gives arrays.
+
+    ``options`` are the operator's own; ``lag`` (a number, 'ami', 'acf' or 'acf-nonsig') and ``max_nlags`` choose the embedding lag of all that have one.
+    """
+    options = dict(options or {})
+    chosen = {k: options.pop(k) for k in _LAG if k in options and not (k == "max_nlags" and name in _OWN_NLAGS)}
+    if chosen:
+        s = s.with_lag(**chosen)
     try:
         with np.errstate(all="ignore"):
-            return FEATURES[name][1](s)
-    except (ValueError, ZeroDivisionError, IndexError, FloatingPointError, OverflowError, np.linalg.LinAlgError):
-        return NAN
+            return FEATURES[name][1](s, **options)
+    except (ValueError, ZeroDivisionError, IndexError, FloatingPointError, OverflowError, ArithmeticError, np.linalg.LinAlgError):
+        return NAN if name in SCALARS else np.empty(0)

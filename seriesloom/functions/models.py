@@ -312,16 +312,24 @@ def folds(n: int, k: int = FOLDS) -> list[tuple[int, int]]:
     return [(n - (k - i) * size, n - (k - i - 1) * size) for i in range(k)] if size else []
 
 
-def cross_validated(s, model, score=rmse) -> np.ndarray:
-    """The score of each fold; values are scaled to [0, 1] on the fold's training part, time runs from 0 to 1."""
+SCORES = {"rmse": rmse, "mse": mse, "mae": mae, "smape": smape}
+
+
+def cross_validated(s, model, own=None, score="rmse", num_cv_folds: int = FOLDS, lm_sample_frac: float = 1.0) -> np.ndarray:
+    """The score (a name or a function of prediction and values; ``own`` goes first) of each fold of the last ``lm_sample_frac`` of the series; values are scaled to [0, 1] on the fold's training part, time runs from 0 to 1."""
+    judge = own or SCORES.get(score, score)
+    if not callable(judge):
+        raise ValueError(f"no such score: {score}")
+    if lm_sample_frac < 1:
+        s = s.tail(math.ceil(s.n * lm_sample_frac))
     t, out = np.linspace(0, 1, s.n), []
-    for a, b in folds(s.n):
+    for a, b in folds(s.n, num_cv_folds):
         lo, hi = s.ts[:a].min(), s.ts[:a].max()
         y = (s.ts[:b] - lo) / ((hi - lo) or 1.0)
         s.fold_y = y
         try:
             p = np.asarray(model(t[:a], y[:a], t[a:b], s), float)
-            out.append(score(p, y[a:]) if np.isfinite(p).all() else NAN)
+            out.append(judge(p, y[a:]) if np.isfinite(p).all() else NAN)
         except (ValueError, ZeroDivisionError, IndexError, OverflowError, np.linalg.LinAlgError):
             out.append(NAN)
     return np.array(out, float)

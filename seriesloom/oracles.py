@@ -377,4 +377,33 @@ def _whole() -> dict[str, str]:
     return out
 
 
-SQL = _sql() | _decomposed_sql() | _whole()
+def _arguments() -> dict[str, str]:
+    plain = _sql()
+    out = {"diff_order_2": array(upto("(n - 2)", "i", "x[i + 2] - 2 * x[i + 1] + x[i]"))}
+    out["sd_diff_ddof_0"] = scalar(f"list_aggregate({steps('x')}, 'stddev_pop')")
+    out["lumpiness_8_tiles"] = plain["lumpiness"].replace("n >= 32 then 16", "n >= 16 then 8").replace("n // 16", "n // 8").replace("n % 16", "n % 8")
+    out["t_mean_pcut_10"] = plain["t_mean"].replace("0.02", "0.1")
+    out["hist_entropy_5_bins"] = scalar(entropy10("b").replace("log2(10)", "log2(5)"), f"b as (select id, {tenths('x', 5)} as b from l)", frm="b")
+    out["moving_avg_window_30"] = plain["moving_avg"].replace("ceil(n / 10.0)", "ceil(3 * n / 10.0)")
+    out["acf_4_lags"] = f"select * from ({plain['acf']}) q where idx < 4"
+    out["model_mean_mae_3_folds"] = plain["model_mean"].replace("n // 6 as f from l where n >= 6", "n // 4 as f from l where n >= 4").replace("(5 - k)", "(3 - k)").replace("(4 - k)", "(2 - k)").replace("range(0, 5) q(k)", "range(0, 3) q(k)").replace("sqrt(list_avg(", "(list_avg(").replace("pow(list_avg(tr) - te[i], 2)", "abs(list_avg(tr) - te[i])")
+    out["model_naive_last_half"] = plain["model_naive"].replace("g as (select id, x, n, n // 6 as f from l where n >= 6)", "g0 as (select id, x[n - cast(ceil(n / 2.0) as int) + 1 : n] as x from l), g as (select id, x, len(x) as n, len(x) // 6 as f from g0 where len(x) >= 6)")
+    jump = each("range(1, n - 1)", "i", "x[i + 2] - x[i]")
+    out["trev_lag_2"] = scalar(f"list_avg({each('q', 'v', 'v * v * v')}) / pow(list_avg({each('q', 'v', 'v * v')}), 1.5)", f"g as (select id, {jump} as q from l)", frm="g")
+    cut = "list_sort(x)[cast(floor(0.02 * n) as int) + 1 : n - cast(floor(0.02 * n) as int)]"
+    quarter = lambda p: f"list_aggregate(x, 'quantile_cont', {p})"
+    for name, centre, spread in (("standard", "list_avg(x)", "list_aggregate(x, 'stddev_pop')"), ("min_max", "list_min(x)", "list_max(x) - list_min(x)"), ("robust", quarter(0.5), f"{quarter(0.75)} - {quarter(0.25)}")):
+        out[f"rescale_{name}"] = scalar(f"(list_avg({cut}) - ({centre})) / ({spread})")
+    rows = " union all ".join(
+        f"select series_id, '{n}.powersum' as feature, sum(pow(value, 3)) as value from ({plain[n]}) q group by 1 union all select series_id, '{n}.sd', stddev_pop(value) from ({plain[n]}) q group by 1" for n in ("local_extrema", "local_range")
+    )
+    out["extract_by_pattern"] = rows
+    count = "row_number() over (partition by {0} order by {1}) - 1 as t"
+    out["source_events_by_user"] = f"select user_id as series_id, {count.format('user_id', 'ts, event_id')}, cast(value as double) as v from events where value is not null and user_id is not null"
+    out["source_events_hourly"] = f"select event_type as series_id, {count.format('event_type', 'h')}, cast(v as double) as v from (select event_type, date_trunc('hour', ts) as h, sum(value) as v from events group by 1, 2) q where v is not null and event_type is not null"
+    out["source_orders_daily"] = f"select cast(0 as bigint) as series_id, row_number() over (order by d) - 1 as t, cast(v as double) as v from (select cast(o_orderdate as date) as d, sum(o_totalprice) as v from orders group by 1) q where v is not null"
+    out["source_embeddings"] = "select vec_id as series_id, unnest(range(0, len(embedding))) as t, cast(unnest(embedding) as double) as v from embeddings"
+    return out
+
+
+SQL = _sql() | _decomposed_sql() | _whole() | _arguments()

@@ -7,15 +7,19 @@ relational plan can instead run as one over the long table, where no series has
 
 from __future__ import annotations
 
+import fnmatch
+import inspect
+import time
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.context import Series
 from ..functions.kernels import FEATURES, compute
+from ..functions.models import cross_validated
 from ..operators import relational
 from ..sources.series import arrays
 
@@ -23,41 +27,59 @@ GROUPS = ("landmarking", "general", "global-stat", "local-stat", "model-based",
 _LONG = "feature string, idx long, value double"
 
 
-def features(series: DataFrame, names: Iterable[str], period: int | None = None, seed: int = 0) -> DataFrame:
-    """series_id, feature, idx (null for scalars), value of the named operators. NaN stays NaN."""
-    return features_of_arrays(arrays(series), list(names), period, seed)
+def features(series: DataFrame, names: Iterable[str], period: int | None = None, seed: int = 0, args: dict[str, dict] | None = None) -> DataFrame:
+    """series_id, feature, idx (null for scalars), value of the named operators with their ``args``. NaN stays NaN."""
+    return features_of_arrays(arrays(series), list(names), period, seed, args).where(f"idx is null or idx <> {EMPTY}")
 
 
-def features_of_arrays(table: DataFrame, names: list[str], period: int | None = None, seed: int = 0) -> DataFrame:
-    unknown = set(names) - set(FEATURES)
+#: Stands at the place of an empty array, so that it still has a row for each summary.
+EMPTY = -1
+TIMES = "seconds"
+
+
+def features_of_arrays(table: DataFrame, names: list[str], period: int | None = None, seed: int = 0, args: dict[str, dict] | None = None, measure_time: bool = False) -> DataFrame:
+    """As ``features``, of series_id and values; empty arrays have one row at ``EMPTY``. ``measure_time`` adds how long each took in ``seconds``."""
+    unknown = (set(names) | set(args or {})) - set(FEATURES)
     if unknown:
         raise ValueError(f"no such feature: {', '.join(sorted(unknown))}")
+    args, chosen = args or {}, {n: FEATURES[n] for n in names}
+    for n in set(args) & set(names):
+        checked(n, args[n])
     key = table.schema["series_id"].dataType.simpleString()
 
     def run(batches):
+        FEATURES.update(chosen)  # registered ones, on the executors
         for batch in batches:
             ids, values = batch.column("series_id"), batch.column("values")
-            row, feature, idx, value = [], [], [], []
-            for i in range(batch.num_rows):
+            for i in range(batch.num_rows):  # a batch out for each series: memory goes with one series
                 x = np.asarray(values[i].values.to_numpy(zero_copy_only=False), float)
                 if not len(x):
                     continue
                 s = Series(x, period, seed, ids[i].as_py())
+                feature, idx, value, took = [], [], [], []
                 for name in names:
-                    out = compute(s, name)
-                    if np.ndim(out) == 0:
-                        row.append(i)
-                        feature.append(name)
-                        idx.append(None)
-                        value.append(float(out))
-                    else:
-                        row += [i] * len(out)
-                        feature += [name] * len(out)
-                        idx += range(len(out))
-                        value += out.tolist()
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(feature, pa.string()), pa.array(idx, pa.int64()), pa.array(value, pa.float64())], ["series_id", "feature", "idx", "value"])
-
-    return table.select("series_id", "values").mapInArrow(run, f"series_id {key}, {_LONG}")
+                    began = time.perf_counter()
+                    out = compute(s, name, args.get(name))
+                    scalar = np.ndim(out) == 0
+                    out = np.atleast_1d(np.asarray(out, float))
+                    feature += [name] * max(1, len(out))
+                    idx += [None] if scalar else range(len(out)) if len(out) else [EMPTY]
+                    value += out.tolist() if len(out) else [np.nan]
+                    took += [time.perf_counter() - began] * max(1, len(out))
+                cols = [ids.take(pa.array([i] * len(feature), pa.int64())), pa.array(feature, pa.string()), pa.array(idx, pa.int64()), pa.array(value, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(took, pa.float64())] if measure_time else [])], ["series_id", "feature", "idx", "value", *([TIMES] if measure_time else [])])
+
+    return table.select("series_id", "values").mapInArrow(run, f"series_id {key}, {_LONG}" + (f", {TIMES} double" if measure_time else ""))
+
+
+def checked(name: str, options: dict) -> None:
+    """ValueError for an argument that the operator doesn't have."""
+    known = inspect.signature(FEATURES[name][1]).parameters
+    if any(p.kind is p.VAR_KEYWORD for p in known.values()):
+        return  # passed on: the operator itself tells
+    wrong = set(options) - set(known) - {"lag", "max_nlags"}
+    if wrong:
+        raise ValueError(f"{name} has no argument {', '.join(sorted(wrong))}")
 
 
 def components(series: DataFrame, period: int | None = None) -> DataFrame:
@@ -74,58 +96,123 @@ def components(series: DataFrame, period: int | None = None) -> DataFrame:
     return arrays(series).mapInArrow(run, f"series_id {key}, t long, v double, trend double, season double, resid double, detrended double, deseasonalized double")
 
 
-def summarize(table: DataFrame, summaries: Iterable[str]) -> DataFrame:
-    """series_id, feature, value: scalars as they are, arrays by each summary ('name.summary' or 'name.summary.i').
-
-    One aggregation serves all summaries; NaN spoils a plain summary and is passed over by its nan form.
+def _spread(x: Column, m: Column, n: Column, ddof: int) -> Column:
+    """Variance with ``ddof`` taken from the number of values."""
+    return F.when(n > ddof, F.sum((x - m) ** 2) / (n - ddof))
+
+
+def _norm(x: Column, p: float) -> Column:
+    """Vector norm; of order 0 the number of values that are not zero, of infinity the greatest absolute value, undefined below 0."""
+    if p < 0:
+        return F.lit(None).cast("double")
+    if p == 0:
+        return F.sum((x != 0).cast("double"))
+    return F.max(F.abs(x)) if p == float("inf") else F.sum(F.abs(x) ** p) ** (1 / p)
+
+
+def _moment(x: Column, m: Column, n: Column, power: int, method: int) -> Column:
+    s2 = F.avg((x - m) ** 2)
+    g = F.avg((x - m) ** power) / F.when(s2 > 0, s2) ** (power / 2)
+    if power == 3:
+        return {1: g, 2: F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * g), 3: g * ((n - 1) / n) ** 1.5}[method]
+    return {1: g - 3, 2: F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (g - 3) + 6)), 3: g * (1 - 1 / n) ** 2 - 3}[method]
+
+
+def _columns(plain: str, x: Column, n: Column, o: dict) -> list[tuple[str, Column]]:
+    """(suffix, expression) of one summary of the values x that are numbers."""
+    m, lo, hi = F.col("__m"), F.col("__lo"), F.col("__hi")
+    several = lambda v: list(v) if isinstance(v, (list, tuple)) else None
+    if plain in ("sd", "var"):
+        v = _spread(x, m, n, o.get("ddof", 1))
+        return [("", F.sqrt(v) if plain == "sd" else v)]
+    if plain in ("powersum", "pnorm"):
+        p = o.get("p", 2)
+        one = (lambda q: F.sum(x**q)) if plain == "powersum" else (lambda q: _norm(x, q))
+        return [("", one(p))] if several(p) is None else [(f".{i}", one(q)) for i, q in enumerate(p)]
+    if plain in ("skewness", "kurtosis"):
+        return [("", _moment(x, m, n, 3 if plain == "skewness" else 4, o.get("method", 3)))]
+    if plain == "histogram":
+        num = o.get("num_bins", 10)
+        at = F.when(hi > lo, F.least(F.floor((x - lo) / (hi - lo) * num), F.lit(num - 1))).otherwise(num // 2)
+        count = F.avg if o.get("normalize", True) else F.sum
+        return [(f".{k}", count(F.when(x.isNotNull(), (at == k).cast("double")))) for k in range(num)]
+    q = lambda *p: F.percentile(x, F.array(*(F.lit(float(v)) for v in p)))
+    if plain == "quantiles":
+        p = o.get("p", (0.0, 0.25, 0.5, 0.75, 1.0))
+        return [(f".{k}", q(*p)[k]) for k in range(len(p))]
+    simple = {"mean": F.avg(x), "max": F.max(x), "min": F.min(x), "median": F.median(x), "sum": F.sum(x), "range": F.max(x) - F.min(x), "iq_range": q(0.25, 0.75)[1] - q(0.25, 0.75)[0]}
+    return [("", simple[plain])]
+
+
+def summarize(table: DataFrame, summaries: Iterable[str], args: dict[str, dict] | None = None) -> DataFrame:
+    """series_id, feature, value: scalars as they are, arrays by each summary ('name.summary' or 'name.summary.i') with its ``args``.
+
+    One aggregation serves all summaries; NaN spoils a plain summary and is passed over by its nan form. Empty arrays have NaN, and counts of 0.
     """
-    by = ["series_id", "feature"]
-    good = F.when(~F.isnan("value"), F.col("value"))
-    long = table.where("idx is not null").withColumn("__w", good)
+    by, args = ["series_id", "feature"], args or {}
+    there = F.col("idx") != EMPTY
+    long = table.where("idx is not null").withColumn("__w", F.when(there & ~F.isnan("value"), F.col("value")))
     w = Window.partitionBy(*by)
     long = long.withColumn("__m", F.avg("__w").over(w)).withColumn("__lo", F.min("__w").over(w)).withColumn("__hi", F.max("__w").over(w))
-    spoilt = F.max(F.isnan("value"))
-    bins = [F.avg(F.when(F.col("__w").isNotNull(), (F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col("__w") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 10), F.lit(9))).otherwise(5) == k).cast("double"))) for k in range(10)]
-    n, s2 = F.count("__w"), F.avg((F.col("__w") - F.col("__m")) ** 2)
-    q = F.percentile("__w", F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    base = {
-        "mean": F.avg("__w"), "sd": F.stddev_samp("__w"), "var": F.var_samp("__w"), "max": F.max("__w"), "min": F.min("__w"), "median": F.median("__w"), "sum": F.sum("__w"), "range": F.max("__w") - F.min("__w"), "iq_range": q[3] - q[1],
-        "powersum": F.sum(F.col("__w") ** 2), "pnorm": F.sqrt(F.sum(F.col("__w") ** 2)), "skewness": F.avg((F.col("__w") - F.col("__m")) ** 3) / F.when(s2 > 0, s2) ** 1.5 * ((n - 1) / n) ** 1.5,
-        "kurtosis": F.avg((F.col("__w") - F.col("__m")) ** 4) / F.when(s2 > 0, s2) ** 2 * (1 - 1 / n) ** 2 - 3, **{f"histogram.{k}": b for k, b in enumerate(bins)}, **{f"quantiles.{k}": q[k] for k in range(5)},
-    }
-    wanted = []
+    spoilt, x, n, wanted = F.max(there & F.isnan("value")), F.col("__w"), F.count("__w"), []
     for name in summaries:
         plain = name.removeprefix("nan")
+        if name not in relational.SUMMARIES and name not in relational.VECTOR_SUMMARIES:
+            raise ValueError(f"no such summary: {name}")
         if plain == "count":
-            wanted.append((name, (F.count("*") if name == "count" else n).cast("double")))
+            wanted.append((name, (F.count(F.when(there, True)) if name == "count" else n).cast("double")))
             continue
-        found = [k for k in base if k == plain or k.startswith(plain + ".")]
-        if not found:
-            raise ValueError(f"no such summary: {name}")
-        for k in found:
-            e = F.coalesce(base[k], F.lit(float("nan")))
-            wanted.append((name + k[len(plain) :], e if name != plain else F.when(spoilt, float("nan")).otherwise(e)))
+        for suffix, e in _columns(plain, x, n, args.get(name, {})):
+            e = F.coalesce(e, F.lit(float("nan")))
+            wanted.append((name + suffix, e if name != plain else F.when(spoilt, float("nan")).otherwise(e)))
     wide = long.groupBy(*by).agg(F.array(*(F.struct(F.lit(k).alias("s"), e.cast("double").alias("value")) for k, e in wanted)).alias("__all"))
     many = wide.select("series_id", "feature", F.explode("__all").alias("x")).select("series_id", F.concat_ws(".", "feature", "x.s").alias("feature"), "x.value")
     return table.where("idx is null").select("series_id", "feature", "value").unionByName(many)
 
 
+def rescaled(series: DataFrame, how: str) -> DataFrame:
+    """Each series by 'standard' (mean and population deviation), 'min-max' (to 0 ... 1) or 'robust' (median and quartiles); without spread only moved."""
+    w = Window.partitionBy("series_id")
+    v = F.col("v")
+    q = lambda p: F.percentile("v", p).over(w)
+    ways = {"standard": (F.avg("v").over(w), F.stddev_pop("v").over(w)), "min-max": (F.min("v").over(w), F.max("v").over(w) - F.min("v").over(w)), "robust": (q(0.5), q(0.75) - q(0.25))}
+    if how not in ways:
+        raise ValueError(f"no such scale: {how}")
+    centre, spread = ways[how]
+    return series.withColumn("v", (v - centre) / F.when(spread > 0, spread).otherwise(1.0))
+
+
 class Extractor:
-    """Choose features by name or group and summaries; ``extract`` gives series_id, feature, value.
+    """Choose features by name (or a pattern with * and ?) or group, and summaries; ``extract`` gives series_id, feature, value.
 
+    ``args`` has arguments by operator, ``summary_args`` by summary. ``score``, ``num_cv_folds`` and ``lm_sample_frac`` go to all landmarks, ``lag`` and
+    ``max_nlags`` to all that embed. ``measure_time`` adds a row 'name.seconds' per operator and series.
     ``register`` adds an operator: a function of a ``Series`` that returns a number or an array.
     """
 
-    def __init__(self, features: Iterable[str] | str = "all", groups: Iterable[str] | str = "all", summary: Iterable[str] | None = ("mean", "sd"), period: int | None = None, random_state: int = 0):
+    def __init__(
+        self, features: Iterable[str] | str = "all", groups: Iterable[str] | str = "all", summary: Iterable[str] | str | None = ("mean", "sd"), period: int | None = None, random_state: int = 0, args: dict[str, dict] | None = None,
+        summary_args: dict[str, dict] | None = None, score: str | Callable = "rmse", num_cv_folds: int = 5, lm_sample_frac: float = 1.0, lag: int | str | None = None, max_nlags: int | None = None, measure_time: bool = False,
+    ):
         wanted_groups = set(GROUPS) if groups == "all" else {g.lower() for g in ([groups] if isinstance(groups, str) else groups)}
         if wanted_groups - set(self.valid_groups()):
             raise ValueError(f"no such group: {', '.join(sorted(wanted_groups - set(self.valid_groups())))}")
-        names = list(FEATURES) if features == "all" else [features] if isinstance(features, str) else list(features)
-        if set(names) - set(FEATURES):
-            raise ValueError(f"no such feature: {', '.join(sorted(set(names) - set(FEATURES)))}")
-        self.names = sorted(n for n in names if FEATURES[n][0] in wanted_groups)
-        self.summary = tuple(summary or ())
-        self.period, self.seed = period, random_state
+        patterns = ["*"] if features == "all" else [features] if isinstance(features, str) else list(features)
+        met = {p: fnmatch.filter(FEATURES, p) for p in patterns}
+        if wrong := [p for p, names in met.items() if not names]:
+            raise ValueError(f"no such feature: {', '.join(sorted(wrong))}")
+        if not 0 < lm_sample_frac <= 1 or num_cv_folds < 1:
+            raise ValueError("lm_sample_frac is above 0 and at most 1, num_cv_folds is 1 at least")
+        self.names = sorted({n for names in met.values() for n in names if FEATURES[n][0] in wanted_groups})
+        self.summary = tuple(self.valid_summary() if summary == "all" else [summary] if isinstance(summary, str) else summary or ())
+        self.period, self.seed, self.measure_time, self.summary_args = period, random_state, measure_time, summary_args
+        common = {k: v for k, v in (("score", score), ("num_cv_folds", num_cv_folds), ("lm_sample_frac", lm_sample_frac)) if v != inspect.signature(cross_validated).parameters[k].default}
+        embedding = {k: v for k, v in (("lag", lag), ("max_nlags", max_nlags)) if v is not None}
+        self.args = {n: ({k: v for k, v in common.items() if k != "score" or not n.endswith("nonpos")} if FEATURES[n][0] == "landmarking" else embedding) | (args or {}).get(n, {}) for n in self.names}
+        for n, options in (args or {}).items():
+            if n not in FEATURES:
+                raise ValueError(f"no such feature: {n}")
+            checked(n, options)
         self.series: DataFrame | None = None
 
     @staticmethod
@@ -156,19 +243,29 @@ class Extractor:
         names = [n for n, (g, _) in FEATURES.items() if g in set(groups)]
         return result.where(F.split("feature", r"\.")[0].isin(names))
 
-    def fit(self, series: DataFrame) -> Extractor:
-        """``series``: series_id, t, v. Nothing runs before the result is used."""
-        self.series = series
+    def fit(self, series: DataFrame, rescale: str | None = None) -> Extractor:
+        """``series``: series_id, t, v, on the scale wished for (see ``rescaled``). Nothing runs before the result is used."""
+        self.series = series if rescale is None else rescaled(series, rescale)
         return self
 
-    def raw(self) -> DataFrame:
+    def _long(self, measure_time: bool = False) -> DataFrame:
         if self.series is None:
             raise ValueError("call fit first")
-        return features(self.series, self.names, self.period, self.seed)
+        return features_of_arrays(arrays(self.series), self.names, self.period, self.seed, self.args, measure_time)
+
+    def raw(self) -> DataFrame:
+        return self._long().where(f"idx is null or idx <> {EMPTY}")
 
     def extract(self) -> DataFrame:
-        """Without summaries, arrays keep a row per element as 'name' with its idx."""
-        return summarize(self.raw(), self.summary) if self.summary else self.raw()
+        """A row for each series and operator (and summary), whatever fails. Without summaries, arrays keep a row per element as 'name' with its idx."""
+        if not self.summary:
+            return self.raw()
+        long = self._long(self.measure_time)
+        out = summarize(long, self.summary, self.summary_args)
+        if not self.measure_time:
+            return out
+        took = long.groupBy("series_id", "feature").agg(F.max(TIMES).alias("value"))
+        return out.unionByName(took.select("series_id", F.concat("feature", F.lit("." + TIMES)).alias("feature"), "value"))
 
     def extract_with_confidence(self, sample_num: int = 128, confidence: float = 0.95, block: int = 1) -> DataFrame:
         """series_id, feature, value and the bootstrap interval (low, high). Values are drawn with replacement in blocks of ``block``, kept in time order."""
@@ -187,8 +284,8 @@ class Extractor:
                         yield pa.RecordBatch.from_arrays([batch.column("series_id").slice(i, 1), pa.array([k]), pa.array([x[at]], pa.list_(pa.float64()))], ["id", "sample", "values"])
 
         samples = arrays(self.series).mapInArrow(draw, f"id {key}, sample long, values array<double>").repartition("id", "sample")
-        each = features_of_arrays(samples.select(F.struct("id", "sample").alias("series_id"), "values"), self.names, self.period, self.seed)
-        each = (summarize(each, self.summary) if self.summary else each.where("idx is null")).select("series_id.id", "feature", "value").where(~F.isnan("value"))
+        each = features_of_arrays(samples.select(F.struct("id", "sample").alias("series_id"), "values"), self.names, self.period, self.seed, self.args)
+        each = (summarize(each, self.summary, self.summary_args) if self.summary else each.where("idx is null")).select("series_id.id", "feature", "value").where(~F.isnan("value"))
         tail = (1 - confidence) / 2
         limits = each.groupBy("id", "feature").agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
         limits = limits.select(F.col("id").alias("series_id"), "feature", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))

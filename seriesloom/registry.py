@@ -6,17 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
-from .functions.kernels import FEATURES
+from .functions.kernels import FEATURES, SCALARS
 from .operators import relational
 from .plans.extract import Extractor, features, summarize
 from .sources import series as sources
 
-SCALARS = frozenset("""length period frac_cp peak_frac trough_frac walker_cross_frac embed_in_shell emb_lag emb_dim_cao trend_strenght season_strenght sd_residuals sd_diff sd_sdiff skewness_residuals
-skewness_diff skewness_sdiff kurtosis_residuals kurtosis_diff kurtosis_sdiff exp_max_lyap exp_hurst dfa corr_dim opt_boxcox_coef t_mean des_level des_trend ets_level ets_trend ets_season linearity curvature
-avg_cycle_period gaussian_r_sqr ioe_std_slope ioe_std_adj_r_sqr ps_entropy low_freq_power hist_entropy hist_ent_out_diff ami_first_critpt ami_curvature approx_entropy sample_entropy control_entropy lz_complexity
-test_dw test_earch test_adf test_adf_gls test_pp test_kpss test_za test_lilliefors acf_first_nonsig acf_first_nonpos first_acf_locmin trev tc3 gen_autocorr""".split())
-
-
 def _kernel(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = features(sources.events_by_user(spark, sf_dir), [name])
@@ -43,7 +37,7 @@ def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Extractor(["t_mean", "sd_diff", "acf_first_nonpos"], random_state=7).fit(sources.events_by_user(spark, sf_dir))
-    return x.extract_with_confidence(32)
+    return x.extract_with_confidence()
 
 
 def _by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +50,48 @@ def _summaries_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize(table, Extractor.valid_summary()).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
+#: Operators with arguments: query name, operator, options of the extractor.
+WITH_ARGUMENTS = {
+    "diff_order_2": ("diff", {"args": {"diff": {"order": 2}}}),
+    "sd_diff_ddof_0": ("sd_diff", {"args": {"sd_diff": {"ddof": 0}}}),
+    "lumpiness_8_tiles": ("lumpiness", {"args": {"lumpiness": {"num_tiles": 8}}}),
+    "t_mean_pcut_10": ("t_mean", {"args": {"t_mean": {"pcut": 0.1}}}),
+    "hist_entropy_5_bins": ("hist_entropy", {"args": {"hist_entropy": {"num_bins": 5}}}),
+    "moving_avg_window_30": ("moving_avg", {"args": {"moving_avg": {"window_size": 0.3}}}),
+    "acf_4_lags": ("acf", {"args": {"acf": {"nlags": 4}}}),
+    "model_mean_mae_3_folds": ("model_mean", {"score": "mae", "num_cv_folds": 3}),
+    "model_naive_last_half": ("model_naive", {"lm_sample_frac": 0.5}),
+    "trev_lag_2": ("trev", {"lag": 2}),
+}
+
+
+def _with_arguments(name: str, options: dict):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = Extractor([name], summary=None, **options).fit(sources.events_by_user(spark, sf_dir)).raw()
+        value = F.when(~F.isnan("value"), F.col("value")).alias("value")
+        return out.select("series_id", value) if name in SCALARS else out.select("series_id", "idx", value)
+
+    return run
+
+
+def _rescaled(how: str):
+    return lambda spark, sf_dir: Extractor(["t_mean"], summary=None).fit(sources.events_by_user(spark, sf_dir), rescale=how).raw().select("series_id", "value")
+
+
+def _by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operators whose names begin with 'local', with arguments of a summary."""
+    x = Extractor(["local_*"], summary=["powersum", "sd"], summary_args={"powersum": {"p": 3}, "sd": {"ddof": 0}})
+    return x.fit(sources.events_by_user(spark, sf_dir)).extract().withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
 def queries() -> dict:
     out = {n: _relational(n) if n in relational.SQL else _kernel(n) for n in FEATURES}
     out |= {f"summary_{n}": _summary(n) for n in Extractor.valid_summary()}
     out |= {"extract": _extract, "extract_with_confidence": _confidence, "parse_by_group": _by_group, "summarize": _summaries_at_once}
+    out |= {n: _with_arguments(*v) for n, v in WITH_ARGUMENTS.items()}
+    out |= {f"rescale_{how.replace('-', '_')}": _rescaled(how) for how in ("standard", "min-max", "robust")}
+    out["extract_by_pattern"] = _by_pattern
+    out |= {f"source_{f.__name__}": f for f in (sources.events_by_user, sources.events_hourly, sources.orders_daily, sources.embeddings)}
     out["metafeature_description"] = lambda spark, sf_dir: Extractor.description(spark)
     return out
 

@@ -160,3 +160,64 @@ def test_streams(spark, series, tmp_path):
     q.stop()
     first = spark.table("win").where("series_id = 0").orderBy("start").first()
     assert first["n"] == 12 and first["mean"] == pytest.approx(SERIES[0][:12].mean())
+
+
+def test_rows_of_a_short_series_and_of_what_fails(spark):
+    one = spark.createDataFrame([(1, 0, 5.0)], "series_id long, t long, v double")
+    got = {r["feature"]: r["value"] for r in Extractor(["diff", "t_mean", "acf"], summary=["mean", "count"]).fit(one).extract().collect()}
+    assert set(got) == {"t_mean", "diff.mean", "diff.count", "acf.mean", "acf.count"}
+    assert got["t_mean"] == 5 and np.isnan(got["diff.mean"]) and np.isnan(got["acf.mean"]) and got["diff.count"] == got["acf.count"] == 0
+
+
+def test_arguments_of_operators(series):
+    x = SERIES[0]
+    s = Series(x)
+    assert np.allclose(compute(s, "diff", {"order": 2}), np.diff(x, 2))
+    assert len(compute(s, "lumpiness", {"num_tiles": 4})) == 4 and len(compute(s, "acf", {"nlags": 7})) == 7
+    w = compute(s, "moving_avg", {"window_size": 0.3})
+    assert len(w) == 70 - 21 + 1 and np.isclose(w[0], s.z[:21].mean())
+    assert np.allclose(compute(s, "moving_avg_shift", {"window_size": 0.3, "diff_lag": 2, "abs_value": False}), w[2:] - w[:-2])
+    d = np.diff(x)
+    assert compute(s, "skewness_diff", {"method": 1}) == pytest.approx(((d - d.mean()) ** 3).mean() / d.std() ** 3)
+    assert compute(s, "sd_diff", {"ddof": 0}) == pytest.approx(np.diff(x).std())
+    assert compute(s, "trev", {"lag": 3}) == pytest.approx(((x[3:] - x[:-3]) ** 3).mean() / ((x[3:] - x[:-3]) ** 2).mean() ** 1.5)
+    assert compute(s, "emb_lag", {"lag": 4}) == 4 and compute(s, "emb_lag", {"lag": "acf"}) >= compute(s, "emb_lag") >= 1 and compute(s, "emb_lag", {"lag": "ami"}) >= 1
+    for name, options in (("itrand_mean", {"strategy": "permute"}), ("itrand_sd", {"strategy": "dist-static"}), ("surprise", {"method": "1-transition", "memory_size": 20}), ("force_potential", {"potential": "dblwell"}), ("ami", {"return_dist": True, "lags": 3})):
+        out = compute(s, name, options)
+        assert len(out) and not np.isnan(out).any(), name
+    assert np.allclose(compute(s, "itrand_mean", {"strategy": "permute"})[:-1], 0, atol=1e-9)  # the values stay the same
+    full = compute(s, "model_mean", {"num_cv_folds": 3, "score": "mae"})
+    assert len(full) == 3 and np.allclose(compute(s, "model_mean", {"lm_sample_frac": 0.5}), compute(Series(x[35:]), "model_mean"))
+    with pytest.raises(ValueError):
+        Extractor(["diff"], args={"diff": {"no": 1}})
+    e = Extractor(["moving_a*", "model_mean", "diff"], summary=["mean", "powersum", "quantiles", "sd", "pnorm"], args={"moving_avg": {"window_size": 0.3}, "diff": {"order": 2}}, summary_args={"powersum": {"p": [1, 3]}, "quantiles": {"p": [0.1]}, "sd": {"ddof": 0}, "pnorm": {"p": float("inf")}}, score="mae", num_cv_folds=3, measure_time=True)
+    got = {(r["series_id"], r["feature"]): r["value"] for r in e.fit(series.where("series_id = 0")).extract().collect()}
+    d = np.diff(x, 2)
+    assert got[0, "moving_avg.mean"] == pytest.approx(w.mean()) and got[0, "model_mean.mean"] == pytest.approx(full.mean())
+    assert got[0, "diff.powersum.1"] == pytest.approx((d**3).sum()) and got[0, "diff.quantiles.0"] == pytest.approx(np.quantile(d, 0.1)) and got[0, "diff.sd"] == pytest.approx(d.std()) and got[0, "diff.pnorm"] == pytest.approx(np.abs(d).max())
+    assert got[0, "diff.seconds"] > 0 and (0, "moving_acf.mean") in got
+
+
+@pytest.mark.parametrize("how, want", [("standard", lambda x: (x - x.mean()) / x.std()), ("min-max", lambda x: (x - x.min()) / np.ptp(x)), ("robust", lambda x: (x - np.median(x)) / np.subtract(*np.quantile(x, [0.75, 0.25])))])
+def test_scales(series, how, want):
+    got = {(r["series_id"], r["idx"]): r["value"] for r in Extractor(["diff"], summary=None).fit(series.where("series_id in (0, 4)"), rescale=how).raw().collect()}
+    assert np.allclose([got[0, i] for i in range(69)], np.diff(want(SERIES[0]))) and got[4, 0] == 0
+
+
+def test_other_sources(spark):
+    from seriesloom.sources import series as sources
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("events_hourly", "orders_daily", "embeddings"):
+        rows = getattr(sources, name)(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).collect()
+        assert rows and all(r["a"] == 0 and r["b"] == r["n"] - 1 for r in rows)
+    assert sources.events_hourly(spark, sf).agg(F.sum("v")).first()[0] == pytest.approx(spark.read.parquet(f"{sf}/events.parquet").agg(F.sum("value")).first()[0])
+
+
+def test_long_series_need_no_pairs_of_all(spark):
+    """Rolling and pairwise plans at 3,000 points against the kernels."""
+    x = RNG.normal(size=3000)
+    table = spark.createDataFrame([(0, t, float(v)) for t, v in enumerate(x)], "series_id long, t long, v double")
+    for name in ("moving_sd", "moving_kurtosis", "moving_acf", "sample_entropy", "corr_dim"):
+        got = [r["value"] for r in relational.run(name, table).orderBy("idx" if name.startswith("moving") else "value").collect()]
+        assert np.allclose(got, np.atleast_1d(compute(Series(x), name)), rtol=1e-6, atol=1e-8), name
