@@ -212,22 +212,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     cols = [F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(docs.columns)]
     rows = docs.select(*cols, common.id_key(i).alias("__d"), common.text_key(i, t).alias("__t")).join(gone.hint("shuffle_hash"), ["__d", "__t"], "left")
     at = docs.columns.index(text_col)
-    lines_of = F.when(F.col(f"__c{at}").isNull(), 0).otherwise(F.size(F.split(f"__c{at}", "\n", -1)))
-    rows = rows.select(*(f"__c{k}" for k in range(len(cols))), "__gone", lines_of.alias("__n_lines"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__gone") + ", __n_dropped int"
+    rows = rows.select(*(f"__c{k}" for k in range(len(cols))), "__gone")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__gone") + ", __n_lines int, __n_dropped int"
 
     def run(batches):
         for batch in batches:
-            text, dropped = [], []
+            text, many, dropped = [], [], []
             gone = batch.column("__gone").to_pylist()
             for data, out in zip(common.binary_values(batch.column(at)), gone):
+                many.append(0 if data is None else data.count(b"\n") + 1)
                 if out:
                     drop = set(out)
                     data = b"\n".join([x for k, x in enumerate(data.split(b"\n")) if k not in drop])
                 text.append(data)
                 dropped.append(len(out or ()))
             arrays = [pa.array(text, pa.binary()).cast(batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "__gone"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(dropped, pa.int32())], [*(n for n in batch.schema.names if n != "__gone"), "__n_dropped"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(many, pa.int32()), pa.array(dropped, pa.int32())], [*(n for n in batch.schema.names if n != "__gone"), "__n_lines", "__n_dropped"])
 
     out = rows.mapInArrow(run, schema)
     return out.select(*(F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)), "__n_lines", "__n_dropped")
