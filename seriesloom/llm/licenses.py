@@ -1,6 +1,6 @@
 """Licence scans by Dice coefficient over word bigrams.
 
-Units are the whole text and each of its lines, in normal form. A template is compared with a unit only
+Units are the whole text, each of its lines and each of its paragraphs of several lines, in normal form. A template is compared with a unit only
 if their numbers of bigrams allow the wanted coefficient, which leaves almost every unit without any
 comparison. Everything is DataFrame expressions; the templates are a fixed list.
 """
@@ -26,6 +26,10 @@ TEMPLATES = {
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "EPL-2.0 (notice)": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0 (notice)": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "BSD (terms)": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
@@ -78,8 +82,8 @@ def anchors(texts: dict[str, str], dice: float) -> str:
 def scan(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, dice, n_units: for each document and licence met, the best coefficient and how many units meet it.
 
-    Units are the whole text and, if it has several, its lines; equal units of a document count each. A unit
-    meets all licences at ``dice`` or more. Null and empty texts, and lines without words, meet none. Repeated
+    Units are the whole text and, if it has several, its lines, and its paragraphs (what blank lines part) of several lines; equal units of a
+    document count each. A unit, however long, meets all licences at ``dice`` or more. Null and empty texts, and lines without words, meet none. Repeated
     rows of one id are one document. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -89,7 +93,9 @@ def scan(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", text_col:
     low, high = bounds[0] * dice / (2 - dice), bounds[1] * (2 - dice) / dice
     text = F.col(text_col)
     split = F.split(text, "\n", -1)
-    units = F.when(F.size(split) > 1, F.concat(split, F.array(text))).otherwise(split)
+    paragraphs = F.split(text, "\n(?:[ \t\r]*\n)+", -1)
+    several = F.when(F.size(paragraphs) > 1, F.filter(paragraphs, lambda u: u.contains("\n"))).otherwise(F.array().cast("array<string>"))
+    units = F.when(F.size(split) > 1, F.concat(split, several, F.array(text))).otherwise(split)
     # Size bounds before any bigram is made: n words, d of them different, have between d - 1 and n - 1 different bigrams.
     fits = lambda ws: (F.size(ws) >= 1) & (F.greatest(F.size(ws) - 1, F.lit(1)) >= low) & (F.size(F.array_distinct(ws)) - 1 <= high)
     pattern = anchors(texts or TEMPLATES, dice)
@@ -114,7 +120,7 @@ def _sql() -> str:
     values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in TEMPLATES.items())
     return f"""
 with t as (select license, {pairs} as g from (select license, {fold.format('body')} as w from (values {values}) as v(license, body))),
-u as (select doc_id, unnest(case when contains(text, chr(10)) then list_append(string_split(text, chr(10)), text) else [text] end) as u from documents where text is not null),
+u as (select doc_id, unnest(case when contains(text, chr(10)) then list_concat(list_append(string_split(text, chr(10)), text), case when regexp_matches(text, '\\n[ \\t\\r]*\\n') then list_filter(regexp_split_to_array(text, '\\n(?:[ \\t\\r]*\\n)+'), lambda p: contains(p, chr(10))) else [] end) else [text] end) as u from documents where text is not null),
 ug as (select doc_id, {pairs} as g from (select doc_id, {fold.format('u')} as w from u) where len(w) > 0),
 m as (select doc_id, license, 2.0 * len(list_intersect(ug.g, t.g)) / (len(ug.g) + len(t.g)) as dice from ug join t on 2 * least(len(ug.g), len(t.g)) >= {DICE} * (len(ug.g) + len(t.g)))
 select doc_id, license, cast(max(dice) as double) as dice, count(*) as n_units from m where dice >= {DICE} group by all

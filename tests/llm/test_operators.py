@@ -110,6 +110,10 @@ def test_licences(spark, docs, empty):
     t = spark.createDataFrame([(1, "x\nReleased under  the MIT license\ny"), (2, licenses.TEMPLATES["MIT"]), (3, "Released"), (4, None), (5, ""), (6, licenses.TEMPLATES["MIT"] + " " + LONG), (7, "prose only\nof lines")], "doc_id long, text string")
     got = {(r["doc_id"], r["license"]): (round(r["dice"], 6), r["n_units"]) for r in licenses.scan(t.withColumn("license", F.lit(1)).withColumn("dice", F.lit(2))).collect()}
     assert got == {(1, "MIT (notice)"): (1.0, 1), (2, "MIT"): (1.0, 1)}
+    ws = licenses.TEMPLATES["MIT"].split()
+    wrapped = "\n".join(" # " + " ".join(ws[i : i + 9]) for i in range(0, len(ws), 9))
+    t = spark.createDataFrame([(1, LONG + "\n \n\n" + wrapped + "\n\nother words\nto the end")], "doc_id long, text string")
+    assert [(r["license"], round(r["dice"], 6)) for r in licenses.scan(t).collect()] == [("MIT", 1.0)]
     assert rows(licenses.scan(docs)) == [] and rows(licenses.scan(empty)) == []
 
 
