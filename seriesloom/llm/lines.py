@@ -31,10 +31,9 @@ BANDS = 10
 #: Words of so many bytes are passed over in keys, but where a line has fewer than FEW others.
 SHORT = 3
 FEW = 6
-#: Lines of up to FEW_WORDS words are also compared by characters: there a word is too coarse a unit for a mistyped letter.
-#: Bits of 256 that SimHashes of similar lines may differ in: 52 on average at a similarity of 0.8, with a deviation of 6.5. Lines similar
-#: by characters have more words touched, so more. Unlike lines differ in 128.
-MARK_BITS, FEW_WORDS, FEW_WORDS_BITS = 72, 10, 100
+#: Bits of 256 that SimHashes of similar lines may differ in: 52 on average where one word in five is replaced, with a deviation of 6.5. Lines similar
+#: by characters have more words touched, so more. Unlike lines differ in 128, with a deviation of 8.
+MARK_BITS = 100
 _SEEN = 200_000  # hashes of lines that a task remembers, so that it gives the keys of a repeated line once
 
 
@@ -129,7 +128,7 @@ _LINE = "h long, code string, line string, n int, c int, w0 long, w1 long, w2 lo
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Of ``wanted`` (did, th, line_no, h): h, code, (of few words) the normalized line, numbers of words and characters, 256 bits of SimHash."""
+    """Of ``wanted`` (did, th, line_no, h): h, code, the normalized line, numbers of words and characters, 256 bits of SimHash."""
     by = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("line_no", "h")).alias("want"))  # lines of one document
     found = docs.join(by.hint("shuffle_hash"), ["did", "th"])  # the lesser side, in parts
     one = F.explode(F.transform("want", lambda w: F.struct(w["h"].alias("h"), F.get(F.split("text", "\n", -1), w["line_no"]).alias("line"))))
@@ -146,7 +145,7 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     plain = b" ".join(parts).decode()
                     code.append(coded(parts))
                     chars.append(len(plain))
-                    line.append(plain if len(parts) <= FEW_WORDS else None)
+                    line.append(plain)
                 marks = sim_hashes(words, first, 4).view(np.int64)
                 cols = [pa.array(code, pa.string()), pa.array(line, pa.string()), pa.array(np.diff(np.r_[first, len(words)]).astype(np.int32)), pa.array(chars, pa.int32()), *(pa.array(marks[:, i]) for i in range(4))]
                 yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, b - a), *cols], ["h", "code", "line", "n", "c", "w0", "w1", "w2", "w3"])
@@ -167,11 +166,10 @@ def similar_lines(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarit
         return text.select(F.col("h").alias("u"), F.struct("n", "c", "w0", "w1", "w2", "w3", "code", "line").alias("mark"))
 
     def alike(a, b):
-        """Sizes and sketches rule out most pairs before their words, then (of few words) their characters are compared."""
+        """Sizes and sketches rule out most pairs before their words, and where these are not similar their characters, are compared."""
         apart = reduce(Column.__add__, (F.bit_count(a[x].bitwiseXOR(b[x])) for x in ("w0", "w1", "w2", "w3")))
-        few = F.when(F.greatest(a["n"], b["n"]) <= FEW_WORDS, FEW_WORDS_BITS).otherwise(MARK_BITS)
         by = [(F.abs(a[x] - b[x]) <= limit(a[x], b[x])) & (F.call_function("levenshtein", a[y], b[y], limit(a[x], b[x])) >= 0) for x, y in (("n", "code"), ("c", "line"))]
-        return (apart <= few) & (by[0] | (a["line"].isNotNull() & b["line"].isNotNull() & by[1]))
+        return (apart <= MARK_BITS) & (by[0] | by[1])
 
     out = linked(lines.select(F.explode("keys").alias("k"), F.col("h").alias("u")), prepare, alike)
     common.drop(*fetched)
@@ -195,11 +193,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     """All columns of ``docs`` with repeated lines cut from the text, and __n_lines, __n_dropped.
 
     Lines are equal if their words are (ASCII case and white space aside). They are linked if they share one of
-    ``BANDS`` keys and their edit similarity (1 - edits / the longer one's length) is ``similarity`` or more, in words or, for lines
-    of up to ``FEW_WORDS`` words, in characters. The first line of each connected group stays, by id, then hash of the text, then
+    ``BANDS`` keys and their edit similarity (1 - edits / the longer one's length) is ``similarity`` or more, in words or in
+    characters, whatever their length. The first line of each connected group stays, by id, then hash of the text, then
     line number. Lines without words always stay. A null text stays null, null ids come first. Rows that repeat both id and text count as one
-    occurrence and keep the same lines. Documents without lines left have an empty text; no document goes. Very long lines are compared in
-    words, whole. An empty table gives an empty result; other columns, whatever their names, pass through.
+    occurrence and keep the same lines. Documents without lines left have an empty text; no document goes. Very long lines are compared
+    whole. An empty table gives an empty result; other columns, whatever their names, pass through.
     """
     keyed = keyed_docs(docs, id_col, text_col)
     lines = common.materialize(line_table(keyed), "lines")

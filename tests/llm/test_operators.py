@@ -384,10 +384,10 @@ def test_lines(spark, docs, empty):
 
 
 def alike(a, b):
-    """Edit similarity of two lines (tuples of words): the better of words and, for lines of few words, characters."""
+    """Edit similarity of two lines (tuples of words): the better of words and characters."""
     x, y = b" ".join(a).decode(), b" ".join(b).decode()
     by_words = 1 - edit_distance(a, b) / max(len(a), len(b))
-    return by_words if max(len(a), len(b)) > lines.FEW_WORDS else max(by_words, 1 - edit_distance(x, y) / max(len(x), len(y)))
+    return max(by_words, 1 - edit_distance(x, y) / max(len(x), len(y)))
 
 
 def test_lines_against_brute_force(spark):
