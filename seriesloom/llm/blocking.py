@@ -26,15 +26,16 @@ def _open(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     return out
 
 
-def linked(keyed: DataFrame, prepare: Callable, alike: Callable[[Column, Column], Column]) -> DataFrame:
+def linked(keyed: DataFrame, prepare: Callable, alike: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs.select("u", "v")) -> DataFrame:
     """Links (u, v) that connect all pairs of records that share a key and that the check accepts.
 
     ``keyed``: k, u; repeated rows count once. ``prepare`` gets the records (u) that share a key with another
-    and returns a table u, mark; ``alike`` tells from two marks whether a pair is a link.
+    and returns a table u, mark; ``alike`` tells from two marks whether a pair is a link, or may be one: ``verified`` gets such pairs (u, v, mu, mv: the marks)
+    and returns the links among them.
 
     First each record is checked against a hub of each of its keys, and against another while the key isn't connected: that
     leaves little of a key of copies. Then every pair of a key that this has not connected is checked, whatever the size of the key: no
-    candidate is given up. That is done within the join, so only links are ever written or sent.
+    candidate is given up. That is done within the join, so only links are ever written or sent, and at the least of the keys that a pair shares, so once.
     """
     shared = keyed.groupBy("k").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a <> b").select("k")
     members = common.materialize(keyed.join(shared.hint("shuffle_hash"), "k", "left_semi").dropDuplicates(["k", "u"]), "keys")
@@ -45,17 +46,21 @@ def linked(keyed: DataFrame, prepare: Callable, alike: Callable[[Column, Column]
         hub = F.min(F.struct(F.col("u").bitwiseXOR(F.lit(order)).alias("x"), "c")).alias("h")
         hubs = rest.groupBy("k").agg(hub).select("k", F.col("h.x").bitwiseXOR(F.lit(order)).alias("v"), F.col("h.c").alias("cv"))
         star = common.materialize(rest.join(hubs, "k").where("c <> cv").select("u", "v").distinct(), "pairs")
-        found.append(common.materialize(star.join(ends[0], "u").join(ends[1], "v").where(alike(F.col("mu"), F.col("mv"))).select("u", "v"), "links"))
+        met = star.join(ends[0], "u").join(ends[1], "v").where(alike(F.col("mu"), F.col("mv")))
+        found.append(common.materialize(verified(met.select("u", "v", "mu", "mv")), "links"))
         still = _open(rest.select("k", "u"), found)  # a key that is connected stays so
         common.drop(members, star)
         members = rest = still
     sizes = rest.groupBy("k", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("k").agg(F.max(F.struct("n", "c")).alias("x")).select("k", F.col("x.c").alias("main"))
-    sides = common.materialize(rest.join(main, "k").join(marks, "u"), "open-keys")
-    one, other = (sides.select("k", F.col("u").alias(u), F.col("c").alias("c" + u), F.col("mark").alias("m" + u), "main") for u in ("u", "v"))
-    # All of a key but its greatest component, against all of it: pairs of which both ends are outside come up twice.
-    pairs = one.where("cu <> main").join(other.drop("main"), "k").where((F.col("cu") != F.col("cv")) & alike(F.col("mu"), F.col("mv")))
-    found.append(common.materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links"))
+    own = rest.groupBy("u").agg(F.collect_list("k").alias("all"))
+    sides = common.materialize(rest.join(main, "k").join(own, "u").join(marks, "u"), "open-keys")
+    one, other = (sides.select("k", *(F.col(c).alias(c + u) for c in ("c", "all")), F.col("u").alias(u), F.col("mark").alias("m" + u), "main") for u in ("u", "v"))
+    # All of a key but its greatest component, against all of it. Whatever key two records of different components share is open for both.
+    once = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
+    first = F.array_min(F.array_intersect("allu", "allv")) == F.col("k")
+    pairs = one.where("cu <> main").join(other.drop("main"), "k").where(once & alike(F.col("mu"), F.col("mv")) & first)
+    found.append(common.materialize(verified(pairs.select("u", "v", "mu", "mv")), "links"))
     out = common.materialize(reduce(DataFrame.unionByName, found), "links")
     common.drop(rest, sides, *found)
     return out

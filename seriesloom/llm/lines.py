@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 from .blocking import linked
 from .components import components
+from .edits import near
 from .words import ODD, SEED, mixed, sim_hashes, slices, words_of
 
 SIMILARITY = 0.8
@@ -34,6 +35,7 @@ FEW = 6
 #: Bits of 256 that SimHashes of similar lines may differ in: 52 on average where one word in five is replaced, with a deviation of 6.5. Lines similar
 #: by characters have more words touched, so more. Unlike lines differ in 128, with a deviation of 8.
 MARK_BITS = 100
+_HELD = 1 << 23  # bytes of pairs that are compared by characters at once
 _SEEN = 200_000  # hashes of lines that a task remembers, so that it gives the keys of a repeated line once
 
 
@@ -153,6 +155,27 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return each.mapInArrow(run, _LINE)
 
 
+def _similar_characters(batches):
+    """u and v of the pairs that are similar by words, or else of whose lines (``a``, ``b``, null if known to differ by more) ``most`` edits make one of the other."""
+    held, size = [], 0
+
+    def links(table: pa.Table):
+        yes = table.column("by_words").to_numpy(zero_copy_only=False).astype(bool)
+        on = np.flatnonzero(table.column("a").is_valid().to_numpy(zero_copy_only=False))
+        rest = table.take(pa.array(on))
+        yes[on] = near(rest.column("a").to_pylist(), rest.column("b").to_pylist(), rest.column("most").to_numpy())
+        return table.select(["u", "v"]).filter(pa.array(yes)).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= _HELD:
+            yield from links(pa.Table.from_batches(held))
+            held, size = [], 0
+    if held:
+        yield from links(pa.Table.from_batches(held))
+
+
 def similar_lines(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between similar lines that connect all similar pairs with a common key, however many lines share it."""
     fetched = []
@@ -165,13 +188,21 @@ def similar_lines(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarit
         fetched.append(text)
         return text.select(F.col("h").alias("u"), F.struct("n", "c", "w0", "w1", "w2", "w3", "code", "line").alias("mark"))
 
+    sized = lambda a, b, x: F.abs(a[x] - b[x]) <= limit(a[x], b[x])
+
     def alike(a, b):
         """Sizes and sketches rule out most pairs before their words, and where these are not similar their characters, are compared."""
         apart = reduce(Column.__add__, (F.bit_count(a[x].bitwiseXOR(b[x])) for x in ("w0", "w1", "w2", "w3")))
-        by = [(F.abs(a[x] - b[x]) <= limit(a[x], b[x])) & (F.call_function("levenshtein", a[y], b[y], limit(a[x], b[x])) >= 0) for x, y in (("n", "code"), ("c", "line"))]
-        return (apart <= MARK_BITS) & (by[0] | by[1])
+        return (apart <= MARK_BITS) & (sized(a, b, "n") | sized(a, b, "c"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = F.col("mu"), F.col("mv")
+        words = sized(a, b, "n") & (F.call_function("levenshtein", a["code"], b["code"], limit(a["n"], b["n"])) >= 0)
+        rows = pairs.select("u", "v", words.alias("by_words"), sized(a, b, "c").alias("sized"), limit(a["c"], b["c"]).alias("most"), a["line"].alias("a"), b["line"].alias("b"))
+        texts = (F.when(F.col("sized") & ~F.col("by_words"), F.col(x)).alias(x) for x in ("a", "b"))
+        return rows.select("u", "v", "by_words", "most", *texts).mapInArrow(_similar_characters, "u long, v long")
 
-    out = linked(lines.select(F.explode("keys").alias("k"), F.col("h").alias("u")), prepare, alike)
+    out = linked(lines.select(F.explode("keys").alias("k"), F.col("h").alias("u")), prepare, alike, verified)
     common.drop(*fetched)
     return out
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seriesloom.llm import common, components, decontamination, entry, licenses, lines, packing, quality, sharding, simhash, toxicity, vptree, warc, words
+from seriesloom.llm import blocking, common, components, decontamination, edits, entry, licenses, lines, packing, quality, sharding, simhash, toxicity, vptree, warc, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, size long, fp long, h long, vec_id long"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -494,6 +494,44 @@ def test_lines_of_one_key_are_all_compared(spark, groups):
     assert got == {k: 3 * g + 1 for k, g in of.items()}
 
 
+def test_edits_up_to_a_limit():
+    """Against the plain recurrence, with bands of one and of several numbers of 64 bits."""
+    rng = np.random.default_rng(6)
+    a, b, limits = [], [], []
+    for n, kinds in [(3, 2), (40, 4), (90, 30), (160, 400), (420, 12)]:
+        for _ in range(30):
+            x = "".join(chr(c) for c in rng.integers(0x61, 0x61 + kinds, int(rng.integers(n - n // 6, n + 1))))
+            y = list(x)
+            for at in rng.integers(0, len(x), int(rng.integers(0, 1 + n // 3))).tolist():
+                y[min(at, len(y) - 1) : at + int(rng.integers(0, 2))] = ["x\U0001f600"[int(rng.integers(0, 2))]]
+            y = "".join(y)
+            y = y[n // 5 :] + y[: n // 5] if rng.random() < 0.2 else y
+            d = edit_distance(x, y)
+            a, b, limits = [*a, x, x], [*b, y, y], [*limits, d, max(d - 1, 0)]
+    a, b, limits = [*a, "", "", "ab"], [*b, "", "ab", ""], np.array([*limits, 0, 1, 2])
+    want = [edit_distance(x, y) <= k for x, y, k in zip(a, b, limits)]
+    assert edits.near(a, b, limits).tolist() == want == [edits.within(x, y, int(k)) for x, y, k in zip(a, b, limits)]
+    assert edits.near([], [], np.zeros(0, np.int64)).tolist() == []
+
+
+def test_pairs_of_several_keys_are_compared_once(spark):
+    """All of 30 records share three keys; none is like a hub, some are like each other."""
+    keyed = spark.createDataFrame([(k, u) for k in (5, 6, 7) for u in range(30)], "k long, u long")
+    asked = []
+
+    def verified(pairs):
+        asked.append(rows(pairs.selectExpr("least(u, v)", "greatest(u, v)")))
+        return pairs.where("mu % 7 = mv % 7 and u > 2 and v > 2").select("u", "v")
+
+    hubs = {min(range(30), key=lambda u: u ^ order) for order in blocking.ORDERS}
+    got = blocking.linked(keyed, lambda nodes: common.materialize(nodes.select("u", F.col("u").alias("mark")), "test-marks"), lambda a, b: a != b, verified)
+    last = asked[-1]
+    known = {h % 7 for h in hubs if h > 2}  # linked to a hub already
+    want = {(u, v) for u in range(3, 30) for v in range(u + 1, 30) if u % 7 == v % 7 and u % 7 not in known}
+    assert len(last) == len(set(last)) and set(last) >= want
+    assert {tuple(sorted(x)) for x in rows(got)} >= want
+
+
 # ---- 7
 
 
