@@ -18,20 +18,30 @@ def _points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """The strings without what both begin and end with, which needs no edit."""
+    if not a or not b or (a[0] != b[0] and a[-1] != b[-1]):
+        return a, b
+    x, y = _points(a), _points(b)
+    size = min(len(x), len(y))
+    other = x[:size] != y[:size]
+    first = int(other.argmax())
+    if not other[first]:
+        return a[size:], b[size:]
+    size -= first
+    other = x[len(x) - size :] != y[len(y) - size :]
+    last = int(other[::-1].argmax())
+    last = last if other[size - 1 - last] else size
+    return a[first : len(x) - last], b[first : len(y) - last]
+
+
 def within(a: str, b: str, limit: int) -> bool:
     """Whether so many edits turn ``a`` into ``b``: Myers' bit vectors in one whole number, ended once too many are certain."""
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > limit:
         return False
-    if len(b) and (a[0] == b[0] or a[-1] == b[-1]):  # what both begin and end with needs no edit
-        x, y = _points(a), _points(b)
-        other = np.flatnonzero(x[: len(y)] != y)
-        first = int(other[0]) if len(other) else len(b)
-        a, b, x, y = a[first:], b[first:], x[first:], y[first:]
-        other = np.flatnonzero(x[len(x) - len(y) :] != y)
-        last = len(y) - 1 - int(other[-1]) if len(other) else len(y)
-        a, b = a[: len(a) - last], b[: len(b) - last]
+    a, b = _trimmed(a, b)
     if not b:
         return len(a) <= limit
     at: dict[str, int] = {}
@@ -65,10 +75,15 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], limits: np.ndarray) -> tup
     below = int(((limits - off) // 2).max()) + 1
     words = -(-(below + int(((limits + off) // 2).max()) + 2) // 64)
     points = np.concatenate([*a, *b])
-    code = np.zeros(int(points.max()) + 1, np.uint32)
-    code[points] = 1
-    code = np.cumsum(code, dtype=np.uint32) * code  # kinds of characters, from 1
-    codes = code.astype(np.uint8 if code.max() < 255 else np.uint16 if code.max() < 65535 else np.uint32)[points]
+    if points.max() > 4 * len(points):  # few of very many kinds
+        kinds, codes = np.unique(points, return_inverse=True)
+        codes, kinds = codes + 1, len(kinds)
+    else:
+        code = np.zeros(int(points.max()) + 1, np.uint32)
+        code[points] = 1
+        code = np.cumsum(code, dtype=np.uint32) * code  # kinds of characters, from 1
+        codes, kinds = code[points], int(code.max())
+    codes = codes.astype(np.uint8 if kinds < 255 else np.uint16 if kinds < 65535 else np.uint32)
     n, columns = len(a), int(short.max())
     x = np.zeros((n, columns + 64 * words), codes.dtype)  # 0 is like nothing
     y = np.full((columns, n), ~codes.dtype.type(0))
@@ -132,19 +147,20 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], limits: np.ndarray) -> tup
 def near(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
     """Whether ``limits`` edits turn each of ``a`` into that of ``b``."""
     out = np.zeros(len(a), bool)
-    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
-    long, short = sizes.max(axis=1), sizes.min(axis=1)
-    out[(short == 0) & (long <= limits)] = True
-    on = np.flatnonzero((long - short <= limits) & (short > 0))
+    pairs = [_trimmed(x, y) for x, y in zip(a, b)]
+    pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in pairs]
+    long, short = np.array([(len(x), len(y)) for x, y in pairs], np.int64).reshape(-1, 2).T
+    out[long <= limits] = True
+    on = np.flatnonzero((long - short <= limits) & (short > 0) & ~out)
     on = on[np.argsort(long[on], kind="stable")]
     at = 0
     while at < len(on):
         size = int(long[on[at]])
-        end = min(int(np.searchsorted(long[on], size + size // 5, "right")), at + max(CELLS // (2 * size + 128), 1))
+        end = min(int(np.searchsorted(long[on], size + max(size // 5, 16), "right")), at + max(CELLS // (2 * size + 128), 1))
         part, at = on[at:end], end
         if len(part) >= FEW:
-            pairs = [(a[i], b[i]) if len(a[i]) >= len(b[i]) else (b[i], a[i]) for i in part]
-            out[part], still = _banded([_points(x) for x, _ in pairs], [_points(y) for _, y in pairs], limits[part])
+            points = [[_points(pairs[i][side]) for i in part] for side in (0, 1)]
+            out[part], still = _banded(*points, limits[part])
             part = part[still]
-        out[part] = [within(a[i], b[i], int(limits[i])) for i in part]
+        out[part] = [within(*pairs[i], int(limits[i])) for i in part]
     return out

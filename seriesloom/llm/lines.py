@@ -12,7 +12,7 @@ bits, as blocks of 16 bits allow, hardly any similar line is found. Least hashes
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,9 @@ FEW = 6
 #: Bits of 256 that SimHashes of similar lines may differ in: 52 on average where one word in five is replaced, with a deviation of 6.5. Lines similar
 #: by characters have more words touched, so more. Unlike lines differ in 128, with a deviation of 8.
 MARK_BITS = 100
-_HELD = 1 << 23  # bytes of pairs that are compared by characters at once
+_HELD = 1 << 23  # bytes of pairs that are compared by characters at once; of lines in blocks four times as many
+_ROWS = 32768  # lines in blocks that are compared at once
+_PAIRS = 1 << 19  # pairs whose sketches are compared at once
 _SEEN = 200_000  # hashes of lines that a task remembers, so that it gives the keys of a repeated line once
 
 
@@ -176,6 +178,98 @@ def _similar_characters(batches):
         yield from links(pa.Table.from_batches(held))
 
 
+def _connecting(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """u and v of links between similar lines, of whole pairs of blocks (see ``blocking.dealt``): as many as connect all that are found."""
+    k, i, j, b, u, c, n, size = (rows.column(x).to_numpy() for x in ("k", "i", "j", "b", "u", "c", "words", "chars"))
+    w = np.stack([rows.column(x).to_numpy().view(np.uint64) for x in ("w0", "w1", "w2", "w3")], axis=1)
+    line, code, ids = rows.column("line").to_pylist(), {}, {}
+    lower = [frozenset(x) for x in rows.column("lower").to_pylist()]
+    # Of a block with itself, a row meets those after it; of two blocks, one of the first meets all of the second.
+    at = np.arange(len(u))
+    new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    group = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(u)]))
+    end = np.r_[new[1:], len(u)]
+    begin = np.where(i == j, at + 1, (new + np.bincount(group, b == i, len(new)).astype(np.int64))[group])
+    count = np.where((i == j) | (b == i), end[group] - begin, 0)
+    total = np.r_[0, np.cumsum(count)]
+    kinds, root = np.unique(c, return_inverse=True)
+    root, up = root.astype(np.int64), list(range(len(kinds)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    limit = lambda x, a, b: np.floor(np.maximum(x[a], x[b]) * (1 - similarity) + 1e-9).astype(np.int64)
+    out, start = [], 0
+    while start < len(u):
+        stop = max(int(np.searchsorted(total, total[start] + _PAIRS, "right")) - 1, start + 1)
+        many = count[start:stop]
+        a = np.repeat(at[start:stop], many)
+        z = np.arange(len(a)) + np.repeat(begin[start:stop] - (total[start:stop] - total[start]), many)
+        start = stop
+        on = np.flatnonzero(root[a] != root[z])
+        a, z = a[on], z[on]
+        apart = sum(np.bitwise_count(w[a, x] ^ w[z, x]).astype(np.int64) for x in range(4))
+        by_words, by_chars = (np.abs(x[a] - x[z]) <= limit(x, a, z) for x in (n, size))
+        on = np.flatnonzero((apart <= MARK_BITS) & (by_words | by_chars))
+        on = on[np.argsort(apart[on], kind="stable")]  # the likeliest first: what they connect needs no other pair
+        a, z, by_words, by_chars = a[on], z[on], by_words[on], by_chars[on]
+        first = np.array([lower[r].isdisjoint(lower[s]) for r, s in zip(a.tolist(), z.tolist())], bool)
+        a, z, by_words, by_chars = a[first], z[first], by_words[first], by_chars[first]
+        step = 1 << 13
+        while len(a):
+            p, q, words = a[:step], z[:step], by_words[:step]
+            yes = np.zeros(len(p), bool)
+            for r in np.unique([p[words], q[words]]).tolist():
+                if r not in code:  # as ``coded``, a character for each word
+                    code[r] = "".join([chr(0x10000 + ids.setdefault(x, len(ids)) % 0x100000) for x in line[r].split(" ")])
+            for texts, x, asked in ((code, n, words), (line, size, by_chars[:step])):
+                on = np.flatnonzero(asked & ~yes)
+                yes[on] = near([texts[r] for r in p[on]], [texts[r] for r in q[on]], limit(x, p[on], q[on]))
+            for r, s in zip(p[yes].tolist(), q[yes].tolist()):
+                x, y = find(int(root[r])), find(int(root[s]))
+                if x != y:
+                    up[x] = y
+                    out.append((u[r], u[s]))
+            a, z, by_words, by_chars = a[step:], z[step:], by_words[step:], by_chars[step:]
+            if yes.any():
+                root = np.array([find(x) for x in range(len(up))], np.int64)[root]
+                up = list(range(len(up)))
+                on = root[a] != root[z]
+                a, z, by_words, by_chars = a[on], z[on], by_words[on], by_chars[on]
+            step = min(2 * step, 1 << 16)
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def compared(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) that connect similar lines within each pair of blocks (``rows``: see ``blocking.dealt``, and mark). A task compares some whole pairs of blocks at a time."""
+
+    def links(held: list[pa.RecordBatch]):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _connecting(pa.Table.from_batches(held), similarity)], ["u", "v"])
+
+    def run(batches):
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= _ROWS or size >= 4 * _HELD:
+                table = pa.Table.from_batches(held)
+                k, i, j = (table.column(x).to_numpy() for x in "kij")
+                whole = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+                if len(whole):
+                    cut = int(whole[-1]) + 1
+                    yield links(table.slice(0, cut).to_batches())
+                    held = table.slice(cut).to_batches()
+                    rows, size = len(table) - cut, sum(x.nbytes for x in held)
+        if held:
+            yield links(held)
+
+    mark = (F.col("mark")[x].alias({"n": "words", "c": "chars"}.get(x, x)) for x in ("n", "c", "w0", "w1", "w2", "w3", "line"))
+    rows = rows.select("k", "i", "j", "b", "u", "c", "lower", *mark).repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "b")
+    return rows.mapInArrow(run, "u long, v long")
+
+
 def similar_lines(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between similar lines that connect all similar pairs with a common key, however many lines share it."""
     fetched = []
@@ -202,7 +296,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, kinds: DataFrame, similarit
         texts = (F.when(F.col("sized") & ~F.col("by_words"), F.col(x)).alias(x) for x in ("a", "b"))
         return rows.select("u", "v", "by_words", "most", *texts).mapInArrow(_similar_characters, "u long, v long")
 
-    out = linked(lines.select(F.explode("keys").alias("k"), F.col("h").alias("u")), prepare, alike, verified)
+    out = linked(lines.select(F.explode("keys").alias("k"), F.col("h").alias("u")), prepare, alike, verified, partial(compared, similarity=similarity))
     common.drop(*fetched)
     return out
 

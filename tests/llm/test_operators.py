@@ -494,6 +494,50 @@ def test_lines_of_one_key_are_all_compared(spark, groups):
     assert got == {k: 3 * g + 1 for k, g in of.items()}
 
 
+@pytest.mark.parametrize("block", [16, 512])
+def test_unlike_lines_of_one_key_make_no_rows_of_pairs(spark, monkeypatch, block):
+    """90 lines share half of their words and a key, 30 of these have one near copy; links are right, and pairs are not sent to be compared."""
+    rng = np.random.default_rng(11)
+    made = lambda n: ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(n)]
+    passage = made(24)
+    texts = [" ".join([*made(22), *passage]) for _ in range(90)]
+    texts += [t[:40] + "#" + t[41:] for t in texts[:30]]
+    h = [int(x) + 1 for x in rng.permutation(len(texts))]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "did long, th long, text string")
+    table = spark.createDataFrame([(i, i, 0, h[i], [7, 8]) for i in range(len(texts))], "did long, th long, line_no int, h long, keys array<long>")
+    sent, plain = [], lines.linked
+
+    def counted(keyed, prepare, alike, verified, *rest):
+        def counting(pairs):
+            sent.append(pairs.count())
+            return verified(pairs)
+
+        return plain(keyed, prepare, alike, counting, *rest)
+
+    monkeypatch.setattr(lines, "linked", counted)
+    monkeypatch.setattr(blocking, "BLOCK", block, raising=False)
+    got = dict(rows(lines.groups(docs, table).selectExpr("h", "first.did")))
+    assert got == {h[i]: i % 90 for i in [*range(30), *range(90, 120)]}
+    assert sum(sent) <= 3 * len(texts), sent
+
+
+def test_each_pair_of_a_key_meets_once(spark, monkeypatch):
+    """Records of one key in blocks of 8: all pairs but those within the greatest component."""
+    monkeypatch.setattr(blocking, "BLOCK", 8)
+    rest = [(k, u, -1 if u < great else u) for k, n, great in [(1, 60, 25), (2, 7, 3), (3, 40, 0), (4, 2, 2)] for u in range(n)]
+    met = Counter()
+    at = {}
+    for k, i, j, b, u, c, lower in rows(blocking.dealt(spark.createDataFrame(rest, "k long, u long, c long"))):
+        assert b in (i, j) and set(lower) == {x for x, v, _ in rest if v == u and x < k}
+        at.setdefault((k, i, j), []).append((b, u, c))
+    for (k, i, j), members in at.items():
+        assert len(members) <= 40  # two blocks, dealt by hash
+        for n, (b, u, c) in enumerate(members):
+            met.update((k, *sorted((u, v))) for d, v, e in members[:n] if c != e and (i == j or b != d))
+    want = {(k, u, v) for k, u, c in rest for x, v, d in rest if k == x and u < v and c != d}
+    assert set(met) == want and set(met.values()) <= {1}
+
+
 def test_edits_up_to_a_limit():
     """Against the plain recurrence, with bands of one and of several numbers of 64 bits."""
     rng = np.random.default_rng(6)
