@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -82,6 +82,15 @@ def dealt(rest: DataFrame) -> DataFrame:
     return rows.join(own, "u").select("k", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "u", "c", lower)
 
 
+def _different(members: DataFrame) -> DataFrame:
+    """k and n, its number of records, of one key (the least) of all that have the same records (``members``: k, u, each once), told by 128 bits.
+
+    Records that share a key share the one that stays for it, so no pair is lost; similar records have most of their keys in common.
+    """
+    sets = members.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u")).alias("x"), F.bit_xor(F.xxhash64("u", F.lit(1))).alias("y"))
+    return sets.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k", "n")
+
+
 def linked(keyed: DataFrame, prepare: Callable, alike: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs.select("u", "v"), compared: Callable | None = None) -> DataFrame:
     """Links (u, v) that connect all pairs of records that share a key and that the check accepts.
 
@@ -94,22 +103,24 @@ def linked(keyed: DataFrame, prepare: Callable, alike: Callable[[Column, Column]
     candidate is given up. That is done within the join, so only links are ever written or sent, and at the least of the keys that a pair shares, so once.
 
     With ``compared`` pairs are never rows: the records are dealt to pairs of blocks (see ``dealt``), and ``compared`` gets them, each beside its mark, and returns
-    links that connect what is alike within each pair of blocks. Only keys of more than ``BLOCK`` records have hubs then.
+    links that connect what is alike within each pair of blocks. Only keys of more than ``BLOCK`` records have hubs then, and of keys with the same records one is worked on.
     """
-    shared = keyed.groupBy("k").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a <> b").select("k")
-    members = common.materialize(keyed.join(shared.hint("shuffle_hash"), "k", "left_semi").dropDuplicates(["k", "u"]), "keys")
+    of_key = Window.partitionBy("k")  # rows are sent once
+    shared = keyed.select("k", "u", F.min("u").over(of_key).alias("a"), F.max("u").over(of_key).alias("b")).where("a <> b")
+    members = common.materialize(shared.select("k", "u").dropDuplicates(["k", "u"]), "keys")
     marks = prepare(members.select("u").distinct())
     if compared is None:
         found, rest = _through_hubs(members, marks, alike, verified)
         found.append(_every_pair(rest, marks, alike, verified))
         used = [rest]
     else:
-        hot = members.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("k")
-        hot = common.materialize(hot, "hot-keys")
-        found, used, rest = [], [hot], members.withColumn("c", F.col("u"))
-        if not hot.isEmpty():
-            found, still = _through_hubs(members.join(hot, "k", "left_semi"), marks, alike, verified)
-            rest = rest.join(hot, "k", "left_anti").unionByName(still.select("k", "u", "c"))
+        kinds = common.materialize(_different(members), "different-keys")
+        own = members.join(kinds, "k")
+        found, used, rest = [], [kinds], own.select("k", "u", F.col("u").alias("c"))
+        hot = F.col("n") > BLOCK
+        if not kinds.where(hot).isEmpty():
+            found, still = _through_hubs(own.where(hot).select("k", "u"), marks, alike, verified)
+            rest = own.where(~hot).select("k", "u", F.col("u").alias("c")).unionByName(still.select("k", "u", "c"))
             used.append(still)
         found.append(common.materialize(compared(dealt(rest).join(marks.hint("shuffle_hash"), "u")), "links"))
     out = common.materialize(reduce(DataFrame.unionByName, found), "links")

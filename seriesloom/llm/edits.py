@@ -10,41 +10,45 @@ import numpy as np
 
 #: Pairs of like size are compared together if there are as many, else one by one.
 FEW = 12
+#: Pairs count as of like size up to ``SMALL`` characters, or if the longest has one part in so many more than the shortest.
+SMALL, WIDER = 320, 1
+#: Kinds of characters that are counted apart.
+KINDS = 256
 #: Cells of tables that are worked on at once.
 CELLS = 1 << 22
 
 
-def _points(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _points(s: str | np.ndarray) -> np.ndarray:
+    return s if isinstance(s, np.ndarray) else np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _trimmed(a: str, b: str) -> tuple[str, str]:
+def _trimmed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The strings without what both begin and end with, which needs no edit."""
-    if not a or not b or (a[0] != b[0] and a[-1] != b[-1]):
-        return a, b
-    x, y = _points(a), _points(b)
     size = min(len(x), len(y))
+    if not size or (x[0] != y[0] and x[-1] != y[-1]):
+        return x, y
     other = x[:size] != y[:size]
     first = int(other.argmax())
     if not other[first]:
-        return a[size:], b[size:]
+        return x[size:], y[size:]
     size -= first
-    other = x[len(x) - size :] != y[len(y) - size :]
+    if len(x) != len(y):
+        other = x[len(x) - size :] != y[len(y) - size :]
     last = int(other[::-1].argmax())
-    last = last if other[size - 1 - last] else size
-    return a[first : len(x) - last], b[first : len(y) - last]
+    last = last if other[-1 - last] else size
+    return x[first : len(x) - last], y[first : len(y) - last]
 
 
-def within(a: str, b: str, limit: int) -> bool:
+def within(a: str | np.ndarray, b: str | np.ndarray, limit: int) -> bool:
     """Whether so many edits turn ``a`` into ``b``: Myers' bit vectors in one whole number, ended once too many are certain."""
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > limit:
         return False
-    a, b = _trimmed(a, b)
+    a, b = (x.tolist() for x in _trimmed(_points(a), _points(b)))
     if not b:
         return len(a) <= limit
-    at: dict[str, int] = {}
+    at: dict[int, int] = {}
     bit = 1
     for x in a:
         at[x] = at.get(x, 0) | bit
@@ -144,23 +148,37 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], limits: np.ndarray) -> tup
     return out, np.zeros(0, np.int64)
 
 
-def near(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
-    """Whether ``limits`` edits turn each of ``a`` into that of ``b``."""
+def _least(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Edits that each pair needs at least, as one side has characters that the other hasn't (told apart in ``KINDS`` kinds)."""
+
+    def counts(x: list[np.ndarray]) -> np.ndarray:
+        who = np.repeat(np.arange(0, KINDS * len(x), KINDS), [len(y) for y in x])
+        return np.bincount(who + np.concatenate(x) % KINDS, minlength=KINDS * len(x)).reshape(-1, KINDS)
+
+    more = counts(a) - counts(b)
+    return np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+
+
+def near(a: list, b: list, limits: np.ndarray) -> np.ndarray:
+    """Whether ``limits`` edits turn each of ``a`` into that of ``b`` (strings, or arrays of whole numbers of 32 bits)."""
     out = np.zeros(len(a), bool)
-    pairs = [_trimmed(x, y) for x, y in zip(a, b)]
+    pairs = [_trimmed(_points(x), _points(y)) for x, y in zip(a, b)]
     pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in pairs]
     long, short = np.array([(len(x), len(y)) for x, y in pairs], np.int64).reshape(-1, 2).T
     out[long <= limits] = True
+    for i in np.flatnonzero((long == short) & ~out).tolist():
+        out[i] = np.count_nonzero(pairs[i][0] != pairs[i][1]) <= limits[i]
     on = np.flatnonzero((long - short <= limits) & (short > 0) & ~out)
     on = on[np.argsort(long[on], kind="stable")]
     at = 0
     while at < len(on):
         size = int(long[on[at]])
-        end = min(int(np.searchsorted(long[on], size + max(size // 5, 16), "right")), at + max(CELLS // (2 * size + 128), 1))
+        most = max(size + size // WIDER, SMALL)
+        end = min(int(np.searchsorted(long[on], most, "right")), at + max(CELLS // (2 * most + 128), 1))
         part, at = on[at:end], end
+        part = np.concatenate([x[_least(*zip(*(pairs[i] for i in x))) <= limits[x]] for x in np.split(part, range(4096, len(part), 4096))])
         if len(part) >= FEW:
-            points = [[_points(pairs[i][side]) for i in part] for side in (0, 1)]
-            out[part], still = _banded(*points, limits[part])
+            out[part], still = _banded([pairs[i][0] for i in part], [pairs[i][1] for i in part], limits[part])
             part = part[still]
         out[part] = [within(*pairs[i], int(limits[i])) for i in part]
     return out

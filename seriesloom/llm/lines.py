@@ -38,6 +38,7 @@ MARK_BITS = 100
 _HELD = 1 << 23  # bytes of pairs that are compared by characters at once; of lines in blocks four times as many
 _ROWS = 32768  # lines in blocks that are compared at once
 _PAIRS = 1 << 19  # pairs whose sketches are compared at once
+_FORESTS = 3  # rounds that compare only pairs which connect what no likelier pair does
 _SEEN = 200_000  # hashes of lines that a task remembers, so that it gives the keys of a repeated line once
 
 
@@ -178,12 +179,36 @@ def _similar_characters(batches):
         yield from links(pa.Table.from_batches(held))
 
 
+def _words(lines: pa.ChunkedArray, rows: np.ndarray) -> dict[int, np.ndarray]:
+    """32 bits of a hash of each word of these normalized lines, by row."""
+    out, at = {}, 0
+    for part in lines.take(pa.array(rows)).chunks:
+        for a, b, data, begins in slices(part):
+            starts, h, _ = words_of(data, begins)
+            out.update(zip(rows[at + a : at + b].tolist(), np.split(h.astype(np.uint32), np.searchsorted(starts, begins[1:]))))
+        at += len(part)
+    return out
+
+
+def _forest(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Which pairs connect what no earlier pair does."""
+    up, out = {}, []
+    for i, (x, y) in enumerate(zip(a.tolist(), z.tolist())):
+        while (w := up.get(x, x)) != x:
+            up[x] = x = up.get(w, w)
+        while (w := up.get(y, y)) != y:
+            up[y] = y = up.get(w, w)
+        if x != y:
+            up[x] = y
+            out.append(i)
+    return np.array(out, np.int64)
+
+
 def _connecting(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """u and v of links between similar lines, of whole pairs of blocks (see ``blocking.dealt``): as many as connect all that are found."""
     k, i, j, b, u, c, n, size = (rows.column(x).to_numpy() for x in ("k", "i", "j", "b", "u", "c", "words", "chars"))
     w = np.stack([rows.column(x).to_numpy().view(np.uint64) for x in ("w0", "w1", "w2", "w3")], axis=1)
-    line, code, ids = rows.column("line").to_pylist(), {}, {}
-    lower = [frozenset(x) for x in rows.column("lower").to_pylist()]
+    line, lower = rows.column("line"), [frozenset(x) for x in rows.column("lower").to_pylist()]
     # Of a block with itself, a row meets those after it; of two blocks, one of the first meets all of the second.
     at = np.arange(len(u))
     new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
@@ -214,31 +239,36 @@ def _connecting(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarr
         by_words, by_chars = (np.abs(x[a] - x[z]) <= limit(x, a, z) for x in (n, size))
         on = np.flatnonzero((apart <= MARK_BITS) & (by_words | by_chars))
         on = on[np.argsort(apart[on], kind="stable")]  # the likeliest first: what they connect needs no other pair
-        a, z, by_words, by_chars = a[on], z[on], by_words[on], by_chars[on]
+        a, z = a[on], z[on]
         first = np.array([lower[r].isdisjoint(lower[s]) for r, s in zip(a.tolist(), z.tolist())], bool)
-        a, z, by_words, by_chars = a[first], z[first], by_words[first], by_chars[first]
-        step = 1 << 13
-        while len(a):
-            p, q, words = a[:step], z[:step], by_words[:step]
-            yes = np.zeros(len(p), bool)
-            for r in np.unique([p[words], q[words]]).tolist():
-                if r not in code:  # as ``coded``, a character for each word
-                    code[r] = "".join([chr(0x10000 + ids.setdefault(x, len(ids)) % 0x100000) for x in line[r].split(" ")])
-            for texts, x, asked in ((code, n, words), (line, size, by_chars[:step])):
-                on = np.flatnonzero(asked & ~yes)
-                yes[on] = near([texts[r] for r in p[on]], [texts[r] for r in q[on]], limit(x, p[on], q[on]))
-            for r, s in zip(p[yes].tolist(), q[yes].tolist()):
-                x, y = find(int(root[r])), find(int(root[s]))
-                if x != y:
-                    up[x] = y
-                    out.append((u[r], u[s]))
-            a, z, by_words, by_chars = a[step:], z[step:], by_words[step:], by_chars[step:]
-            if yes.any():
-                root = np.array([find(x) for x in range(len(up))], np.int64)[root]
-                up = list(range(len(up)))
-                on = root[a] != root[z]
-                a, z, by_words, by_chars = a[on], z[on], by_words[on], by_chars[on]
-            step = min(2 * step, 1 << 16)
+        a, z, on = a[first], z[first], on[first]
+        # Words first, which are fewer; characters only of what they leave unconnected.
+        for x, asked in ((n, by_words[on]), (size, by_chars[on])):
+            still = np.flatnonzero(asked & (root[a] != root[z]))
+            p, q = a[still], z[still]
+            held = np.unique([p, q])
+            texts = _words(line, held) if x is n else {}
+            step = 0
+            while len(p):
+                # Similar words are the rule: first what connects most with fewest pairs, then all pairs, so that unlike lines don't take a round for each.
+                tried = _forest(root[p], root[q]) if x is n and step < _FORESTS else np.arange(min(len(p), 1 << 14))
+                r, s, step = p[tried], q[tried], step + 1
+                if x is size:
+                    need = np.array([y for y in np.unique([r, s]).tolist() if y not in texts], np.int64)
+                    texts.update(zip(need.tolist(), (np.frombuffer(y.encode("utf-32-le"), np.uint32) for y in line.take(pa.array(need)).to_pylist())))
+                yes = near([texts[y] for y in r.tolist()], [texts[y] for y in s.tolist()], limit(x, r, s))
+                for r, s in zip(r[yes].tolist(), s[yes].tolist()):
+                    y, v = find(int(root[r])), find(int(root[s]))
+                    if y != v:
+                        up[y] = v
+                        out.append((u[r], u[s]))
+                top = np.array(up)
+                while (top[top] != top).any():
+                    top = top[top]
+                root, up = top[root], list(range(len(up)))
+                left = root[p] != root[q]
+                left[tried] = False
+                p, q = p[left], q[left]
     return tuple(np.array(out, np.int64).reshape(-1, 2).T)
 
 

@@ -521,6 +521,27 @@ def test_unlike_lines_of_one_key_make_no_rows_of_pairs(spark, monkeypatch, block
     assert sum(sent) <= 3 * len(texts), sent
 
 
+def test_keys_with_the_same_lines_are_worked_on_once(spark, monkeypatch):
+    """40 pairs of similar lines share ten keys each, a third line shares one of these with the first; each pair is sent once, the third lines are found."""
+    made = lambda *x: hashlib.md5(repr(x).encode()).hexdigest()[:9]
+    texts, keys = [], []
+    for g in range(40):
+        ws = [made(g, k) for k in range(12)]
+        texts += [" ".join(ws), " ".join([*ws[:11], "x"]), " ".join(["y", "z", *ws[2:]])]
+        keys += [[100 * g + k for k in range(11)], [100 * g + k for k in range(10)], [100 * g + 10]]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "did long, th long, text string")
+    table = spark.createDataFrame([(i, i, 0, i + 1, x) for i, x in enumerate(keys)], "did long, th long, line_no int, h long, keys array<long>")
+    sent, plain = [], lines.compared
+
+    def counted(rows, *args, **named):
+        sent.append(rows.count())
+        return plain(rows, *args, **named)
+
+    monkeypatch.setattr(lines, "compared", counted)
+    assert dict(rows(lines.groups(docs, table).selectExpr("h", "first.did"))) == {i + 1: 3 * (i // 3) for i in range(len(texts))}
+    assert sent == [2 * 2 * 40]
+
+
 def test_each_pair_of_a_key_meets_once(spark, monkeypatch):
     """Records of one key in blocks of 8: all pairs but those within the greatest component."""
     monkeypatch.setattr(blocking, "BLOCK", 8)
@@ -558,6 +579,17 @@ def test_edits_up_to_a_limit():
     assert edits.near([], [], np.zeros(0, np.int64)).tolist() == []
 
 
+def test_edits_of_arrays_are_ruled_out_by_what_one_side_lacks(monkeypatch):
+    """Numbers of 32 bits; of pairs that have too few in common none is compared step by step."""
+    rng = np.random.default_rng(9)
+    x = [rng.integers(0, 1 << 32, 60).astype(np.uint32) for _ in range(40)]
+    y = [np.r_[a[5:], a[:5]] if i % 2 else rng.integers(0, 1 << 32, 60).astype(np.uint32) for i, a in enumerate(x)]
+    compared, plain = [], edits._banded
+    monkeypatch.setattr(edits, "_banded", lambda a, b, limits: compared.append(len(a)) or plain(a, b, limits))
+    assert edits.near(x, y, np.full(40, 12)).tolist() == [bool(i % 2) for i in range(40)]
+    assert compared == [20]
+
+
 def test_pairs_of_several_keys_are_compared_once(spark):
     """All of 30 records share three keys; none is like a hub, some are like each other."""
     keyed = spark.createDataFrame([(k, u) for k in (5, 6, 7) for u in range(30)], "k long, u long")
