@@ -298,32 +298,41 @@ def decompose(x: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def nelder_mead(f, start: np.ndarray, step: float = 0.5, rounds: int = 200, tol: float = 1e-8) -> np.ndarray:
-    """Downhill simplex; enough for the few parameters of these models."""
-    k = len(start)
-    if not k:
+    """Downhill simplex of many problems (rows of ``start``) at once; enough for the few parameters of these models.
+
+    ``f`` takes points and the problem of each, in ascending order, and gives their values.
+    """
+    many, k = start.shape
+    if not k or not many:
         return start
-    pts = np.vstack([start, start + step * np.eye(k)])
-    val = np.array([f(p) for p in pts])
+    pts = np.concatenate([start[:, None], start[:, None] + step * np.eye(k)], axis=1)
+    val = f(pts.reshape(-1, k), np.repeat(np.arange(many), k + 1)).reshape(many, k + 1)
+    on = np.arange(many)
     for _ in range(rounds * k):
-        by = np.argsort(val, kind="stable")
-        pts, val = pts[by], val[by]
-        if abs(val[-1] - val[0]) <= tol * (abs(val[0]) + tol):
+        x, v = pts[on], val[on]
+        by = np.argsort(v, axis=1, kind="stable")
+        x, v = np.take_along_axis(x, by[:, :, None], 1), np.take_along_axis(v, by, 1)
+        pts[on], val[on] = x, v
+        going = ~(np.abs(v[:, -1] - v[:, 0]) <= tol * (np.abs(v[:, 0]) + tol))
+        on, x, v = on[going], x[going], v[going]
+        if not len(on):
             break
-        mid = pts[:-1].mean(0)
-        r = mid + (mid - pts[-1])
-        fr = f(r)
-        if fr < val[0]:
-            e = mid + 2 * (mid - pts[-1])
-            fe = f(e)
-            pts[-1], val[-1] = (e, fe) if fe < fr else (r, fr)
-        elif fr < val[-2]:
-            pts[-1], val[-1] = r, fr
-        else:
-            c = mid + 0.5 * ((r if fr < val[-1] else pts[-1]) - mid)
-            fc = f(c)
-            if fc < min(fr, val[-1]):
-                pts[-1], val[-1] = c, fc
-            else:
-                pts[1:] = pts[0] + 0.5 * (pts[1:] - pts[0])
-                val[1:] = [f(p) for p in pts[1:]]
-    return pts[val.argmin()]
+        mid = x[:, :-1].mean(1)
+        r = mid + (mid - x[:, -1])
+        fr = f(r, on)
+        best = fr < v[:, 0]
+        good = ~best & (fr < v[:, -2])
+        pts[on[good], -1], val[on[good], -1] = r[good], fr[good]
+        if len(i := np.flatnonzero(best)):
+            e = mid[i] + 2 * (mid[i] - x[i, -1])
+            fe = f(e, on[i])
+            pts[on[i], -1], val[on[i], -1] = np.where((fe < fr[i])[:, None], e, r[i]), np.where(fe < fr[i], fe, fr[i])
+        if len(i := np.flatnonzero(~best & ~good)):
+            inner = mid[i] + 0.5 * (np.where((fr[i] < v[i, -1])[:, None], r[i], x[i, -1]) - mid[i])
+            fc = f(inner, on[i])
+            closer = fc < np.where(v[i, -1] < fr[i], v[i, -1], fr[i])
+            pts[on[i[closer]], -1], val[on[i[closer]], -1] = inner[closer], fc[closer]
+            if len(i := i[~closer]):
+                x = x[i, :1] + 0.5 * (x[i, 1:] - x[i, :1])
+                pts[on[i], 1:], val[on[i], 1:] = x, f(x.reshape(-1, k), np.repeat(on[i], k)).reshape(-1, k)
+    return pts[np.arange(many), val.argmin(1)]

@@ -32,6 +32,14 @@ def put(group: str, **named: Callable[[Series], object]) -> None:
         FEATURES[name] = (group, f)
 
 
+def put_many(group: str, **named: Callable[..., list]) -> None:
+    """Operators on lists of series: what they iterate runs over all series of a batch at once."""
+    for name, f in named.items():
+        one = lambda s, *, _f=f, **o: _f([s], **o)[0]
+        one.together = f
+        FEATURES[name] = (group, one)
+
+
 # ---- general
 
 
@@ -414,21 +422,27 @@ def orthogonal_trend(s: Series) -> np.ndarray:
     return np.array([p1 @ y, p2 @ y])
 
 
-def cycle_period(s: Series) -> float:
-    if s.n < 8 or not s.ts.std() > 0:
-        return NAN
-    a, b = models.Arima((2, 0, 0), True).fit(s.ts).ar
-    if a * a + 4 * b >= 0:
-        return NAN
-    cosine = -a * (1 - b) / (4 * b)
-    return float(2 * math.pi / math.acos(cosine)) if abs(cosine) <= 1 and math.acos(cosine) > 0 else NAN
+def cycle_period(many: list[Series]) -> list[float]:
+    out = np.full(len(many), NAN)
+    on = [i for i, s in enumerate(many) if s.n >= 8 and s.ts.std() > 0]
+    fit = models.Arima((2, 0, 0), True).fit([many[i].ts for i in on])
+    for k, (a, b) in zip(fit.kept, fit.ar.tolist()):
+        if a * a + 4 * b < 0:
+            cosine = -a * (1 - b) / (4 * b)
+            out[on[k]] = 2 * math.pi / math.acos(cosine) if abs(cosine) <= 1 and math.acos(cosine) > 0 else NAN
+    return out.tolist()
 
 
-def smoothing(s: Series, season: bool, damped: bool) -> models.Smoothing:
+def smoothing(many: list[Series], season: bool, damped: bool, weight: str) -> list[float]:
+    """A weight (alpha, beta, gamma) of exponential smoothing of each; fitted once, with or without a season."""
     key = f"_smoothing_{season}_{damped}"
-    if key not in s.__dict__:
-        s.__dict__[key] = models.Smoothing(trend=True, damped=damped, period=s.period if season else 1).fit(s.z)
-    return s.__dict__[key]
+    new = [s for s in many if key not in s.__dict__]
+    for seasonal in (False, True):
+        part = [s for s in new if (season and s.period > 1) == seasonal]
+        fit = models.Smoothing(True, damped).fit([s.z for s in part], [s.period if seasonal else 1 for s in part])
+        for i, s in enumerate(part):
+            s.__dict__[key] = {w: float(getattr(fit, w)[fit.of[i]]) for w in ("alpha", "beta", "gamma")} if i in fit.of else dict.fromkeys(("alpha", "beta", "gamma"), NAN)
+    return [s.__dict__[key][weight] for s in many]
 
 
 def gaussian_r2(s: Series) -> float:
@@ -438,19 +452,23 @@ def gaussian_r2(s: Series) -> float:
 
 put(
     "model-based",
-    des_level=lambda s: smoothing(s, False, False).alpha,
-    des_trend=lambda s: smoothing(s, False, False).beta,
-    ets_level=lambda s: smoothing(s, True, True).alpha,
-    ets_trend=lambda s: smoothing(s, True, True).beta,
-    ets_season=lambda s: smoothing(s, True, True).gamma,
     linearity=lambda s: float(orthogonal_trend(s)[0]),
     curvature=lambda s: float(orthogonal_trend(s)[1]),
-    avg_cycle_period=cycle_period,
     gaussian_r_sqr=gaussian_r2,
     ioe_std_slope=lambda s: s.ioe_line[0],
     ioe_std_adj_r_sqr=lambda s: s.ioe_line[1],
 )
 
+put_many(
+    "model-based",
+    des_level=lambda many: smoothing(many, False, False, "alpha"),
+    des_trend=lambda many: smoothing(many, False, False, "beta"),
+    ets_level=lambda many: smoothing(many, True, True, "alpha"),
+    ets_trend=lambda many: smoothing(many, True, True, "beta"),
+    ets_season=lambda many: smoothing(many, True, True, "gamma"),
+    avg_cycle_period=cycle_period,
+)
+
 # ---- spectrum (public group info-theory, information theory is freq-domain: the names are swapped in the public surface)
 
 
@@ -728,9 +746,9 @@ put(
 # ---- landmarks: forecasts in five expanding folds
 
 for _name, _model in models.LANDMARKS.items():
-    put("landmarking", **{_name: lambda s, *, _f=_model, **o: models.cross_validated(s, _f, **o)})
+    put_many("landmarking", **{_name: lambda many, *, _f=_model, **o: models.cross_validated(many, _f, **o)})
 for _name in ("model_mean", "model_linear"):
-    put("landmarking", **{_name + "_acf_first_nonpos": lambda s, *, _f=models.LANDMARKS[_name], **o: models.cross_validated(s, _f, lambda p, y: c.first_where(c.acf(y - p) <= 0), **o)})
+    put_many("landmarking", **{_name + "_acf_first_nonpos": lambda many, *, _f=models.LANDMARKS[_name], **o: models.cross_validated(many, _f, lambda p, y: c.first_where(c.acf(y - p) <= 0), **o)})
 
 #: Features of arrays: where they fail, the array is empty and not a number.
 SCALARS = frozenset("""length period frac_cp peak_frac trough_frac walker_cross_frac embed_in_shell emb_lag emb_dim_cao trend_strenght season_strenght sd_residuals sd_diff sd_sdiff skewness_residuals
@@ -741,17 +759,37 @@ _LAG = ("lag", "max_nlags")
 _OWN_NLAGS = ("acf_first_nonsig", "acf_first_nonpos", "first_acf_locmin", "autocorr_crit_pt", "test_lb", "test_earch")
 
 
+_FAILS = (ValueError, ZeroDivisionError, IndexError, FloatingPointError, OverflowError, ArithmeticError, np.linalg.LinAlgError)
+
+
+def _chosen(s: Series, name: str, options: dict) -> Series:
+    """The series with the embedding lag that ``options`` choose; what chooses it is taken out of them."""
+    chosen = {k: options.pop(k) for k in _LAG if k in options and not (k == "max_nlags" and name in _OWN_NLAGS)}
+    return s.with_lag(**chosen) if chosen else s
+
+
 def compute(s: Series, name: str, options: dict | None = None):
     """The operator's value; where it fails on this series NaN, or an empty array if it gives arrays.
 
     ``options`` are the operator's own; ``lag`` (a number, 'ami', 'acf' or 'acf-nonsig') and ``max_nlags`` choose the embedding lag of all that have one.
     """
     options = dict(options or {})
-    chosen = {k: options.pop(k) for k in _LAG if k in options and not (k == "max_nlags" and name in _OWN_NLAGS)}
-    if chosen:
-        s = s.with_lag(**chosen)
+    s = _chosen(s, name, options)
     try:
         with np.errstate(all="ignore"):
             return FEATURES[name][1](s, **options)
-    except (ValueError, ZeroDivisionError, IndexError, FloatingPointError, OverflowError, ArithmeticError, np.linalg.LinAlgError):
+    except _FAILS:
         return NAN if name in SCALARS else np.empty(0)
+
+
+def compute_many(many: list[Series], name: str, options: dict | None = None) -> list:
+    """As ``compute``, of each series: at once where the operator can, else (or where it fails so) one by one."""
+    if together := getattr(FEATURES[name][1], "together", None):
+        own = dict(options or {})
+        series = [_chosen(s, name, own := dict(options or {})) for s in many]
+        try:
+            with np.errstate(all="ignore"):
+                return together(series, **own)
+        except _FAILS:
+            pass
+    return [compute(s, name, options) for s in many]

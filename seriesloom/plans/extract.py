@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.context import Series
-from ..functions.kernels import FEATURES, compute
+from ..functions.kernels import FEATURES, compute_many
 from ..functions.models import cross_validated
 from ..operators import relational
 from ..sources.series import arrays
@@ -32,6 +33,26 @@ def features(series: DataFrame, names: Iterable[str], period: int | None = None,
     return features_of_arrays(arrays(series), list(names), period, seed, args).where(f"idx is null or idx <> {EMPTY}")
 
 
+#: Values of series that are worked on together, shorter ones counted as long as the longest; a longer series is worked on alone.
+POINTS = 1 << 17
+
+
+def together(batches, period: int | None, seed: int):
+    """ids and ``Series`` of some rows of series_id and values at a time; series without values are passed over."""
+    for batch in batches:
+        values, start, longest, at = batch.column("values"), 0, 0, 0
+        sizes = pc.fill_null(pc.list_value_length(values), 0).to_pylist()
+        while start < len(sizes):
+            at, longest = start, 0
+            while at < len(sizes) and (at == start or max(longest, sizes[at]) * (at + 1 - start) <= POINTS):
+                at, longest = at + 1, max(longest, sizes[at])
+            on = [i for i in range(start, at) if sizes[i]]
+            if on:
+                ids = batch.column("series_id").take(pa.array(on, pa.int64()))
+                yield ids, [Series(values[i].values.to_numpy(zero_copy_only=False), period, seed, key) for i, key in zip(on, ids.to_pylist())]
+            start = at
+
+
 #: Stands at the place of an empty array, so that it still has a row for each summary.
 EMPTY = -1
 TIMES = "seconds"
@@ -49,25 +70,20 @@ def features_of_arrays(table: DataFrame, names: list[str], period: int | None =
 
     def run(batches):
         FEATURES.update(chosen)  # registered ones, on the executors
-        for batch in batches:
-            ids, values = batch.column("series_id"), batch.column("values")
-            for i in range(batch.num_rows):  # a batch out for each series: memory goes with one series
-                x = np.asarray(values[i].values.to_numpy(zero_copy_only=False), float)
-                if not len(x):
-                    continue
-                s = Series(x, period, seed, ids[i].as_py())
-                feature, idx, value, took = [], [], [], []
-                for name in names:
-                    began = time.perf_counter()
-                    out = compute(s, name, args.get(name))
-                    scalar = np.ndim(out) == 0
-                    out = np.atleast_1d(np.asarray(out, float))
-                    feature += [name] * max(1, len(out))
-                    idx += [None] if scalar else range(len(out)) if len(out) else [EMPTY]
-                    value += out.tolist() if len(out) else [np.nan]
-                    took += [time.perf_counter() - began] * max(1, len(out))
-                cols = [ids.take(pa.array([i] * len(feature), pa.int64())), pa.array(feature, pa.string()), pa.array(idx, pa.int64()), pa.array(value, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(took, pa.float64())] if measure_time else [])], ["series_id", "feature", "idx", "value", *([TIMES] if measure_time else [])])
+        for ids, many in together(batches, period, seed):
+            for name in names:  # a batch out for each operator: memory goes with some series
+                began = time.perf_counter()
+                out = compute_many(many, name, args.get(name))
+                took = (time.perf_counter() - began) / len(many)
+                scalar = np.array([np.ndim(x) == 0 for x in out])
+                out = [np.atleast_1d(np.asarray(x, float)) for x in out]
+                sizes = np.array([len(x) for x in out])
+                rows = np.maximum(sizes, 1)
+                at = np.repeat(np.arange(len(many)), rows)
+                idx = np.where(sizes[at] > 0, np.arange(len(at)) - np.repeat(np.r_[0, np.cumsum(rows)[:-1]], rows), EMPTY)
+                value = np.concatenate([x if len(x) else [np.nan] for x in out])
+                cols = [ids.take(pa.array(at)), pa.repeat(pa.scalar(name, pa.string()), len(at)), pa.array(idx, pa.int64(), mask=scalar[at]), pa.array(value, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(np.full(len(at), took))] if measure_time else [])], ["series_id", "feature", "idx", "value", *([TIMES] if measure_time else [])])
 
     return table.select("series_id", "values").mapInArrow(run, f"series_id {key}, {_LONG}" + (f", {TIMES} double" if measure_time else ""))
 

@@ -221,3 +221,35 @@ def test_long_series_need_no_pairs_of_all(spark):
     for name in ("moving_sd", "moving_kurtosis", "moving_acf", "sample_entropy", "corr_dim"):
         got = [r["value"] for r in relational.run(name, table).orderBy("idx" if name.startswith("moving") else "value").collect()]
         assert np.allclose(got, np.atleast_1d(compute(Series(x), name)), rtol=1e-6, atol=1e-8), name
+
+
+ITERATED = ["model_arima_011_c", "model_arima_112_nc", "model_arima_100_c", "model_arima_021_c", "avg_cycle_period", "model_ses", "model_hwes_ada", "model_hwes_adm", "ets_level", "des_trend", "model_exp", "model_sine"]
+
+
+@pytest.mark.parametrize("name", ITERATED)
+def test_many_series_at_once_as_one_by_one(name, monkeypatch):
+    """The same numbers, whatever goes along, in far fewer steps than one by one."""
+    from seriesloom.functions import kernels, models
+
+    rng, steps = np.random.default_rng(8), []
+    for owner, step in ((models.Arima, "_loss"), (models.Smoothing, "_run"), (models, "_solved")):
+        monkeypatch.setattr(owner, step, lambda *a, _f=getattr(owner, step): steps.append(1) or _f(*a))
+    equal, mixed = [rng.normal(size=60).cumsum() for _ in range(30)], [*SERIES.values(), np.full(40, np.nan), *(rng.normal(size=n) for n in rng.integers(30, 90, 10))]
+    for rows in (mixed, equal):
+        steps.clear()
+        alone = [np.atleast_1d(compute(Series(x), name)) for x in rows]
+        apart = len(steps)
+        with monkeypatch.context() as m:
+            m.setattr(kernels, "_FAILS", ())  # nothing falls back to one by one
+            many = kernels.compute_many([Series(x) for x in rows], name)
+        assert all(np.array_equal(a, np.atleast_1d(b), equal_nan=True) for a, b in zip(alone, many))
+    assert len(steps) - apart < apart / 4
+
+
+def test_together_parts_hold_all_series_of_mixed_lengths(spark, monkeypatch):
+    from seriesloom.plans import extract
+
+    rows = [(k, t, float((k * 7 + t * t) % 11)) for k in range(50) for t in range(3 + k * 5)]
+    table = spark.createDataFrame(rows, "series_id long, t long, v double")
+    got = {r["series_id"]: r["value"] for r in features(table, ["length"]).collect()}
+    assert got == {k: 3 + k * 5 for k in range(50)} and extract.POINTS > 0
