@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -66,6 +67,17 @@ def acf(x: np.ndarray, nlags: int | None = None, adjusted: bool = True) -> np.nd
     return sums / ((n - np.arange(1, nlags + 1)) if adjusted else n) / c0
 
 
+def acf_rows(x: np.ndarray) -> np.ndarray:
+    """``acf`` of each row."""
+    n = x.shape[1]
+    if n // 2 >= 64:
+        return np.array([acf(row) for row in x])
+    d = x - x.mean(1, keepdims=True)
+    c0 = (d[:, None] @ d[:, :, None])[:, 0, 0] / n
+    sums = np.array([(d[:, None, :-k] @ d[:, k:, None])[:, 0, 0] for k in range(1, n // 2 + 1)]).reshape(-1, len(x)).T
+    return sums / (n - np.arange(1, n // 2 + 1)) / np.where(c0 > 0, c0, NAN)[:, None]
+
+
 def pacf(x: np.ndarray, nlags: int | None = None) -> np.ndarray:
     """Partial autocorrelation: last coefficient of a regression on k lags, scaled by n / (n - k)."""
     n = len(x)
@@ -192,49 +204,66 @@ def sd(x: np.ndarray, ddof: int = 1) -> float:
 # ---- smoothing and decomposition
 
 
-def running_lines(x: np.ndarray, y: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Local linear fits over the ``span`` nearest points of an evenly spaced grid, and absolute left-one-out residuals."""
-    n = len(y)
-    half = max(1, span // 2)
+def _windows_of(n: int, span: int) -> tuple[np.ndarray, ...]:
+    """Of local lines over the ``span`` nearest points of an even grid: the grid, ends and sizes of windows, their means, and what spreads and levers need."""
+    x, half = np.linspace(0, 1, n), max(1, span // 2)
     lo = np.clip(np.arange(n) - half, 0, max(0, n - 2 * half - 1))
     hi = np.minimum(lo + 2 * half + 1, n)
-    c = lambda v: np.r_[0.0, np.cumsum(v)]
     m = (hi - lo).astype(float)
+    c = lambda v: np.r_[0.0, np.cumsum(v)]
     part = lambda v: c(v)[hi] - c(v)[lo]
-    mx, my = part(x) / m, part(y) / m
-    vx, cxy = part(x * x) / m - mx * mx, part(x * y) / m - mx * my
-    slope = np.where(vx > 1e-14, cxy / np.where(vx > 1e-14, vx, 1), 0)
-    fit = my + slope * (x - mx)
-    lever = 1 / m + np.where(vx > 1e-14, (x - mx) ** 2 / np.where(vx > 1e-14, vx, 1) / m, 0)
-    return fit, np.abs((y - fit) / np.maximum(1 - lever, 1e-10))
+    mx = part(x) / m
+    vx = part(x * x) / m - mx * mx
+    safe = np.where(vx > 1e-14, vx, 1)
+    lever = 1 / m + np.where(vx > 1e-14, (x - mx) ** 2 / safe / m, 0)
+    return x, lo, hi, m, mx, x - mx, vx > 1e-14, safe, np.maximum(1 - lever, 1e-10)
+
+
+_windows_kept = lru_cache(1024)(_windows_of)
+
+
+def running_lines(y: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Local linear fits over the ``span`` nearest points of an evenly spaced grid, and what absolute residuals are divided by to leave a point out. ``y``: a series, or one in each row."""
+    n = y.shape[-1]
+    x, lo, hi, m, mx, off, wide, safe, left = (_windows_kept if n <= SHORT else _windows_of)(n, span)
+
+    def part(v):
+        sums = np.zeros((*v.shape[:-1], n + 1))
+        np.cumsum(v, axis=-1, out=sums[..., 1:])
+        return sums[..., hi] - sums[..., lo]
+
+    my = part(y) / m
+    slope = np.where(wide, (part(x * y) / m - mx * my) / safe, 0)
+    return my + slope * off, left
 
 
 def super_smoother(y: np.ndarray) -> np.ndarray:
-    """Friedman's variable-span smoother: three spans, the best by smoothed left-one-out residuals at each point."""
-    n = len(y)
+    """Friedman's variable-span smoother: three spans, the best by smoothed left-one-out residuals at each point. ``y``: a series, or one in each row."""
+    n = y.shape[-1]
     if n < 3:
         return y.astype(float).copy()
-    x = np.linspace(0, 1, n)
     spans = [max(2, round(s * n)) for s in (0.05, 0.2, 0.5)]
     fits, errors = [], []
     for s in spans:
-        f, r = running_lines(x, y, s)
+        f, left = running_lines(y, s)
         fits.append(f)
-        errors.append(running_lines(x, r, spans[1])[0])
+        errors.append(running_lines(np.abs((y - f) / left), spans[1])[0])
     best = np.argmin(errors, axis=0)
-    span = running_lines(x, np.array(spans, float)[best], spans[1])[0]
+    span = running_lines(np.array(spans, float)[best], spans[1])[0]
     span = np.clip(span, spans[0], spans[2])
     # Between the two fits whose spans surround the wanted one.
-    j, at, width = (span > spans[1]).astype(int), np.arange(n), np.array(spans, float)
+    j, width = (span > spans[1]).astype(int), np.array(spans, float)
     w = (span - width[j]) / np.maximum(width[j + 1] - width[j], 1)
-    fits = np.array(fits)
-    out = (1 - w) * fits[j, at] + w * fits[j + 1, at]
-    return running_lines(x, out, spans[0])[0]
+    out = (1 - w) * np.where(j == 0, fits[0], fits[1]) + w * np.where(j == 0, fits[1], fits[2])
+    return running_lines(out, spans[0])[0]
 
 
-def loess(y: np.ndarray, span: int, degree: int = 1, extend: int = 0) -> np.ndarray:
-    """Tricube local regression on an even grid, also at ``extend`` points beyond either end."""
-    n = len(y)
+#: Series of so many points or fewer have what depends on lengths alone kept for the next one.
+SHORT = 100
+
+
+def _local(n: int, span: int, extend: int) -> tuple[np.ndarray, ...]:
+    """Of local regression on an even grid: the grid, the points asked for, and indices and tricube weights of the neighbours of each."""
     x = np.arange(n, dtype=float)
     at = np.arange(-extend, n + extend, dtype=float)
     q = min(span, n)
@@ -243,14 +272,26 @@ def loess(y: np.ndarray, span: int, degree: int = 1, extend: int = 0) -> np.ndar
     d = np.abs(x[idx] - at[:, None])
     h = np.maximum(d.max(1), 1e-12) * (max(span, n) / n if span > n else 1.0)
     w = np.clip(1 - (d / (h[:, None] * 1.0001)) ** 3, 0, None) ** 3
-    w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
-    my = (w * y[idx]).sum(1)
-    if degree == 0:
-        return my
+    return x, at, idx, w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+
+
+def loess(y: np.ndarray, span: int, extend: int = 0) -> np.ndarray:
+    """Local lines with tricube weights on an even grid, also at ``extend`` points beyond either end."""
+    x, at, idx, w = _local(len(y), span, extend)
     mx = (w * x[idx]).sum(1)
     vx = (w * (x[idx] - mx[:, None]) ** 2).sum(1)
     slope = (w * (x[idx] - mx[:, None]) * y[idx]).sum(1) / np.where(vx > 1e-12, vx, np.inf)
-    return my + slope * (at - mx)
+    return (w * y[idx]).sum(1) + slope * (at - mx)
+
+
+def _loess_matrix(n: int, span: int, extend: int = 0) -> np.ndarray:
+    """The matrix that gives ``loess``, which is linear."""
+    x, at, idx, w = _local(n, span, extend)
+    mx = (w * x[idx]).sum(1, keepdims=True)
+    vx = (w * (x[idx] - mx) ** 2).sum(1, keepdims=True)
+    out = np.zeros((len(at), n))
+    out[np.arange(len(at))[:, None], idx] = w * (1 + (x[idx] - mx) * (at[:, None] - mx) / np.where(vx > 1e-12, vx, np.inf))
+    return out
 
 
 def _odd(x: float) -> int:
@@ -258,19 +299,29 @@ def _odd(x: float) -> int:
     return k if k % 2 else k + 1
 
 
-def stl(y: np.ndarray, period: int, seasonal: int = 7, inner: int = 5) -> tuple[np.ndarray, np.ndarray]:
+_SEASONAL, _INNER = 7, 5
+
+
+def _spans(period: int) -> tuple[int, int]:
+    """Spans of the low pass and of the trend."""
+    return _odd(period + 1), _odd(1.5 * period / (1 - 1.5 / _SEASONAL))
+
+
+def stl(y: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
     """Trend and season by repeated loess (Cleveland and others, 1990), without robustness rounds."""
     n = len(y)
-    low = _odd(period + 1)
-    trend_span = _odd(1.5 * period / (1 - 1.5 / seasonal))
+    if n <= SHORT:
+        trend, season = _stl_matrices(n, period)
+        return trend @ y, season @ y
+    low, trend_span = _spans(period)
     trend = np.zeros(n)
     season = np.zeros(n)
-    for _ in range(inner):
+    for _ in range(_INNER):
         d = y - trend
         cycle = np.empty(n + 2 * period)
         for k in range(period):
             part = d[k::period]
-            cycle[k::period][: len(part) + 2] = loess(part, seasonal, 1, 1) if len(part) > 1 else np.repeat(part, 3)
+            cycle[k::period][: len(part) + 2] = loess(part, _SEASONAL, 1) if len(part) > 1 else np.repeat(part, 3)
         smooth = cycle
         for w in (period, period, 3):
             smooth = np.convolve(smooth, np.ones(w) / w, "valid")
@@ -279,11 +330,29 @@ def stl(y: np.ndarray, period: int, seasonal: int = 7, inner: int = 5) -> tuple[
     return trend, season
 
 
-def estimate_period(x: np.ndarray) -> int:
+@lru_cache(2048)
+def _stl_matrices(n: int, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every step of ``stl`` is linear, with weights of the length and the period alone: the matrices that give trend and season."""
+    low, trend_span = _spans(period)
+    cycle = np.zeros((n + 2 * period, n))
+    for k in range(period):
+        m = len(range(k, n, period))
+        cycle[k::period][: m + 2, k::period] = _loess_matrix(m, _SEASONAL, 1) if m > 1 else 1.0
+    smooth = cycle
+    for w in (period, period, 3):
+        sums = np.vstack([np.zeros((1, n)), np.cumsum(smooth, axis=0)])
+        smooth = (sums[w:] - sums[:-w]) / w
+    passed, local, one = cycle[period : period + n] - _loess_matrix(n, low) @ smooth, _loess_matrix(n, trend_span), np.eye(n)
+    trend = season = np.zeros((n, n))
+    for _ in range(_INNER):
+        season = passed @ (one - trend)
+        trend = local @ (one - season)
+    return trend, season
+
+
+def estimate_period(x: np.ndarray, smooth: np.ndarray) -> int:
     """Lag of the greatest absolute autocorrelation of the series without its smooth trend."""
-    if len(x) <= 1:
-        return 1
-    r = np.abs(acf(x - super_smoother(x)))
+    r = np.abs(acf(x - smooth))
     return int(np.nanargmax(r)) + 1 if len(r) and not np.isnan(r).all() else 1
 
 

@@ -167,16 +167,11 @@ def stick_angles(s: Series) -> np.ndarray:
 @feature("general")
 def fnn_prop(s: Series) -> np.ndarray:
     out = []
-    for dim in range(1, 17):
-        b = c.embed(s.z, dim + 1, s.lag)
-        if len(b) < 2:
+    for found in s.neighbours(1e-8):  # nearer ones count as the same
+        if found is None:
             out.append(NAN)
             continue
-        d = c.pairwise(b[:, 1:])
-        d[np.isclose(d, 0)] = np.inf
-        near = d.argmin(1)
-        dist = d[np.arange(len(b)), near]
-        step = np.abs(b[:, 0] - b[near, 0])
+        dist, step = found
         out.append(float(((step > 10 * dist) | (np.maximum(dist, step) > 2)).mean()))
     return np.array(out)
 
@@ -506,9 +501,9 @@ def ami_noise(s: Series, noise_range: tuple[float, float] = (0, 3), noise_inc_nu
     if s.n < s.lag + 3:
         return NAN
     noise, levels, y = s.rng("ami_curvature").normal(size=s.n), np.linspace(*noise_range, noise_inc_num), []
-    for level in levels:
-        x = s.z + level * noise
-        x = x - c.decompose(x, c.estimate_period(x))[0]
+    noisy = s.z + levels[:, None] * noise
+    for x, smooth in zip(noisy, c.super_smoother(noisy)):
+        x = x - c.decompose(x, c.estimate_period(x, smooth))[0]
         y.append(mutual_information(x[: -s.lag], x[s.lag :], 32))
     return float(np.polyfit(levels, y, 1)[0])
 
@@ -705,9 +700,10 @@ def progressive(s: Series, stat, name: str, strategy: str = "dist-dynamic", prop
     return out
 
 
-def subsamples(s: Series, x: np.ndarray, num: int, share: float, name: str) -> list[np.ndarray]:
+def subsamples(s: Series, x: np.ndarray, num: int, share: float, name: str) -> np.ndarray:
+    """Pieces of equal length, one in each row."""
     w = math.ceil(share * s.n)
-    return [x[a : a + w] for a in s.rng(name).integers(0, s.n - w + 1, num)]
+    return x[s.rng(name).integers(0, s.n - w + 1, num)[:, None] + np.arange(w)]
 
 
 def surrogates(s: Series, stat, name: str, num: int = 32, rounds: int = 128) -> np.ndarray:
@@ -727,8 +723,9 @@ def surrogates(s: Series, stat, name: str, num: int = 32, rounds: int = 128) ->
     return np.array([stat(row, s.lag) / own if own else NAN for row in x], float)
 
 
-def detrended_acf(x: np.ndarray) -> np.ndarray:
-    return c.acf(x - c.super_smoother(x))
+def detrended_acf(rows: np.ndarray) -> np.ndarray:
+    """Autocorrelation of each row without its smooth trend."""
+    return c.acf_rows(rows - c.super_smoother(rows))
 
 
 put(
@@ -737,8 +734,8 @@ put(
     itrand_sd=lambda s, **o: progressive(s, c.sd, "itrand_sd", **o),
     itrand_acf=lambda s, **o: progressive(s, lambda x: c.acf(x, 1)[0] if len(x) > 1 else NAN, "itrand_acf", **o),
     resample_std=lambda s: np.array([c.sd(x) for x in subsamples(s, s.z, 64, 0.1, "resample_std")]),
-    resample_first_acf_nonpos=lambda s: np.array([c.first_where(detrended_acf(x) <= 0) for x in subsamples(s, s.ts, 128, 0.2, "resample_first_acf_nonpos")]),
-    resample_first_acf_locmin=lambda s: np.array([float(a[0] + 1) if len(a := c.local_minima(detrended_acf(x))) else NAN for x in subsamples(s, s.ts, 128, 0.2, "resample_first_acf_locmin")]),
+    resample_first_acf_nonpos=lambda s: np.array([c.first_where(r <= 0) for r in detrended_acf(subsamples(s, s.ts, 128, 0.2, "resample_first_acf_nonpos"))]),
+    resample_first_acf_locmin=lambda s: np.array([float(a[0] + 1) if len(a := c.local_minima(r)) else NAN for r in detrended_acf(subsamples(s, s.ts, 128, 0.2, "resample_first_acf_locmin"))]),
     surr_trev=lambda s: surrogates(s, lagged_moment, "surr_trev"),
     surr_tc3=lambda s: surrogates(s, triple, "surr_tc3"),
 )

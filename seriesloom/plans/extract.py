@@ -49,7 +49,12 @@ def together(batches, period: int | None, seed: int):
             on = [i for i in range(start, at) if sizes[i]]
             if on:
                 ids = batch.column("series_id").take(pa.array(on, pa.int64()))
-                yield ids, [Series(values[i].values.to_numpy(zero_copy_only=False), period, seed, key) for i, key in zip(on, ids.to_pylist())]
+                many = [Series(values[i].values.to_numpy(zero_copy_only=False), period, seed, key) for i, key in zip(on, ids.to_pylist())]
+                equals = {}
+                for s in many:
+                    s.equals = equals.setdefault(s.n, [])
+                    s.equals.append(s)
+                yield ids, many
             start = at
 
 

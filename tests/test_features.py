@@ -253,3 +253,50 @@ def test_together_parts_hold_all_series_of_mixed_lengths(spark, monkeypatch):
     table = spark.createDataFrame(rows, "series_id long, t long, v double")
     got = {r["series_id"]: r["value"] for r in features(table, ["length"]).collect()}
     assert got == {k: 3 + k * 5 for k in range(50)} and extract.POINTS > 0
+
+
+@pytest.mark.parametrize("n, period", [(24, 2), (61, 7), (70, 35), (100, 12), (96, 48)])
+def test_seasonal_matrices_are_the_loess_steps(n, period, monkeypatch):
+    y = np.random.default_rng(n).normal(size=n).cumsum()
+    fast = core.stl(y, period)
+    with monkeypatch.context() as m:
+        m.setattr(core, "_local", lambda *a: pytest.fail("weights made again"))
+        core.stl(y[::-1], period)
+    monkeypatch.setattr(core, "SHORT", 0)
+    assert np.allclose(fast, core.stl(y, period), rtol=0, atol=1e-10)
+
+
+def test_smoother_of_rows_and_of_equally_long_series(monkeypatch):
+    rows = np.random.default_rng(4).normal(size=(40, 61)).cumsum(1)
+    assert all(np.array_equal(a, core.super_smoother(x)) for a, x in zip(core.super_smoother(rows), rows))
+    many = [Series(x) for x in rows]
+    for s in many:
+        s.equals = many
+    calls = []
+    monkeypatch.setattr(core, "super_smoother", lambda x, _f=core.super_smoother: calls.append(1) or _f(x))
+    assert [s.period for s in many] == [Series(x).period for x in rows] and len(calls) == 41
+
+
+@pytest.mark.parametrize("name", ["resample_first_acf_nonpos", "resample_first_acf_locmin"])
+def test_subsamples_are_smoothed_at_once(name, monkeypatch):
+    x, calls = np.random.default_rng(6).normal(size=80), []
+    want = []
+    for a in Series(x).rng(name).integers(0, 65, 128):
+        part = x[a : a + 16]
+        r = core.acf(part - core.super_smoother(part))
+        at = core.local_minima(r)
+        want.append(core.first_where(r <= 0) if name.endswith("nonpos") else float(at[0] + 1) if len(at) else np.nan)
+    monkeypatch.setattr(core, "super_smoother", lambda x, _f=core.super_smoother: calls.append(1) or _f(x))
+    assert np.array_equal(compute(Series(x), name), want, equal_nan=True) and len(calls) == 1
+
+
+def test_nearest_neighbours_of_all_dimensions():
+    s = Series(np.random.default_rng(7).normal(size=64))
+    for dim, found in enumerate(s.neighbours(1e-8), 1):
+        b = core.embed(s.z, dim + 1, s.lag)
+        if len(b) < 2:
+            assert found is None
+            continue
+        d = core.pairwise(b[:, 1:])
+        d[d <= 1e-8] = np.inf
+        assert np.array_equal(found[0], d.min(1)) and np.array_equal(found[1], np.abs(b[:, 0] - b[d.argmin(1), 0]))
