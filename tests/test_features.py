@@ -300,3 +300,34 @@ def test_nearest_neighbours_of_all_dimensions():
         d = core.pairwise(b[:, 1:])
         d[d <= 1e-8] = np.inf
         assert np.array_equal(found[0], d.min(1)) and np.array_equal(found[1], np.abs(b[:, 0] - b[d.argmin(1), 0]))
+
+
+def _differing(spark, name, sf):
+    """Values of a query that differ in any bit from its SQL."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{sf}/events.parquet'")
+    want = {tuple(r[:-1]): r[-1] for r in c.execute(f"select series_id, feature, value from ({registry.oracle_sql()[name]}) q").fetchall()}
+    got = {(r["series_id"], r["feature"]): r["value"] for r in registry.queries()[name](spark, sf).collect()}
+    assert set(got) == set(want)
+    return [k for k in want if got[k] != want[k]]
+
+
+@pytest.mark.parametrize("name", ["summarize", "extract_by_pattern"])
+def test_summaries_round_as_their_sql(spark, name):
+    assert not _differing(spark, name, "/root/testdata/sf0.01")
+
+
+def test_summaries_of_many_as_of_one():
+    from seriesloom.plans.summaries import summaries
+
+    rng = np.random.default_rng(2)
+    rows = [rng.normal(size=n) for n in (5, 1, 30, 2, 17)] + [np.zeros(0), np.array([np.nan, 1.0, 4.0]), np.full(3, 2.0), np.array([np.inf, 1.0])]
+    names = Extractor.valid_summary()
+    for suffix, value in summaries(rows, names):
+        alone = [dict((k, v[0]) for k, v in summaries([x], names))[suffix] for x in rows]
+        assert np.array_equal(value, alone, equal_nan=True), suffix
+    x = dict((k, v[2]) for k, v in summaries(rows, names))
+    assert x["skewness"] == pytest.approx(core.skew3(rows[2])) and x["kurtosis"] == pytest.approx(core.kurt3(rows[2])) and x["var"] == pytest.approx(rows[2].var(ddof=1))
+    assert [x[f"quantiles.{k}"] for k in range(5)] == pytest.approx(np.quantile(rows[2], [0, 0.25, 0.5, 0.75, 1]))
