@@ -2,12 +2,14 @@
 
 The text keeps to ANSI functions, so Catalyst plans it here and any SQL engine can run it for comparison.
 Nothing is collected per series: windows, prefix sums, joins on (series_id, t + lag) or on (series_id, cell of values) and grouped sums only.
+``run`` leaves ``GATHERED`` to the kernels.
 Scalars give (series_id, value), arrays (series_id, idx, value). Undefined values are NULL.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Standardized values: by mean and population deviation of the series; a constant series gives zeros.
 Z = """s0 as (select series_id, t, v, count(*) over (partition by series_id) as n, avg(v) over (partition by series_id) as m, stddev_pop(v) over (partition by series_id) as sd from {series}),
@@ -184,9 +186,15 @@ select h.series_id, cast(q.k as bigint) as idx, avg(case when h.bin = q.k then 1
     return f"select series_id, {SUMMARIES[name]} as value from (select series_id, value, avg({_GOOD if name.startswith('nan') else 'value'}) over (partition by series_id) as __m from {table}) x group by series_id"
 
 
+#: Their plans make a row for each value and lag, which is far more than the series; gathered, a transform of each series does.
+GATHERED = ("acf", "acf_diff")
+
+
 def run(name: str, series: DataFrame) -> DataFrame:
-    if name in ("acf", "acf_diff"):
-        return plan(SQL[name], series, nums=lags(series))
+    if name in GATHERED:
+        from ..plans.extract import features
+
+        return features(series, [name]).select("series_id", "idx", F.nanvl("value", F.lit(None)).alias("value"))
     return plan(SQL[name], series)
 
 

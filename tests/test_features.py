@@ -331,3 +331,13 @@ def test_summaries_of_many_as_of_one():
     x = dict((k, v[2]) for k, v in summaries(rows, names))
     assert x["skewness"] == pytest.approx(core.skew3(rows[2])) and x["kurtosis"] == pytest.approx(core.kurt3(rows[2])) and x["var"] == pytest.approx(rows[2].var(ddof=1))
     assert [x[f"quantiles.{k}"] for k in range(5)] == pytest.approx(np.quantile(rows[2], [0, 0.25, 0.5, 0.75, 1]))
+
+
+@pytest.mark.parametrize("name", ["acf", "acf_diff"])
+def test_autocorrelation_without_a_row_for_each_value_and_lag(series, name):
+    got = relational.run(name, series)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    order = lambda d: [(r["series_id"], r["idx"], r["value"]) for r in d.orderBy("series_id", "idx").collect()]
+    have, want = order(got), order(relational.plan(relational.SQL[name], series, nums=relational.lags(series)))
+    assert [x[:2] for x in have] == [x[:2] for x in want] and [x[2] is None for x in have] == [x[2] is None for x in want]
+    assert np.allclose([x[2] for x in have if x[2] is not None], [x[2] for x in want if x[2] is not None], rtol=1e-9, atol=1e-12)
