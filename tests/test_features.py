@@ -274,6 +274,7 @@ def test_smoother_of_rows_and_of_equally_long_series(monkeypatch):
         s.equals = many
     calls = []
     monkeypatch.setattr(core, "super_smoother", lambda x, _f=core.super_smoother: calls.append(1) or _f(x))
+    assert np.array_equal([core.acf(x) for x in rows], core.acf_rows(rows))
     assert [s.period for s in many] == [Series(x).period for x in rows] and len(calls) == 41
 
 
@@ -341,3 +342,13 @@ def test_autocorrelation_without_a_row_for_each_value_and_lag(series, name):
     have, want = order(got), order(relational.plan(relational.SQL[name], series, nums=relational.lags(series)))
     assert [x[:2] for x in have] == [x[:2] for x in want] and [x[2] is None for x in have] == [x[2] is None for x in want]
     assert np.allclose([x[2] for x in have if x[2] is not None], [x[2] for x in want if x[2] is not None], rtol=1e-9, atol=1e-12)
+
+
+def test_each_operator_runs_once_and_samples_go_together(spark):
+    """Extraction has one pass over the gathered series; a bootstrap sample is never shuffled."""
+    rows = [(k, t, float((k + 3) * t % 17)) for k in range(3) for t in range(40)]
+    x = Extractor(["t_mean", "diff", "acf_first_nonpos"], random_state=7).fit(spark.createDataFrame(rows, "series_id long, t long, v double"))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(x.extract()).count("MapInArrow") == 1 and plan(x.extract_with_confidence(8)).count("MapInArrow") == 2 and plan(x.extract_with_confidence(8)).count("Repartition") == 2
+    got = x.extract_with_confidence(64).collect()
+    assert {r["feature"] for r in got} == {"t_mean", "acf_first_nonpos", "diff.mean", "diff.sd"} and all(r["low"] is None or r["low"] <= r["high"] for r in got)
